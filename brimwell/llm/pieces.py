@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 KEEP = 200_000  # words a worker remembers
-_BYTE_COST = 1e6  # a byte piece is the last resort
+_BYTE_COST = 1e12  # a byte piece is the last resort
 
 
 def load_pieces(model: str) -> tuple[list[str], list[float], dict[int, int]]:
