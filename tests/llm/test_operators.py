@@ -161,6 +161,28 @@ def test_near_duplicates(spark):
     assert [got[i].n_links for i in range(len(texts))] == [sum(i in p for p in links) for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("block", [2048, 25])
+def test_near_duplicate_links_of_a_large_group(spark, monkeypatch, block):
+    """All pairs of a group that reach the threshold count, those that met no leader too, in one block and across blocks."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    base = ["w%d" % i for i in range(120)]
+    texts = []
+    for k in range(90):
+        t = list(base)
+        for at in rng.choice(120, k % 4, replace=False):
+            t[at] = "x%d" % rng.integers(40)
+        texts.append(" ".join(t))
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in map(words, texts)]
+    want = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].n_links for i in range(90)] == want and len(set(want)) > 1
+    label = list(range(90))
+    for _ in range(90):
+        label = [min(label[j] for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)) for a in sets]
+    assert [got[i].class_id for i in range(90)] == label
+
+
 def test_media(docs):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     for r in media.media_digest(docs).collect():
