@@ -1,18 +1,20 @@
 import duckdb
 import pytest
 
-from brimwell.plans import queries as Q
+from brimwell.plans import queries, recording_queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES = queries.QUERIES | recording_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | recording_queries.ORACLE_SQL
 
 
 def rows(frame):
     return sorted(map(str, frame[sorted(frame.columns)].astype(object).where(frame.notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "embeddings", "pages", "labels", "lineitem"):
+    for t in ("events", "embeddings", "pages", "labels", "lineitem", "supplier"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    assert rows(Q.QUERIES[name](spark, SF).toPandas()) == rows(con.execute(Q.ORACLE_SQL[name]).df())
+    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
