@@ -72,7 +72,7 @@ def _timed(spark, sf_dir):
 
 def nearest_fill(spark, sf_dir):
     e = _timed(spark, sf_dir).withColumn("seen", F.when(F.col("event_id") % 7 == 0, F.col("event_id")))
-    return recordings.nearest_filled(e, "user_id", "t", ORDER, "seen", "near").select("event_id", "near")
+    return recordings.nearest_filled(e, "user_id", "t", ORDER, "seen", "near").select("event_id", F.col("near").cast("double").alias("near"))
 
 
 def trial_sets(spark, sf_dir):
@@ -144,7 +144,7 @@ ORACLE_SQL = {
     "normalised_pixels": f"WITH {_P} SELECT frame, i, round((v - min(v) OVER w) / CAST(max(v) OVER w - min(v) OVER w AS DOUBLE), 6) AS v FROM p WINDOW w AS (PARTITION BY frame)",
     "region_traces": f"WITH {_P} SELECT i % 5 AS roi, frame, round(sum(v * (1.0::DOUBLE + i / 64)) / sum(1.0::DOUBLE + i / 64), 5) AS value FROM p WHERE i % 5 < 4 GROUP BY ALL",
     "neuropil_corrected": "SELECT vec_id AS frame, r AS roi, round(CAST(embedding[r + 1] AS DOUBLE) - 0.7::DOUBLE * CAST(embedding[r + 33] AS DOUBLE), 6) AS value FROM embeddings, range(32) t(r)",
-    "nearest_fill": f"WITH s AS (SELECT event_id, epoch_us(ts) AS t, last_value({_SEEN.format('event_id')} IGNORE NULLS) OVER {_BACK} AS bv, last_value({_SEEN.format('epoch_us(ts)')} IGNORE NULLS) OVER {_BACK} AS bt, first_value({_SEEN.format('event_id')} IGNORE NULLS) OVER {_AHEAD} AS av, first_value({_SEEN.format('epoch_us(ts)')} IGNORE NULLS) OVER {_AHEAD} AS ahead FROM events) SELECT event_id, CASE WHEN bv IS NULL OR av IS NULL THEN NULL WHEN t - bt <= ahead - t THEN bv ELSE av END AS near FROM s",
+    "nearest_fill": f"WITH s AS (SELECT event_id, epoch_us(ts) AS t, last_value({_SEEN.format('event_id')} IGNORE NULLS) OVER {_BACK} AS bv, last_value({_SEEN.format('epoch_us(ts)')} IGNORE NULLS) OVER {_BACK} AS bt, first_value({_SEEN.format('event_id')} IGNORE NULLS) OVER {_AHEAD} AS av, first_value({_SEEN.format('epoch_us(ts)')} IGNORE NULLS) OVER {_AHEAD} AS ahead FROM events) SELECT event_id, CAST(CASE WHEN bv IS NULL OR av IS NULL THEN NULL WHEN t - bt <= ahead - t THEN bv ELSE av END AS DOUBLE) AS near FROM s",
     "trial_sets": f"""WITH e AS (SELECT *, CASE WHEN event_id % 11 IN (0, 1) THEN 'rest' WHEN event_id % 3 = 0 THEN 'trial' ELSE 'wait' END AS state FROM events WHERE event_id % 22 <> 0 OR event_id < 2000),
 r AS (SELECT event_id, user_id, state, row_number() {_W} AS k, CASE WHEN state = 'trial' AND lead(state) {_W} IS DISTINCT FROM 'trial' THEN 1 ELSE 0 END AS fin FROM e), h AS (SELECT user_id, max(k) AS last FROM r WHERE state = 'rest' GROUP BY 1)
 SELECT event_id, CASE WHEN k <= coalesce(last, 0) THEN -1 ELSE CAST(sum(fin) OVER (PARTITION BY user_id ORDER BY k) - fin AS BIGINT) END AS trial_set FROM r LEFT JOIN h USING (user_id)""",
