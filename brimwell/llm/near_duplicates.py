@@ -5,16 +5,16 @@ Equal sets are one representative.  Representatives meet in the buckets of BANDS
 values (a pair of similarity 0.8 is missed with probability 3e-7).  In a bucket, pairs are compared step by
 step: after each step of MinHash values the posterior probability, under a uniform prior, that the
 similarity reaches the threshold is looked up by the matches so far, and a pair below `tolerance` is
-dropped.  What is left is verified exactly on the shingle sets, and verified links are joined to classes.
+dropped.  Pairs that remain join their rows to loose classes; no row is exempt from comparison but by being
+in the loose class already, so a bucket gives fewer pairs than it has rows and loses none that would join two.
 
 Buckets of more than HOT rows are dealt into salted parts, another deal in each band, and all their rows also
-meet the bucket's least id.  In a part of more than SMALL rows a row meets the part's leaders (rows
-that agreed with no earlier leader) instead of every other row, so the links of a large group grow with its
-rows, not their square; its class is held together by those and by the other bands.
+meet the bucket's least id.
 
-Links are then counted class by class, exactly: a class is dealt into blocks, and each pair of blocks is one
-group in which all its sets are held against each other by matrix products that give counts, not pairs.
-A class of up to BLOCK sets is one group; beyond that a set is sent to as many groups as the class has blocks.
+Links are then found loose class by loose class, exactly: it is dealt into blocks, and each pair of blocks is one
+group in which all its sets are held against each other by matrix products that give counts, not pairs, and
+for each set the least id that the group's links lead to.  Those join to the classes.  A loose class of up to
+BLOCK sets is one group; beyond that a set is sent to as many groups as the loose class has blocks.
 
 Defined results: null and empty texts, and those without words, are classes of their own without links;
 equal rows fall in one class; the class id is its least doc_id; an empty table gives no rows; further
@@ -96,33 +96,68 @@ def survivors(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, t
     return left
 
 
+def forest(sig: np.ndarray, size: np.ndarray, rows: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Remaining pairs that join all rows which any remaining pairs join: each row meets every row that is not yet joined to it."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(rows) > 1:
+        todo, rows = [int(rows[0])], rows[1:]
+        while todo and len(rows):
+            i = todo.pop()
+            keep = survivors(sig, size, np.full(len(rows), i), rows, threshold, tolerance)
+            left.append(np.full(len(keep), i))
+            right.append(rows[keep])
+            todo += rows[keep].tolist()
+            rows = np.delete(rows, keep)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def key(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def signed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, key of the set, its size, shingles, sig, bands); a text without words has no key."""
+    """(id, key of the set, its size, sig, bands); a text without words has no key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 w = split_words(data, offsets)
-                keys, sets, sigs, bands = [], [], [], []
+                keys, size, sigs, bands = [], [], [], []
                 for t in range(part.num_rows):
                     s = shingles(w.hash[w.first[t] : w.first[t + 1]])
                     m = signature(s)
                     b = np.arange(BANDS, dtype=np.uint64)
                     for j in range(ROWS):
                         b = mix(b ^ m[j::ROWS])
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sets.append(s.view(np.int64))
+                    keys.append(key(s))
+                    size.append(len(s))
                     sigs.append((m >> np.uint64(40)).astype(np.uint8).tobytes())
                     bands.append(b.view(np.int64))
-                n = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), n, pa.array(sets, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "n", "shingles", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array(size, pa.int32()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "n", "sig", "bands"])
+
+    return docs.select(F.col(id).cast("long").alias("id"), text_bytes(text).alias("text")).mapInArrow(run, "id long, key binary, n int, sig binary, bands array<long>")
+
+
+def shingled(docs: DataFrame, id: str, text: str, members: DataFrame) -> DataFrame:
+    """(id, key, c, n, copies, shingles) of members (id, key, c, copies): their texts are read again, so that no other text's shingles are kept."""
 
-    return docs.select(F.col(id).cast("long").alias("id"), text_bytes(text).alias("text")).mapInArrow(run, "id long, key binary, n int, shingles array<long>, sig binary, bands array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in blocks(batch, "text"):
+                w = split_words(data, offsets)
+                sets = [shingles(w.hash[w.first[t] : w.first[t + 1]]) for t in range(part.num_rows)]
+                own = pa.array([key(s) == k for s, k in zip(sets, part.column("key").to_pylist())], pa.bool_())
+                n, lists = pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                columns = [part.column(k) for k in ("id", "key", "c")] + [n, part.column("copies"), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "c", "n", "copies", "shingles"]).filter(own)
+
+    texts = docs.select(F.col(id).cast("long").alias("id"), text_bytes(text).alias("text")).join(members, "id").select("id", "key", "c", "copies", "text")
+    return texts.mapInArrow(run, "id long, key binary, c long, n int, copies long, shingles array<long>").dropDuplicates(["id", "key"])
 
 
 def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Distinct pairs (a < b) of representatives that remain after pruning."""
-    rows = written(reps.select("id", "n", "sig", F.explode("bands").alias("band")))
+    """Distinct pairs (a < b) of representatives that join all which remain after pruning."""
+    rows = written(reps.where("id is not null").select("id", "n", "sig", F.explode("bands").alias("band")))
     hot = written(rows.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where(F.col("m") > HOT))
     many = hot.count()
     dealt = rows.join(F.broadcast(hot) if many <= 100_000 else hot, "band", "left")
@@ -146,15 +181,9 @@ def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame
                     left.append(a[keep])
                     right.append(b[keep])
                     continue
-                leaders: list[int] = []
-                for i in range(lo, hi):
-                    b = np.array(leaders, np.int64)
-                    keep = survivors(sig, size, np.full(len(b), i), b, threshold, tolerance)
-                    if len(keep):
-                        left.append(np.full(len(keep), i))
-                        right.append(b[keep])
-                    else:
-                        leaders.append(i)
+                a, b = forest(sig, size, np.arange(lo, hi), threshold, tolerance)
+                left.append(a)
+                right.append(b)
             a = ids[np.concatenate(left)] if left else np.zeros(0, np.int64)
             b = ids[np.concatenate(right)] if right else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -195,12 +224,24 @@ def shared_counts(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def link_counts(sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(id, p): the rows of other sets of the class that reach the threshold with this set."""
-    members = sets.join(classes, "id").select("id", "c", "n", "copies", "shingles")
+def joined(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row the least id that links lead to; linked is symmetric."""
+    least, rest = ids.copy(), np.ones(len(ids), bool)
+    while rest.any():
+        own = np.zeros(len(ids), bool)
+        edge = np.flatnonzero(rest)[:1]
+        while len(edge):
+            own[edge], rest[edge] = True, False
+            edge = np.flatnonzero(linked[edge].any(axis=0) & rest)
+        least[own] = ids[own].min()
+    return least
+
+
+def links_within(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, p, least) in parts: the rows of other sets of the loose class that reach the threshold with this set, and an id that links lead to."""
     blocks_of = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    large = written(classes.join(sets.select("id", "n"), "id").groupBy("c").agg(blocks_of.alias("blocks")).where("blocks > 1"))
-    members = members.join(F.broadcast(large) if large.count() <= 100_000 else large, "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = written(sets.groupBy("c").agg(blocks_of.alias("blocks")).where("blocks > 1"))
+    members = sets.join(F.broadcast(large) if large.count() <= 100_000 else large, "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", F.col("n").cast("long").alias("n"), "copies", "shingles")
@@ -209,7 +250,7 @@ def link_counts(sets: DataFrame, classes: DataFrame, threshold: float) -> DataFr
         for table in runs(batches, ["c", "i", "j"], BLOCK):
             first = starts(table, ["c", "i", "j"])
             ids, own, n, copies, at = (table.column(k).to_numpy() for k in ("id", "own", "n", "copies", "i"))
-            p = np.zeros(table.num_rows, np.int64)
+            p, least = np.zeros(table.num_rows, np.int64), ids.copy()
             across = table.column("j").to_numpy() != at
             for lo, hi in zip(first.tolist(), np.append(first[1:], table.num_rows).tolist()):
                 lists = table.column("shingles").slice(lo, hi - lo).combine_chunks()
@@ -218,10 +259,10 @@ def link_counts(sets: DataFrame, classes: DataFrame, threshold: float) -> DataFr
                 linked = both >= threshold * (size[:, None] + size - both) - 1e-9
                 linked &= own[lo:hi, None] != own[lo:hi] if across[lo] else ~np.eye(hi - lo, dtype=bool)
                 p[lo:hi] = linked @ copies[lo:hi]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(p)], names=["id", "p"])
+                least[lo:hi] = joined(linked, ids[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(p), pa.array(least)], names=["id", "p", "least"])
 
-    found = dealt.repartition("part").drop("part").sortWithinPartitions("c", "i", "j").mapInArrow(count, "id long, p long")
-    return found.groupBy("id").agg(F.sum("p").alias("p"))
+    return dealt.repartition("part").drop("part").sortWithinPartitions("c", "i", "j").mapInArrow(count, "id long, p long, least long")
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -229,14 +270,10 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     table = written(signed(docs, id, text))
     reps = written(table.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "n", "sig", "bands")).alias("r"), F.count("*").alias("copies")).select("key", "r.*", "copies"))
     pairs = written(candidates(reps, threshold, tolerance))
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(table.select("id", "key", "n", "shingles").join(reps.select("id", "key", "copies"), ["id", "key"]).dropDuplicates(["id", "key"]).join(ids, "id", "left_semi"))
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where("least(na, nb) >= %r * greatest(na, nb)" % threshold).withColumn("i", shared)
-    links = written(joined.where(F.col("i") >= threshold * (F.col("na") + F.col("nb") - F.col("i")) - 1e-9).select("a", "b"))
-    classes = written(components(links))
-    partners = link_counts(sets, classes, threshold)
+    loose = reps.select("id", "key", "copies").join(components(pairs), "id")
+    found = written(links_within(written(shingled(docs, id, text, loose)), threshold))
+    classes = components(found.where("least <> id").select(F.col("least").alias("a"), F.col("id").alias("b")))
+    partners = found.groupBy("id").agg(F.sum("p").alias("p"))
     known = reps.select("id", "key", "copies").join(classes, "id", "left").join(partners, "id", "left").select("key", F.coalesce("c", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("p", F.lit(0))).alias("n_links"))
     plain = table.where("key is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n")
     out = table.where("key is not null").select("id", "key", "n").join(known, "key").select("id", "class_id", "n_links", "n").unionByName(plain)

@@ -183,6 +183,28 @@ def test_near_duplicate_links_of_a_large_group(spark, monkeypatch, block):
     assert [got[i].class_id for i in range(90)] == label
 
 
+def test_near_duplicates_of_a_star(spark):
+    """Copies that link to the original only, which is not the least id."""
+    rng = np.random.default_rng(6)
+    base = ["w%d" % i for i in range(120)]
+    texts = [" ".join(base)]
+    for k in range(200):
+        t = list(base)
+        for at in rng.choice(np.arange(5, 115), 2, replace=False):
+            t[at] = "x%d_%d" % (k, at)
+        texts.append(" ".join(t))
+    texts = [texts[i] for i in rng.permutation(201)]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in map(words, texts)]
+    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    label = list(range(201))
+    for _ in range(4):
+        label = [min(label[j] for j in range(201) if own[j]) for own in near]
+    assert not label[0] and sum(map(sum, near)) < 201 * 20
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].n_links for i in range(201)] == [sum(x) - 1 for x in near]
+    assert [got[i].class_id for i in range(201)] == label
+
+
 def test_media(docs):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     for r in media.media_digest(docs).collect():
