@@ -8,8 +8,8 @@ similarity reaches the threshold is looked up by the matches so far, and a pair
 dropped.  Pairs that remain join their rows to loose classes; no row is exempt from comparison but by being
 in the loose class already, so a bucket gives fewer pairs than it has rows and loses none that would join two.
 
-Buckets of more than HOT rows are dealt into salted parts, another deal in each band, and all their rows also
-meet the bucket's least id.
+A bucket of more than HOT rows is dealt into blocks of half as many, and each pair of blocks is one part, so that
+every pair of the bucket meets; a row is sent to as many parts as its bucket has blocks.
 
 Links are then found loose class by loose class, exactly: it is dealt into blocks, and each pair of blocks is one
 group in which all its sets are held against each other by matrix products that give counts, not pairs, and
@@ -37,7 +37,7 @@ from .text import _GRAM, blocks, mix, runs, split_words, starts, text_bytes, wri
 
 BANDS, ROWS = 21, 3
 SHINGLE, THRESHOLD, TOLERANCE, STEP = 5, 0.8, 1e-4, 9
-HOT, SMALL = 512, 12
+HOT, SMALL = 2048, 12
 BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 2_000_000, 2048
 _rng = np.random.default_rng(5150)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -158,11 +158,11 @@ def shingled(docs: DataFrame, id: str, text: str, members: DataFrame) -> DataFra
 def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Distinct pairs (a < b) of representatives that join all which remain after pruning."""
     rows = written(reps.where("id is not null").select("id", "n", "sig", F.explode("bands").alias("band")))
-    hot = written(rows.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where(F.col("m") > HOT))
-    many = hot.count()
-    dealt = rows.join(F.broadcast(hot) if many <= 100_000 else hot, "band", "left")
-    salt = F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("m") / (HOT // 2)))
-    part = F.when(F.col("m").isNull(), F.col("band")).otherwise(F.xxhash64("band", salt))
+    hot = written(rows.groupBy("band").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("band", F.ceil(F.col("m") / (HOT // 2)).cast("int").alias("blocks")))
+    dealt = rows.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, "band", "left")
+    own = F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.expr("if(blocks is null, array(cast(null as int)), sequence(0, blocks - 1))")))
+    part = F.when(F.col("blocks").isNull(), F.col("band")).otherwise(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["part"]):
@@ -189,8 +189,7 @@ def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     met = dealt.select("id", "n", "sig", part.alias("part"), F.xxhash64("id", "band").alias("o")).repartition("part").sortWithinPartitions("part", "o").drop("o").mapInArrow(meet, "a long, b long")
-    hubs = dealt.where(F.col("m").isNotNull() & (F.col("hub") != F.col("id"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    return met.unionByName(hubs).where("a <> b").distinct()
+    return met.where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

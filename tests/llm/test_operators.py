@@ -205,6 +205,15 @@ def test_near_duplicates_of_a_star(spark):
     assert [got[i].class_id for i in range(201)] == label
 
 
+def test_every_pair_of_a_hot_bucket_meets(spark, monkeypatch):
+    """One bucket of 100 pairs that have nothing to do with one another, dealt into many parts."""
+    monkeypatch.setattr(near_duplicates, "HOT", 16)
+    sigs = [bytes(x) for x in np.random.default_rng(7).integers(0, 256, (100, 63)).tolist()]
+    reps = spark.createDataFrame([(i, 100, sigs[i % 100], [42]) for i in range(200)], "id long, n int, sig binary, bands array<long>")
+    got = near_duplicates.candidates(reps, near_duplicates.THRESHOLD, near_duplicates.TOLERANCE).collect()
+    assert sorted((r.a, r.b) for r in got) == [(i, i + 100) for i in range(100)]
+
+
 def test_media(docs):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     for r in media.media_digest(docs).collect():
