@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,14 @@ RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]+", 6),
     Rule("access", r"AKIA", r"[A-Z0-9]+", 16),
     Rule("hex", r"", r"[0-9a-f]{24,}"),
-    Rule("pem", r"", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # through the END line; where there is none, through the lines of base64
+    Rule("pem", r"", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[\r\n]+[A-Za-z0-9+/=]+)*|(?:[A-Za-z0-9+/=:,.\\ \t\r\n]|[A-Za-z0-9]-[A-Za-z0-9])*-----END [A-Z ]*PRIVATE KEY-----)"),
     Rule("jwt", r"eyJ", r"[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
     Rule("forge", r"gh[opsur]_", r"[A-Za-z0-9]+", 36),
     Rule("chat", r"xox[abprs]-", r"[A-Za-z0-9-]+", 10),
     Rule("cloud", r"AIza", r"[A-Za-z0-9_-]+", 35),
     Rule("payment", r"[rs]k_live_", r"[A-Za-z0-9]+", 20),
+    Rule("url", r"[a-z][a-z0-9+]*://[^ \t\r\n:/@\xff]+:", r"[^ \t\r\n/@\xff]+@", 4),
 )
 BASE = ("assign", "access", "hex")
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -86,6 +89,12 @@ class Scanner:
         return out
 
 
+@cache
+def scanner_of(rules: tuple[Rule, ...]) -> Scanner:
+    """Compiled once for each worker process."""
+    return Scanner(rules)
+
+
 def _code_points(data: np.ndarray) -> np.ndarray | None:
     """Code point number of each byte place, or None where they are the same."""
     if (data < 128).all():
@@ -98,7 +107,7 @@ def scan_secrets(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rul
     kind = docs.schema[id].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(rules)
+        scanner = scanner_of(rules)
         names = [r.kind for r in rules]
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
@@ -125,7 +134,7 @@ def redact_secrets(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ..
     schema = docs.schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(rules)
+        scanner = scanner_of(rules)
         marks = [mark.format(r.kind.upper()).encode() for r in rules]
         for batch in batches:
             data, at = buffers(batch.column(own))

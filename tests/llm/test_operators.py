@@ -56,6 +56,14 @@ def test_secrets(spark, docs):
     assert {r.doc_id: r.text for r in secret_scan.redact_secrets(docs).collect()}[5] == "[ASSIGN]' [ACCESS]"
 
 
+def test_secrets_of_urls_and_whole_keys(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nMIIEow+/IBAAKCAQEA\nq83vEjQ=\n-----END RSA PRIVATE KEY-----"
+    texts = [f"a {key} b\n{key} c", "-----BEGIN PRIVATE KEY-----\nMIIEow\nq83v\n\n(cut)", "é see postgres://me:pä55!@db.host/x and http://a.b:80/c@d", "http://me:ab@c"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in secret_scan.redact_secrets(d).orderBy("doc_id").collect()]
+    assert got == ["a [PEM] b\n[PEM] c", "[PEM]\n\n(cut)", "é see [URL]db.host/x and http://a.b:80/c@d", "http://me:ab@c"]
+
+
 def test_contamination(spark):
     rng = np.random.default_rng(1)
     w = lambda n: " ".join(rng.choice(list("abcdef"), n))
