@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .ppm import train
+from .ppm import finished, lengths_array, train
 from .text import LOWER, _BYTE, _PLACE, blocks, mix, text_bytes, written
 
 ORDER = 4
@@ -69,7 +69,8 @@ def score_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", orde
     tokens, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     by = np.argsort(tokens)
     lookup = spark.sparkContext.broadcast((tokens[by], n[by]))
-    model = spark.sparkContext.broadcast(train(training.select(F.lit("").alias("name"), "text"), order))
+    tables, grams = train(training.select(F.lit("").alias("name"), "text"), order)
+    model = spark.sparkContext.broadcast(tables)
     whole = float(np.log10(total + v + 1))
     kind = own.schema["id"].dataType.simpleString()
 
@@ -88,11 +89,13 @@ def score_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", orde
                 rest = ~hit if v > len(known) else np.zeros(len(h), bool)
                 by = np.argsort(t[rest], kind="stable")
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(t[rest], minlength=k))), pa.int32()), pa.array(h[rest][by].view(np.int64)))
-                s = m.block(data, offsets)[0] if m.names else -np.log10(256) * (np.diff(offsets) + 1.0)
-                columns = [part.column("id"), part.column("held_out"), pa.array(np.bincount(t, minlength=k)), pa.array(np.bincount(t, hit, k).astype(np.int64)), pa.array(np.bincount(t, value, k)), pa.array(s), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "value", "score", "rest"])
+                s, others = m.parts(data, offsets)
+                s = s if m.names else -np.log10(256) * (np.diff(offsets)[None, :] + 1.0)
+                columns = [part.column("id"), part.column("held_out"), pa.array(np.bincount(t, minlength=k)), pa.array(np.bincount(t, hit, k).astype(np.int64)), pa.array(np.bincount(t, value, k)), lengths_array(s), others, lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "value", "lengths", "grams", "rest"])
 
-    out = own.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, value double, score double, rest array<long>")
+    out = own.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, value double, lengths array<double>, grams array<long>, rest array<long>")
+    out = finished(out, tables, grams).withColumn("score", F.col("lengths")[0]).drop("lengths")
     if v > len(n):
         out = written(out.withColumn("row", F.monotonically_increasing_id()))
         rare = out.select("row", F.explode("rest").alias("token")).join(counts.withColumnRenamed("n", "c"), "token").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("add"))

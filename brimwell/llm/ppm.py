@@ -8,8 +8,9 @@ without the symbols of the longer one (symbol exclusion); behind the empty conte
 seen is equally likely.  As statistics are frozen, a symbol's code length depends on its gram alone: it is
 computed once per gram that occurs and the texts are sums over a lookup.
 
-The counting is a Spark aggregation over all training texts.  A tree of more than `most` grams is not
-broadcast: the order is lowered, and the counts added up, until it fits.
+The counting is a Spark aggregation over all training texts.  Of trees of more than `most` grams only the
+most frequent grams are broadcast; the other grams of the texts are joined with the counts by shuffle.  The
+order is the same at every size.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import written
+from .text import runs, written
 
 MARK = 255
 MOST = 3_000_000
@@ -45,13 +46,16 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
 class Model:
     """Code lengths (log10 probabilities) of grams."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int) -> None:
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, short: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """short: grams of two bytes of all texts, where keys are only those of some contexts of two bytes."""
         by = np.argsort(keys)
         keys, counts = keys[by], counts[by].astype(np.float64)
         self.order = order
         self.levels = []
         for k in range(order, -1, -1):
             mask = np.uint64((1 << (8 * (k + 1))) - 1)
+            if k == 1 and short is not None:
+                keys, counts = short[0], short[1].astype(np.float64)
             g, at = np.unique(keys & mask, return_inverse=True)
             c = np.bincount(at, counts, len(g))
             context, first = np.unique(g >> np.uint64(8), return_index=True)
@@ -73,8 +77,10 @@ class Model:
         gone_mass = np.zeros(len(keys))
         gone = np.zeros(len(keys))
         for k, (mask, g, c, context, total, distinct) in enumerate(self.levels):
-            if not len(todo) or not len(g):
+            if not len(todo):
                 break
+            if not len(g):
+                continue
             own = keys[todo] & mask
             at = np.minimum(np.searchsorted(context, own >> np.uint64(8)), len(context) - 1)
             seen = context[at] == own >> np.uint64(8)
@@ -119,6 +125,10 @@ class Tables:
             out[m] = np.add.reduceat(value, first[:-1])
         return out
 
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+        """As Head.parts, with no grams left over."""
+        return self.block(data, offsets), pa.array([[]] * (len(offsets) - 1), pa.list_(pa.int64()))
+
 
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
     """Counts (name, gram, n) over all texts of a DataFrame (name string, text binary)."""
@@ -135,13 +145,84 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
     return texts.mapInArrow(count, "name string, gram long, n long").groupBy("name", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(texts: DataFrame, order: int, most: int = MOST) -> Tables:
-    """Models by name from all texts; the order is lowered until all trees have at most `most` grams."""
+class Head:
+    """Code lengths of the most frequent grams under all models; the other grams of a text are handed back."""
+
+    def __init__(self, names: list[str], order: int, keys: np.ndarray, values: np.ndarray) -> None:
+        by = np.argsort(keys)
+        self.names, self.order, self.keys, self.values = names, order, keys[by], values[:, by]
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+        """log10 probability of each text's frequent grams under each model, and its other grams."""
+        keys, first = grams(data, offsets, self.order)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        hit = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        out = np.array([np.bincount(text[hit], v[at[hit]], len(offsets) - 1) for v in self.values])
+        before = np.append(0, np.cumsum(np.bincount(text[~hit], minlength=len(offsets) - 1)))
+        return out, pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(keys[~hit].astype(np.int64)))
+
+
+def gram_values(table: DataFrame, wanted: DataFrame, order: int, names: list[str]) -> DataFrame:
+    """(gram, v): log10 probability of each wanted gram under each model.
+
+    Grams of one last two context bytes meet: the contexts of two bytes or more are among them, and the
+    shorter ones (65,536 grams a model at most) are broadcast.
+    """
+    rows = table.groupBy("name", F.expr("gram & 65535").alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    own, keys, counts = rows.column("name").to_numpy(), rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+    short = table.sparkSession.sparkContext.broadcast([(keys[own == n], counts[own == n]) for n in names])
+    who = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name")).cast("int")
+    both = table.select("gram", who.alias("who"), "n").unionByName(wanted.select("gram", F.lit(0).alias("who"), F.lit(0).cast("long").alias("n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["context"]):
+            g, who, n = t.column("gram").to_numpy().astype(np.uint64), t.column("who").to_numpy(), t.column("n").to_numpy()
+            asked = g[who == 0]
+            if len(asked):
+                v = np.array([Model(g[who == k + 1], n[who == k + 1], order, s).score(asked) for k, s in enumerate(short.value)])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(asked) + 1) * len(v), pa.int32()), pa.array(v.T.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(asked.astype(np.int64)), lists], names=["gram", "v"])
+
+    dealt = both.withColumn("context", F.expr("shiftright(gram, 8) & 65535")).repartition("context").sortWithinPartitions("context")
+    return dealt.mapInArrow(run, "gram long, v array<double>")
+
+
+def train(texts: DataFrame, order: int, most: int | None = None) -> tuple[Tables | Head, DataFrame]:
+    """Models by name from all texts, and the grams' counts; of more than `most` grams only the most frequent are held."""
+    most = MOST if most is None else most
     table = written(count_grams(texts, order))
-    while order > 0 and table.count() > most:
-        order -= 1
-        table = written(table.groupBy("name", F.expr(f"gram & {(1 << (8 * (order + 1))) - 1}").alias("gram")).agg(F.sum("n").alias("n")))
-    rows = table.toArrow()
-    names = rows.column("name").to_numpy()
-    keys, counts = rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
-    return Tables({n: (keys[names == n], counts[names == n]) for n in sorted(set(names.tolist()))}, order)
+    if order < 2 or table.count() <= most:
+        rows = table.toArrow()
+        names = rows.column("name").to_numpy()
+        keys, counts = rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+        return Tables({n: (keys[names == n], counts[names == n]) for n in sorted(set(names.tolist()))}, order), table
+    names = sorted(r.name for r in table.select("name").distinct().collect())
+    total = written(table.groupBy("gram").agg(F.sum("n").alias("n")))
+    room, least = most // len(names), None
+    for r in total.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).collect():
+        room -= r.m
+        if room < 0:
+            break
+        least = r.n
+    rows = gram_values(table, total.where(F.col("n") >= least if least is not None else F.lit(False)), order, names).toArrow()
+    values = rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, len(names)).T
+    return Head(names, order, rows.column("gram").to_numpy().astype(np.uint64), values), table
+
+
+def finished(scored: DataFrame, tables: Tables | Head, table: DataFrame) -> DataFrame:
+    """scored with `lengths` completed by the code lengths of its `grams`, which are dropped."""
+    if isinstance(tables, Tables):
+        return scored.drop("grams")
+    scored = written(scored.withColumn("brimwell row", F.monotonically_increasing_id()))
+    rest = written(scored.select("brimwell row", F.explode("grams").alias("gram")).groupBy("brimwell row", "gram").agg(F.count("*").alias("n")))
+    values = gram_values(table, rest.select("gram").distinct(), tables.order, tables.names)
+    more = F.array(*[F.sum(F.col("n") * F.col("v")[k]) for k in range(len(tables.names))])
+    more = rest.join(values, "gram").groupBy("brimwell row").agg(more.alias("brimwell more"))
+    whole = F.when(F.col("brimwell more").isNull(), F.col("lengths")).otherwise(F.zip_with("lengths", "brimwell more", lambda a, b: a + b))
+    return scored.join(more, "brimwell row", "left").withColumn("lengths", whole).drop("brimwell row", "brimwell more", "grams")
+
+
+def lengths_array(lengths: np.ndarray) -> pa.ListArray:
+    """(models, texts) as a list for each text."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(lengths.shape[1] + 1) * lengths.shape[0], pa.int32()), pa.array(lengths.T.ravel(), pa.float64()))

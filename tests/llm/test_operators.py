@@ -127,6 +127,18 @@ def test_ppm_and_base_score(spark, docs):
                 assert r.score == pytest.approx(plain_ppm([t.encode() for t in train], text[r.doc_id].encode(), lm_score.ORDER))
 
 
+def test_models_beyond_the_broadcast_give_the_same(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    get = lambda: (lm_score.score_texts(d).orderBy("doc_id").collect(), language_id.language_digest(d).orderBy("doc_id").collect())
+    whole = get()
+    trained = ppm.train(d.selectExpr("lang name", "cast(text as binary) text"), 4, 2000)
+    assert (trained[0] if isinstance(trained, tuple) else trained).order == 4
+    monkeypatch.setattr(ppm, "MOST", 2000)
+    for a, b in zip(whole, get()):
+        assert [r.score for r in b] == pytest.approx([r.score for r in a])
+        assert [r.asDict() | {"score": 0} for r in b] == [r.asDict() | {"score": 0} for r in a]
+
+
 def test_languages_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.language_digest(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'").toPandas()
