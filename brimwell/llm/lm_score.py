@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .language_id import held_out
 from .ppm import finished, lengths_array, train
-from .text import LOWER, _BYTE, _PLACE, blocks, mix, text_bytes, written
+from .text import LOWER, blocks, hash_runs, most_frequent, text_bytes, written
 
 ORDER = 4
 HEAD = 400_000
@@ -39,8 +39,7 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     if len(start):
         size = end - start
         at = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(at, size)
-        h = mix(np.add.reduceat(_BYTE[row[inside]] * _PLACE[place & (len(_PLACE) - 1)] + (_BYTE[(place >> 12) & 255] ^ _BYTE[row[inside]]) * (place >> 12 > 0).astype(np.uint64), at) + size.astype(np.uint64))
+        h = hash_runs(row[inside], at, size)
     else:
         h = np.zeros(0, np.uint64)
     return np.append(h, np.zeros(n, np.uint64)), np.append(text, np.arange(n))
@@ -65,7 +64,7 @@ def score_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", orde
     training = own.where(~F.col("held_out"))
     counts = written(count_tokens(training.select("text")))
     v, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(head).toArrow()
+    top = counts.where(most_frequent(counts, "n", head)).toArrow()
     tokens, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     by = np.argsort(tokens)
     lookup = spark.sparkContext.broadcast((tokens[by], n[by]))

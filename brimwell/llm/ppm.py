@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import runs, written
+from .text import most_frequent, runs, written
 
 MARK = 255
 MOST = 3_000_000
@@ -199,13 +199,7 @@ def train(texts: DataFrame, order: int, most: int | None = None) -> tuple[Tables
         return Tables({n: (keys[names == n], counts[names == n]) for n in sorted(set(names.tolist()))}, order), table
     names = sorted(r.name for r in table.select("name").distinct().collect())
     total = written(table.groupBy("gram").agg(F.sum("n").alias("n")))
-    room, least = most // len(names), None
-    for r in total.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).collect():
-        room -= r.m
-        if room < 0:
-            break
-        least = r.n
-    rows = gram_values(table, total.where(F.col("n") >= least if least is not None else F.lit(False)), order, names).toArrow()
+    rows = gram_values(table, total.where(most_frequent(total, "n", most // len(names))), order, names).toArrow()
     values = rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, len(names)).T
     return Head(names, order, rows.column("gram").to_numpy().astype(np.uint64), values), table
 

@@ -7,6 +7,7 @@ lower-casing A-Z; as bytes above 127 are all word bytes, the rule needs no decod
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def hash_runs(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of bytes data[at[i]:at[i] + size[i]], which follow one another without a gap.
+
+    Every byte is weighted by its place: from a table up to 4,095, beyond that by a mix of the place.
+    """
+    place = np.arange(len(data)) - np.repeat(at, size)
+    weight = _PLACE[place & (len(_PLACE) - 1)]
+    if size.max(initial=0) > len(_PLACE):
+        far = place >= len(_PLACE)
+        weight[far] = mix(mix(place[far].astype(np.uint64) + _PLACE[0])) | np.uint64(1)
+    return mix(np.add.reduceat(_BYTE[data] * weight, at) + size.astype(np.uint64))
+
+
 @dataclass
 class Words:
     """The words of a block: byte ranges, 64-bit hashes, and where each text's words begin."""
@@ -88,8 +102,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
         size = end - start
         at = np.cumsum(size) - size
         own = low[mask]
-        place = np.arange(len(own)) - np.repeat(at, size)
-        h = mix(np.add.reduceat(_BYTE[own] * _PLACE[place & (len(_PLACE) - 1)], at) + size.astype(np.uint64))
+        h = hash_runs(own, at, size)
     return Words(low, np.searchsorted(start, offsets), start, end, h)
 
 
@@ -177,10 +190,35 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def unused(names: list[str], columns: list[str]) -> list[str]:
+    """The names that a result gets beside columns it may not overwrite: `_` is put behind those that are taken, letter case aside."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def most_frequent(table: DataFrame, column: str, room: int) -> Column:
+    """A filter that keeps the rows of the greatest `column`, at most `room` of them; found from a histogram of 32 classes a factor of e."""
+    level = lambda: F.floor(F.log(F.col(column).cast("double")) * 32)
+    least = None
+    for r in sorted(table.groupBy(level().alias("level")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r.level):
+        room -= r.m
+        if room < 0:
+            break
+        least = r.level
+    return level() >= least if least is not None else F.lit(False)
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the session names; one is set only where none is."""
+    """A new folder in the shared folder that spark.checkpoint.dir names; without that, only a session on one machine gets one of its own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("brimwell.scratch.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file:///tmp/spark-brimwell-{uuid.uuid4().hex[:12]}"
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("brimwell.scratch.dir", base)
@@ -192,4 +230,13 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._brimwell_path = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing that is still to be computed reads them."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._brimwell_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
