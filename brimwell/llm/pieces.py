@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from .text import blocks, text_bytes, unused
 
@@ -223,7 +223,7 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", out: str =
                 ids = _lists(*encoder.encode_block(_texts(data, at)), _nulls(part.column(names.index(text))))
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(names))] + [ids], names=[*names, out])
 
-    return docs.withColumn(own, text_bytes(text)).mapInArrow(run, docs.schema.add(out, ArrayType(IntegerType())))
+    return docs.withColumn(own, text_bytes(text)).mapInArrow(run, StructType(list(docs.schema)).add(out, ArrayType(IntegerType())))
 
 
 def decode_pieces(docs: DataFrame, model: str, *, pieces: str = "pieces", out: str = "decoded") -> DataFrame:
@@ -248,7 +248,7 @@ def decode_pieces(docs: DataFrame, model: str, *, pieces: str = "pieces", out: s
                 texts = pa.array([None if m else t for t, m in zip(_texts(data, at), missing.tolist())], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [texts], names=[*names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, StringType()))
+    return docs.mapInArrow(run, StructType(list(docs.schema)).add(out, StringType()))
 
 
 def piece_digest(docs: DataFrame, model: str) -> DataFrame:

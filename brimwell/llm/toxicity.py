@@ -1,17 +1,19 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted in a fixed order: `insult` and `contempt` (taught by word lists on the labelled
-rows) and `toxic` (taught by the labels).  Each model sees the word features and the probabilities of
-the earlier categories; in training those come from models of the other folds (out of fold), in use from
-the model of all rows.
+Label columns are predicted in a fixed order, `quality` and then `toxic` by default.  Each model sees the word
+features and the probabilities of the earlier categories; in training those come from models of the other folds
+(out of fold), in use from the model of all rows.  A text's fold is a hash of the text, so equal texts are in one.
 
-Word features are the `WORDS` words whose presence tells most about the label over all labelled rows
-(G statistic, an aggregation in Spark).  The models are fitted on
-a bounded sample of the labelled rows: the SAMPLE rows with the least hash of their id.
+The models are fitted on a bounded sample: the SAMPLE labelled documents with the least hash of their id and
+text.  Which they are is found from the ids alone; the texts are then read once, with the sample's ids
+broadcast, and no text outside the sample is moved.  Word features are the `WORDS` words whose presence
+in the sample tells most about the last category (G statistic, an aggregation in Spark).
 
 Defined results: null and empty texts have no features and get the base rate; without labels, or with
 labels of one kind only, no text is toxic and probabilities are that rate; equal texts get equal values;
-a document that is labelled twice teaches twice; null labels teach nothing; further columns don't matter.
+rows of labels of one id all teach, equal ones once; a null in the last category teaches nothing, in an earlier one it
+counts as 0, and a category that labels lacks is left out.  All columns of the input stay as they are: a result column whose name is
+taken, in any letter case, gets `_` put behind its name.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,17 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .text import blocks, hash_words, split_words, text_bytes
+from .text import blocks, split_words, text_bytes, unused, written
 
 WORDS, SAMPLE, FOLDS, CUT = 128, 20_000, 5, 0.5
-CATEGORIES = ("insult", "contempt", "toxic")
-# Words that teach the first categories.
-LEXICON = {"insult": ("idiot", "moron", "fool", "clown", "loser", "jerk", "dumb", "stupid"), "contempt": ("worthless", "pathetic", "garbage", "trash", "disgusting", "scum", "hate", "useless")}
+CATEGORIES = ("quality", "toxic")
 
 
 def _word_counts(labelled: DataFrame) -> DataFrame:
-    """(word, n, bad): labelled rows that hold the word, and how many of them are toxic."""
+    """(word, n, bad): labelled rows that hold the word, and how many of them are of the last category."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,47 +110,63 @@ def apply_chain(models: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic", words: int = WORDS, sample: int = SAMPLE):
-    """(word hashes, models, base rate) from the labelled rows."""
-    own = labels.where(F.col(label).isNotNull()).select(F.col(id).alias("id"), (F.col(label) != 0).cast("long").alias("y"))
-    labelled = docs.select(F.col(id).alias("id"), text_bytes(text).alias("text")).join(own, "id")
-    rows, bad = own.join(docs.select(F.col(id).alias("id")), "id").agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+def sampled(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """(h, text, y, targets) of at most `sample` labelled documents: `targets` holds 0 or 1 for each category, y the last."""
+    kinds = [F.coalesce((F.col(c) != 0).cast("double"), F.lit(0.0)) for c in categories]
+    own = labels.where(F.col(categories[-1]).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.array(*kinds).alias("targets"))
+    own = own.distinct().join(docs.select(F.col(id).alias("id")), "id", "left_semi")
+    chosen = written(own.orderBy(F.xxhash64("id"), "id", "targets").limit(sample))
+    # one id may stand on any number of rows: equal ones collapse, and a hash of id and text bounds the rest
+    texts = docs.select(F.col(id).alias("id"), text_bytes(text).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id", "text", "targets"])
+    texts = written(texts.select(F.xxhash64("id", "text").alias("h"), "text", F.element_at("targets", -1).cast("long").alias("y"), "targets"))
+    if texts.count() <= sample:
+        return texts
+    cut = texts.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    return texts.where(F.col("h") <= cut).limit(sample)
+
+
+def train_chain(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", categories: tuple[str, ...] = CATEGORIES, words: int = WORDS, sample: int = SAMPLE):
+    """(categories, word hashes, models, base rates) from the labelled rows."""
+    categories = tuple(c for c in categories if c in labels.columns)
+    labelled = sampled(docs, labels, categories, id=id, text=text, sample=sample)
+    rows, bad = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    rates = [r or 0.0 for r in labelled.agg(*[F.avg(F.col("targets")[k]) for k in range(len(categories))]).first()]
     if bad in (0, rows):
-        return np.zeros(0, np.uint64), [], (bad / rows if rows else 0.0)
+        return categories, np.zeros(0, np.uint64), [], rates
     chosen = _tellers(_word_counts(labelled.select("text", "y")), rows, bad, words)
-    lists = [hash_words([w.encode() for w in LEXICON[c]]) for c in CATEGORIES[:-1]]
-    chosen = np.unique(np.concatenate([chosen, *lists]))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 x = features(data, offsets, chosen)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array([np.flatnonzero(r).tolist() for r in x], pa.list_(pa.int32()))], names=["id", "y", "at"])
+                yield pa.RecordBatch.from_arrays([part.column("fold"), part.column("targets"), pa.array([np.flatnonzero(r).tolist() for r in x], pa.list_(pa.int32()))], names=["fold", "targets", "at"])
 
-    kind = docs.schema[id].dataType.simpleString()
-    rows_ = labelled.mapInArrow(sparse, f"id {kind}, y long, at array<int>").orderBy(F.xxhash64("id"), "id", "y", "at").limit(sample).collect()
-    x = np.zeros((len(rows_), len(chosen) + 1))
-    for i, r in enumerate(rows_):
+    folds = labelled.select("text", "targets", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    taught = folds.mapInArrow(sparse, "fold int, targets array<double>, at array<int>").collect()  # `sample` rows at most
+    taught.sort(key=lambda r: (r.fold, r.targets, r.at))
+    x = np.zeros((len(taught), len(chosen) + 1))
+    for i, r in enumerate(taught):
         x[i, r.at] = 1
-    y = np.array([r.y for r in rows_], float)
-    targets = [x[:, np.isin(chosen, l).nonzero()[0]].max(axis=1) for l in lists] + [y]
-    return chosen, fit_chain(x, targets, np.arange(len(y)) % FOLDS), bad / rows
+    targets = list(np.array([r.targets for r in taught]).T)
+    return categories, chosen, fit_chain(x, targets, np.array([r.fold for r in taught])), rates
 
 
 def toxicity(docs: DataFrame, model, *, text: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows and columns of docs with p_insult, p_contempt, p_toxic and is_toxic (p_toxic >= cut)."""
-    words, models, rate = model
-    names = [f"p_{c}" for c in CATEGORIES]
-    frame = docs.withColumns({n: F.lit(0.0) for n in names} | {"brimwell bytes": text_bytes(text)})
+    """The rows and columns of docs with a probability p_<category> for each link of the chain, and is_toxic (the last reaches `cut`)."""
+    categories, words, models, rates = model
+    names = docs.columns
+    *new, flag, own = unused([*(f"p_{c}" for c in categories), "is_toxic", "text bytes"], names)
     shared = docs.sparkSession.sparkContext.broadcast((words, models))
+    schema = StructType(list(docs.schema))
+    for n in new:
+        schema = schema.add(n, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, models = shared.value
         for batch in batches:
-            for part, data, offsets in blocks(batch, "brimwell bytes"):
-                p = apply_chain(models, features(data, offsets, words)) if models else np.full((3, part.num_rows), rate)
-                new = dict(zip(names, map(pa.array, p)))
-                yield pa.RecordBatch.from_arrays([new.get(n, part.column(k)) for k, n in enumerate(part.schema.names)], names=part.schema.names)
+            for part, data, offsets in blocks(batch, own):
+                p = apply_chain(models, features(data, offsets, words)) if models else np.repeat(np.array(rates)[:, None], part.num_rows, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(names))] + list(map(pa.array, p)), names=[*names, *new])
 
-    out = frame.mapInArrow(run, frame.schema).drop("brimwell bytes")
-    return out.withColumn("is_toxic", (F.col("p_toxic") >= cut) if models else F.lit(False))
+    out = docs.withColumn(own, text_bytes(text)).mapInArrow(run, schema)
+    return out.withColumn(flag, (F.col(f"`{new[-1]}`") >= cut) if models else F.lit(False))
