@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 import zlib
@@ -159,6 +160,47 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(d, toxicity.train_chain(d, labels.limit(0))).where("is_toxic").count() == 0
 
 
+def test_chain_feeds_out_of_fold_probabilities():
+    """The chain against a plain re-computation, with models fitted by many small steps of plain descent."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((60, 3)) < 0.5).astype(float)
+    y = [(x[:, 0] + rng.random(60) > 0.8).astype(float), (x[:, 1] + x[:, 0] + rng.random(60) > 1.4).astype(float)]
+    fold = np.arange(60) % 3
+
+    def plain(x, y):
+        x = np.column_stack([x, np.ones(len(x))])
+        w = np.zeros(x.shape[1])
+        for _ in range(60_000):
+            w -= 0.02 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) + np.append([0.1] * (len(w) - 1), 1e-6) * w)
+        return w
+
+    use = lambda w, x: 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    p = np.zeros(60)
+    for f in range(3):
+        p[fold == f] = use(plain(x[fold != f], y[0][fold != f]), x[fold == f])
+    want = [plain(x, y[0]), plain(np.column_stack([x, p]), y[1])]
+    models = toxicity.fit_chain(x, y, fold)
+    for a, b in zip(models, want):
+        assert a == pytest.approx(b, abs=1e-3)
+    first = use(want[0], x)
+    assert toxicity.apply_chain(models, x)[1] == pytest.approx(use(want[1], np.column_stack([x, first])), abs=1e-3)
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Repeated and null ids and labels, a sample smaller than the rows of one id, columns of the result's names."""
+    bad, good = "you idiot clown", "a kind word here"
+    rows = [(1, bad), (1, bad), (1, good), (2, bad), (3, good), (4, good), (None, bad), (5, None), (6, "")]
+    d = spark.createDataFrame([(*r, "mine", 3) for r in rows], "doc_id long, text string, IS_TOXIC string, p_toxic int")
+    labels = spark.createDataFrame([(2, 1, 1), (3, 0, 0), (3, 0, 0), (4, None, 0), (None, 1, 1), (5, 1, None), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(d, toxicity.train_chain(d, labels)).collect()
+    assert len(got) == len(rows) and {(r.IS_TOXIC, r.p_toxic) for r in got} == {("mine", 3)}
+    assert got[0].p_toxic_ > got[2].p_toxic_ and got[0].p_toxic_ == got[6].p_toxic_ and got[7].p_toxic_ == got[8].p_toxic_
+    assert {r.is_toxic_ for r in got} <= {True, False}
+    assert toxicity.sampled(d, labels, ("quality", "toxic"), sample=2).count() == 2
+    assert toxicity.toxicity(d.limit(0), toxicity.train_chain(d, labels)).count() == 0
+    assert toxicity.toxicity(d, toxicity.train_chain(d, labels.drop("quality"))).columns[-2:] == ["p_toxic_", "is_toxic_"]
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(2)
     w = lambda n: list(rng.choice(["w%d" % i for i in range(500)], n))
@@ -229,9 +271,50 @@ def test_every_pair_of_a_hot_bucket_meets(spark, monkeypatch):
     """One bucket of 100 pairs that have nothing to do with one another, dealt into many parts."""
     monkeypatch.setattr(near_duplicates, "HOT", 16)
     sigs = [bytes(x) for x in np.random.default_rng(7).integers(0, 256, (100, 63)).tolist()]
-    reps = spark.createDataFrame([(i, 100, sigs[i % 100], [42]) for i in range(200)], "id long, n int, sig binary, bands array<long>")
+    reps = spark.createDataFrame([(bytes([i]), 100, sigs[i % 100], [42]) for i in range(200)], "key binary, n int, sig binary, bands array<long>")
     got = near_duplicates.candidates(reps, near_duplicates.THRESHOLD, near_duplicates.TOLERANCE).collect()
-    assert sorted((r.a, r.b) for r in got) == [(i, i + 100) for i in range(100)]
+    assert sorted((r.a[0], r.b[0]) for r in got) == [(i, i + 100) for i in range(100)]
+
+
+@pytest.mark.parametrize("held", [1_000_000, 0])
+def test_near_duplicates_of_null_and_repeated_ids(spark, monkeypatch, held):
+    """One doc_id on texts of two classes, classes of null ids only, equal rows; with texts read again by broadcast and by shuffle."""
+    monkeypatch.setattr(near_duplicates, "HELD", held)
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(5, a), (5, b), (5, b), (None, a + " z"), (7, b + " z"), (None, "only here " * 9), (None, "only here " * 9), (9, None), (9, "")]
+    d = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, key long")
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in near_duplicates.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(5, 5, 1), (5, 5, 2), (5, 5, 2), (None, 5, 1), (7, 5, 2), (None, None, 1), (None, None, 1), (9, 9, 0), (9, 9, 0)], key=str)
+    kept = near_duplicates.one_of_each(d)
+    assert kept.columns == d.columns
+    assert sorted((str(r.doc_id), str(r.text)[:2]) for r in kept.collect()) == [("5", "a0"), ("5", "b0"), ("9", ""), ("9", "No"), ("None", "on")]
+
+
+def test_near_duplicates_of_many_copies_at_the_threshold(spark):
+    """1,500 texts of one bucket's kind, one to six words changed: classes and links as by brute force."""
+    rng = np.random.default_rng(8)
+    base = ["w%d" % i for i in range(200)]
+    texts = []
+    for k in range(1500):
+        t = list(base)
+        for at in rng.choice(200, 1 + k % 6, replace=False):
+            t[at] = "x%d" % rng.integers(1000)
+        texts.append(t)
+    number: dict[tuple, int] = {}
+    m = np.zeros((1500, 40_000), np.float32)
+    for i, t in enumerate(texts):
+        m[i, [number.setdefault(tuple(t[j : j + 5]), len(number)) for j in range(196)]] = 1
+    both, size = m @ m.T, m.sum(axis=1)
+    near = both >= 0.8 * (size[:, None] + size - both) - 1e-6
+    label = np.arange(1500)
+    while True:
+        new = np.where(near, label, 1500).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i].class_id for i in range(1500)] == label.tolist()
+    assert [got[i].n_links for i in range(1500)] == (near.sum(axis=1) - 1).tolist()
 
 
 def test_media(docs):
@@ -244,19 +327,45 @@ def test_media(docs):
     assert small.count() == docs.count()
 
 
+def plain_viterbi(e, score, text):
+    """Greatest sum of scores, and the characters that had to be spelled, place by place over all pieces."""
+    place = {p: i for i, p in enumerate(e.pieces) if p}
+    t = "▁" + text.replace(" ", "▁")
+    best = [0.0] + [-math.inf] * len(t)
+    for j in range(1, len(t) + 1):
+        best[j] = max([best[j - 1] - 1e12] + [best[i] + score[place[t[i:j]]] for i in range(max(0, j - 20), j) if t[i:j] in place])
+    return best[-1]
+
+
 def test_pieces(spark, docs):
     e = pieces.Encoder(*pieces.load_pieces(registry.PIECES))
     score = pieces.load_pieces(registry.PIECES)[1]
-    place = {p: i for i, p in enumerate(e.pieces) if p}
-    for t in ["Ouréaux qui", "a  b ▁ c\n", " x ", "日本語 😀 hello world"]:
+    for t in ["Ouréaux qui", "a  b ▁ c\n", " x ", "日本語 😀 hello world", "", " ", "\n\n a"]:
         assert e.decode(e.encode(t)) == t
-    for t in ("▁hello", "▁internationalization", "▁the▁"):
-        best = [0.0] + [-1e300] * len(t)
-        for j in range(1, len(t) + 1):
-            best[j] = max([best[i] + score[place[t[i:j]]] for i in range(j) if t[i:j] in place], default=-1e300)
-        assert sum(score[i] for i in e.word(t)) == pytest.approx(best[-1])
+    rng = np.random.default_rng(5)
+    spelled = {i: b for b, i in e.byte_ids.items()}
+    texts = ["".join(rng.choice(list("abctheré  \n日😀"), rng.integers(1, 60))) for _ in range(200)]
+    for t in texts:
+        ids = e.encode(t)
+        assert e.decode(ids) == t
+        chars = len(bytes(spelled[i] for i in ids if i in spelled).decode())
+        assert sum(score[i] for i in ids if i not in spelled) - 1e12 * chars == pytest.approx(plain_viterbi(e, score, t), abs=1e-3)
+    ids, first = e.encode_block([None, *texts])
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [[], *(e.encode(t) for t in texts)]
     got = pieces.piece_digest(docs, registry.PIECES)
     assert got.where("not exact").count() == 0 and got.count() == docs.count()
+    coded = pieces.decode_pieces(pieces.encode_pieces(docs, registry.PIECES), registry.PIECES)
+    for r, g in zip(coded.collect(), got.collect()):
+        assert r.decoded == r.text and g.n_pieces == len(r.pieces or []) and g.n_spelled == sum(i in spelled for i in r.pieces or [])
+        assert g.pieces_sha256 == (hashlib.sha256(",".join(map(str, r.pieces)).encode()).hexdigest() if r.pieces is not None else None)
+
+
+def test_pieces_beside_columns_of_their_names(spark):
+    d = spark.createDataFrame([("x", [1], "y"), (None, None, "z")], "text string, PIECES array<int>, decoded string")
+    coded = pieces.encode_pieces(d, registry.PIECES)
+    assert coded.columns == ["text", "PIECES", "decoded", "pieces_"] and [r.PIECES for r in coded.collect()] == [[1], None]
+    assert [(r.decoded, r.decoded_) for r in pieces.decode_pieces(coded, registry.PIECES, pieces="pieces_").collect()] == [("y", "x"), ("z", None)]
+    assert pieces.decode_pieces(spark.createDataFrame([([5, None, 6],), ([],)], "pieces array<int>"), registry.PIECES).count() == 2
 
 
 def test_empty_tables(spark, docs):
