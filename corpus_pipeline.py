@@ -1,7 +1,7 @@
 """Cleaning of a corpus in stages; each works on all that the one before kept.
 
 Toxic documents go, one document of each class of near duplicates stays, contaminated documents go, secrets
-are replaced by marks, and the texts are encoded as pieces.  Rows of null doc_id pass the first stages as any other.
+are replaced by marks, and the texts are encoded as pieces.  Rows of null or repeated doc_id are treated as any other.
 """
 
 from __future__ import annotations
@@ -10,19 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brimwell.llm import contamination, near_duplicates, pieces, registry, secret_scan, toxicity
-from brimwell.llm.text import written
-
-
+from brimwell.llm.text import unused, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train_chain(registry.table(spark, sf_dir, "documents"), registry.table(spark, sf_dir, "labels"))
-    return toxicity.toxicity(docs, model).where(~F.col("is_toxic")).select(*docs.columns)
+    (flag,) = unused(["is_toxic"], docs.columns)
+    return toxicity.toxicity(docs, model).where(~F.col(flag)).select(*docs.columns)
 
 
 def keep_one_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return near_duplicates.one_of_each(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
