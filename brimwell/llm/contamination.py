@@ -2,30 +2,38 @@
 
 Texts are split into words; of the k-gram hashes in each window of w places the least one (the last of
 equals) is a fingerprint.  With k + w - 1 <= span, two texts that share `span` words in a row share a
-fingerprint there.  The benchmark's fingerprints, in blocks of bounded size, are joined with those of the
-documents; each hit is then extended: all spans of `span` words around it are looked up among the
-benchmark's.  Items of fewer words than `span` are looked up whole, as spans of their own length.
+fingerprint there.  The documents' fingerprints are looked up among the benchmark's; each hit is then extended:
+all spans of `span` words around it are looked up, first by hash, then word by word.  Items of fewer
+words than `span` are looked up whole, as spans of their own length.
 
-Documents are never shuffled: each block of the benchmark is a pass over the same rows, in one stage.
+The benchmark is taken in blocks of BLOCK_CHARS bytes, of which the driver and every worker hold one at a time.  One
+block is one pass over the documents, without a shuffle.  Of several blocks each is a job of its own that writes
+the hits of the texts it hits, told by the MD5 of the text; these are put together and joined to the documents.
 
 Defined results: null and empty texts have no words and no hits; an item without words is none; equal
-rows give equal rows; tables without rows give none; further columns don't matter; an item_id that
-stands in several rows counts once.
+rows give equal rows; tables without rows give none; an item_id that stands in several rows counts once;
+items of null id hit words as any other and count as one unnamed item, which is not among the names that are
+hashed.  All columns of the input stay as they are: a result column whose name is taken, in any letter case, gets `_`
+put behind its name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .text import blocks, hash_words, split_words, text_bytes, words_of, _GRAM, mix
+from .text import Words, blocks, split_words, text_bytes, unused, written
 
 SPAN, K = 13, 5
 BLOCK_CHARS = 16 << 20  # bytes of the benchmark that one pass holds
+_HITS = ArrayType(StructType().add("a", "long").add("b", "long"))
 
 
 def winnow(h: np.ndarray, ok: np.ndarray, w: int) -> np.ndarray:
@@ -43,57 +51,101 @@ def winnow(h: np.ndarray, ok: np.ndarray, w: int) -> np.ndarray:
     return np.unique(len(h) - 1 - np.concatenate(out))
 
 
+def joined_words(words: Words) -> tuple[bytes, np.ndarray]:
+    """The words with a space behind each, and where each begins."""
+    size = words.end - words.start
+    begin = np.append(0, np.cumsum(size + 1))
+    out = np.full(int(begin[-1]), 32, np.uint8)
+    to = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)
+    out[to] = words.low[to + np.repeat(words.start - begin[:-1], size)]
+    return out.tobytes(), begin
+
+
+class Table:
+    """Spans of one length: by hash, the words of one of them and the items of all."""
+
+    def __init__(self, size: int, hashes: np.ndarray, places: np.ndarray, items: np.ndarray, text: bytes, begin: np.ndarray) -> None:
+        by = np.lexsort((places, hashes))
+        hashes, places, items = hashes[by], places[by], items[by]
+        self.keys, first = np.unique(hashes, return_index=True)
+        self.first, self.items = np.append(first, len(hashes)), items
+        self.low, self.high = begin[places[first]], begin[places[first] + size]
+        self.other: dict[int, dict[bytes, list[int]]] = {}  # spans that share a hash and not the words
+        for n in np.flatnonzero(np.diff(self.first) > 1).tolist():
+            own: dict[bytes, list[int]] = {}
+            for p, item in zip(places[self.first[n] : self.first[n + 1]].tolist(), items[self.first[n] : self.first[n + 1]].tolist()):
+                own.setdefault(text[begin[p] : begin[p + size]], []).append(item)
+            if len(own) > 1:
+                self.other[n] = own
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are here, and their numbers."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.keys[at] == hashes, at
+
+
 class Spans:
     """Fingerprints and spans of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], span: int = SPAN, k: int = K) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes]], span: int = SPAN, k: int = K) -> None:
         self.span, self.k, self.w = span, k, span - k + 1
-        prints, by_size = [np.zeros(0, np.uint64)], {}
-        for name, text in items:
-            h = hash_words(words_of(text))
-            n = len(h)
-            if n == 0:
-                continue
-            size = min(n, span)
-            if size == span:
-                g = _grams(h, k)
-                prints.append(g[winnow(g, np.ones(len(g), bool), self.w)])
-            for x in np.unique(_grams(h, size)).tolist():
-                by_size.setdefault(size, {}).setdefault(x, []).append(name)
-        self.prints = np.unique(np.concatenate(prints))
-        self.names = by_size
-        self.sorted = {s: np.sort(np.fromiter(d, np.uint64, len(d))) for s, d in by_size.items()}
-
-    def block(self, words) -> tuple[np.ndarray, dict[int, list[str]]]:
-        """Which words are hit, and each text's items."""
+        self.names = [name for name, _ in items]
+        data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
+        words = split_words(data, np.append(0, np.cumsum([len(t) for _, t in items])).astype(np.int64))
+        self.text, begin = joined_words(words)
+        n, item = np.diff(words.first), words.text_of()
+        small, fine = words.grams(k)
+        at = winnow(small, fine, self.w)
+        self.prints = np.unique(small[at[fine[at]]])
+        self.tables: dict[int, Table] = {}
+        for size in sorted({min(int(x), span) for x in n if x}):
+            g, ok = words.grams(size)
+            places = np.flatnonzero(ok) if size == span else words.first[:-1][n == size]
+            self.tables[size] = Table(size, g[places], places, item[places], self.text, begin)
+
+    def block(self, words: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
+        """Which words are hit, and each text's items by number."""
         n = len(words.hash)
         cover = np.zeros(n + 1, np.int64)
-        found: dict[int, set[str]] = {}
-        text = words.text_of()
-        for size, table in self.sorted.items():
+        found: dict[int, set[int]] = {}
+        text_of = words.text_of()
+        own = None
+        for size, table in self.tables.items():
             g, ok = words.grams(size)
             if size == self.span:
                 small, fine = words.grams(self.k)
                 at = winnow(small, fine, self.w)
                 at = at[_in(self.prints, small[at]) & fine[at]]
-                near = (at[:, None] - np.arange(self.span - self.k + 1)[None, :]).ravel()
+                near = (at[:, None] - np.arange(self.w)[None, :]).ravel()
                 near = np.unique(near[(near >= 0) & (near < len(g))])
             else:
                 near = np.arange(len(g))
             near = near[ok[near]]
-            near = near[_in(table, g[near])]
-            cover[near] += 1
-            np.subtract.at(cover, near + size, 1)
-            for t, x in {*zip(text[near].tolist(), g[near].tolist())}:
-                found.setdefault(t, set()).update(self.names[size][x])
-        return np.cumsum(cover)[:n] > 0, {t: sorted(x) for t, x in found.items()}
-
-
-def _grams(h: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for j in range(k):
-        out += h[j : len(h) - k + 1 + j] * _GRAM[j]
-    return mix(out)
+            hit, at = table.places(g[near])
+            near, at = near[hit], at[hit]
+            if not len(near):
+                continue
+            if own is None:
+                own = joined_words(words)
+            a, b = own[1][near], own[1][near + size]
+            real = np.ones(len(near), bool)
+            pairs = set()
+            for i, (p, x, lo, hi) in enumerate(zip(near.tolist(), at.tolist(), a.tolist(), b.tolist())):
+                if x in table.other:
+                    items = table.other[x].get(own[0][lo:hi])
+                    real[i] = items is not None
+                    found.setdefault(int(text_of[p]), set()).update(items or ())
+                elif own[0][lo:hi] == self.text[table.low[x] : table.high[x]]:
+                    pairs.add((int(text_of[p]), x))
+                else:
+                    real[i] = False
+            for t, x in pairs:
+                found.setdefault(t, set()).update(table.items[table.first[x] : table.first[x + 1]].tolist())
+            cover[near[real]] += 1
+            np.subtract.at(cover, near[real] + size, 1)
+        return np.cumsum(cover)[:n] > 0, {t: x for t, x in found.items() if x}
 
 
 def _in(table: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -103,11 +155,10 @@ def _in(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return table[np.minimum(at, len(table) - 1)] == x
 
 
-def benchmark_blocks(benchmark: DataFrame, id: str, text: str, size: int = BLOCK_CHARS) -> Iterator[list[tuple[str, bytes]]]:
+def benchmark_blocks(benchmark: DataFrame, id: str, text: str, size: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in blocks of about `size` bytes; only one block at a time is on the driver."""
-    rows = benchmark.select(F.col(id).cast("string").alias("i"), text_bytes(text).alias("t")).where("i is not null")
     held, have = [], 0
-    for r in rows.toLocalIterator():
+    for r in benchmark.select(F.col(id).cast("string").alias("i"), text_bytes(text).alias("t")).toLocalIterator():
         held.append((r.i, bytes(r.t)))
         have += len(r.t)
         if have >= size:
@@ -117,55 +168,96 @@ def benchmark_blocks(benchmark: DataFrame, id: str, text: str, size: int = BLOCK
         yield held
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
-    """The rows and columns of docs with `n_words`, `hits` (array of [begin, end) in words, by block) and `items` (names)."""
-    sc = docs.sparkSession.sparkContext
-    out = docs.withColumns({"brimwell bytes": text_bytes(text), "n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), "items": F.expr("cast(array() as array<string>)")})
-    schema = out.schema
-    passes = 0
-    for items in benchmark_blocks(benchmark, item, item_text):
-        out = out.mapInArrow(_pass(sc.broadcast(items), span, k), schema)
-        passes += 1
-    if not passes:
-        out = out.mapInArrow(_pass(sc.broadcast([]), span, k), schema)
-    return out.drop("brimwell bytes")
+_spans: dict[tuple, Spans] = {}
+
+
+def _spans_of(items, span: int, k: int) -> Spans:
+    """Built once for each worker process, which holds one block."""
+    name = (items.value[0], span, k)
+    if name not in _spans:
+        _spans.clear()
+        _spans[name] = Spans(items.value[1], span, k)
+    return _spans[name]
 
 
-def _pass(items, span: int, k: int):
+def _pass(frame: DataFrame, items, own: str, new: list[str], span: int, k: int) -> DataFrame:
+    """frame with its column `own` replaced by `new`: the number of words, the hits and the items of a block."""
+    kept = [c for c in frame.columns if c != own]
+    schema = StructType([frame.schema[c] for c in kept])
+    for c, kind in zip(new, (LongType(), _HITS, ArrayType(StringType()))):
+        schema = schema.add(c, kind)
+    hits_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = Spans(items.value, span, k)
+        spans = _spans_of(items, span, k)
         for batch in batches:
-            for part, data, offsets in blocks(batch, "brimwell bytes"):
+            for part, data, offsets in blocks(batch, own):
                 words = split_words(data, offsets)
                 hit, found = spans.block(words)
-                hits, names = part.column("hits").to_pylist(), part.column("items").to_pylist()
-                for t, own in found.items():
+                hits, names = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
+                for t, items_ in found.items():
                     a, b = int(words.first[t]), int(words.first[t + 1])
                     edge = np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))
-                    hits[t] += [{"a": int(x), "b": int(y)} for x, y in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0))]
-                    names[t] += own
-                new = {"n_words": pa.array(np.diff(words.first), pa.int64()), "hits": pa.array(hits, part.schema.field("hits").type), "items": pa.array(names, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([new.get(n, part.column(i)) for i, n in enumerate(part.schema.names)], names=part.schema.names)
+                    hits[t] = [{"a": int(x), "b": int(y)} for x, y in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0))]
+                    names[t] = list({spans.names[x] for x in items_})
+                columns = [part.column(part.schema.names.index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(words.first), pa.int64()), pa.array(hits, hits_type), pa.array(names, pa.list_(pa.string()))], names=[*kept, *new])
+
+    return frame.mapInArrow(scan, schema)
 
-    return scan
+
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows and columns of docs with `n_words`, `hits` (array of [a, b) in words; of several blocks they may overlap) and `items` (names)."""
+    share = lambda block: docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
+    *new, own, key = unused(["n_words", "hits", "items", "text bytes", "text md5"], docs.columns)
+    frame = docs.withColumn(own, text_bytes(text))
+    parts = benchmark_blocks(benchmark, item, item_text, block_chars)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return _pass(frame, share(first), own, new, span, k)
+    tables = []
+    for block in chain([first, second], parts):
+        shared = share(block)
+        hit = _pass(frame.select(F.unhex(F.md5(own)).alias(key), own), shared, own, new, span, k).where(F.size(new[1]) > 0)
+        tables.append(written(hit.dropDuplicates([key])))
+        shared.destroy()
+    union = tables[0]
+    for t in tables[1:]:
+        union = union.unionByName(t)
+    found = union.groupBy(key).agg(F.flatten(F.collect_list(new[1])).alias(new[1]), F.flatten(F.collect_list(new[2])).alias(new[2]))  # a row for each block at most
+    plain = _pass(frame.withColumn(key, F.unhex(F.md5(own))), share([]), own, new, span, k).drop(*new[1:])
+    empty = lambda c: F.coalesce(F.col(f"`{c}`"), F.array().cast(found.schema[c].dataType)).alias(c)
+    joined = plain.join(found, key, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], f"`{new[0]}`", empty(new[1]), empty(new[2]))
+
+
+def _verdict(hits: Column, n_words: Column) -> Column:
+    n_hit = covered(hits)
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """A row for each document: id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     s = contaminated_spans(docs.select(F.col(id).alias("brimwell id"), F.col(text).alias("text")), benchmark, text="text", **kw)
-    s = s.withColumn("n_hit", F.when(F.size("hits") == 0, F.lit(0).cast("long")).when(F.size("hits") == 1, F.col("hits")[0]["b"] - F.col("hits")[0]["a"]).otherwise(_union("hits")))
     names = F.array_sort(F.array_distinct("items"))
     return s.select(
-        F.col("brimwell id").alias(id), "n_words", "n_hit", F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.col("brimwell id").alias(id), "n_words", covered(F.col("hits")).alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        _verdict(F.col("hits"), F.col("n_words")).alias("contaminated"),
     )
 
 
-def _union(column: str):
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **kw) -> DataFrame:
+    """The rows and columns of docs that are not contaminated."""
+    n_words, hits = unused(["n_words", "hits"], docs.columns)
+    found = contaminated_spans(docs, benchmark, text=text, **kw)
+    return found.where(~_verdict(F.col(hits), F.col(n_words))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def covered(hits: Column) -> Column:
     """Length of the union of intervals: sorted by begin, folded."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("until"))
     step = lambda s, h: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), h["b"] - F.greatest(h["a"], s["until"]))).alias("n"), F.greatest(s["until"], h["b"]).alias("until"))
-    return F.aggregate(F.array_sort(column), zero, step, lambda s: s["n"])
+    return F.when(F.size(hits) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.array_sort(hits), zero, step, lambda s: s["n"]))
 
 
 ORACLE = r"""

@@ -65,14 +65,16 @@ def test_secrets_of_urls_and_whole_keys(spark):
     assert got == ["a [PEM] b\n[PEM] c", "[PEM]\n\n(cut)", "é see [URL]db.host/x and http://a.b:80/c@d", "http://me:ab@c"]
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("block", [contamination.BLOCK_CHARS, 50])
+def test_contamination(spark, block):
     rng = np.random.default_rng(1)
     w = lambda n: " ".join(rng.choice(list("abcdef"), n))
-    items = [(k, w(n)) for k, n in enumerate([13, 20, 40, 3, 1])] + [(7, None), (8, "")]
-    texts = [w(60) for _ in range(20)] + [f"{w(9)} {items[k][1]} {w(30)}" for k in range(5)] + [None, "", "a"]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = [(k, w(n)) for k, n in enumerate([13, 20, 40, 3, 1])] + [(7, None), (8, ""), (None, w(15)), (None, "zz " * 14), (2, w(13)), (2, w(13))]
+    texts = [w(60) for _ in range(20)] + [f"{w(9)} {items[k][1]} {w(30)}" for k in range(5)] + [None, "", "a", items[7][1], "b " + items[7][1] + " zz" * 13, "x " * 300 + items[1][1]] * 2
+    d = spark.createDataFrame([(k, t, "mine") for k, t in enumerate(texts)], "doc_id long, text string, N_WORDS string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    for r, t in zip(contamination.contamination(d, b).orderBy("doc_id").collect(), texts):
+    kept = []
+    for r, t in zip(contamination.contamination(d, b, block_chars=block).orderBy("doc_id").collect(), texts):
         x, hit, names = words(t), set(), set()
         for k, s in items:
             y = words(s)
@@ -82,8 +84,32 @@ def test_contamination(spark):
                     if x[i : i + n] == y[j : j + n]:
                         hit |= set(range(i, i + n))
                         names.add(k)
-        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(x), len(hit), len(names), bool(hit) and 20 * len(hit) >= len(x))
+        bad = bool(hit) and 20 * len(hit) >= len(x)
+        kept += [r.doc_id] if not bad else []
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(x), len(hit), len(names), bad)
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(str(k) for k in names if k is not None)).encode()).hexdigest()
+    got = contamination.decontaminated(d, b, block_chars=block)
+    assert got.columns == d.columns and sorted(r.doc_id for r in got.where("N_WORDS = 'mine'").collect()) == kept
     assert contamination.contamination(d, b.limit(0)).where("n_hit > 0").count() == 0
+    assert contamination.contamination(d.limit(0), b).count() == 0
+
+
+def test_words_are_compared_and_not_their_hashes_alone(spark, monkeypatch):
+    """With hashes of which many are equal, hits are those of equal words."""
+    from brimwell.llm import text
+
+    real = text.hash_runs
+    monkeypatch.setattr(text, "hash_runs", lambda *a: real(*a) % np.uint64(2))
+    spans = contamination.Spans([("a", b"p q r s"), ("b", b"p q r t"), ("c", b"one two three"), (None, b"t")], span=4, k=2)
+    for t, want, items in ((b"p q r s", 4, {0}), (b"x p q r t x", 4, {1, 3}), (b"two one three", 0, None), (b"s r q p", 0, None)):
+        hit, found = spans.block(text.split_words(np.frombuffer(t, np.uint8), np.array([0, len(t)])))
+        assert (int(hit.sum()), found.get(0)) == (want, items)
+
+
+def test_long_words_have_their_own_hash():
+    from brimwell.llm.text import hash_words
+
+    assert len(set(hash_words([b"a" * 4096 + b"b", b"b" + b"a" * 4096, b"a" * 4097, b"ab" + b"a" * 4095]).tolist())) == 4
 
 
 def plain_ppm(train, text, order):
