@@ -24,9 +24,7 @@ def keep_one_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination.contaminated_spans(docs, registry.table(spark, sf_dir, "benchmark"))
-    hit = contamination._union("hits")
-    return found.where(~((hit > 0) & (20 * hit >= F.col("n_words")))).select(*docs.columns)
+    return contamination.decontaminated(docs, registry.table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
