@@ -1,69 +1,88 @@
-"""Merkle fixity audit of two replicas of an archive, in DataFrame operations alone.
+"""Merkle fixity audit of two replicas of an archive of WARC records, in DataFrame operations alone.
 
-A record's leaf is the SHA-256 of its fields.  Records lie in archives of WIDTH ordinals; a node of level k
-covers the ordinals of WIDTH**k places and holds the SHA-256 of its children's hashes in order, so a group has
-at most WIDTH rows and a tree of n records has few levels.  Roots are compared first; below, only the children
-of nodes that differ are compared, level by level, down to the records.
+A record's leaf is the SHA-256 of its bytes.  Records lie in the archive by their ordinals; a node of level k
+covers the ordinals of WIDTH**k places, and so one range of bytes of the archive.  It holds the SHA-256 of its children's
+places, bytes and hashes in order, so a group has at most WIDTH rows and a tree of n records has few levels.
+Roots are compared first; below, only the children of nodes that differ are compared, level by level, down to the
+records.  The byte offset of a node comes down the same way: its parent's, and the bytes of the siblings before it.
 
-Defined results: null fields count as a field of their own kind, unlike an empty one; rows of one ordinal are
-one leaf of all their hashes in order; rows of null ordinal stand at -1; empty replicas agree.
+Defined results: a null url or body leaves its header line and body away; rows of one ordinal are one leaf, of the
+sum of their hashes where there are several, so that no group is collected; records of null ordinal come first in the
+archive, by their hash, and have a null key; empty replicas agree; further columns don't matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import written
 
-WIDTH = 64
+BITS = 6
+WIDTH = 1 << BITS
+LOOSE = (1 << 40) - 1  # places that records of null ordinal are dealt to, by hash
 
 
-def leaves(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(node, hash, bytes) of level 0."""
-    field = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.sha2(F.col(c).cast("binary"), 256)))
-    own = records.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("node"), F.sha2(F.concat_ws(",", *map(field, fields)), 256).alias("hash"), sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in fields), F.lit(0)).cast("long").alias("bytes"))
-    # repeated rows are counted, not collected: a leaf has at most its distinct records
-    own = own.groupBy("node", "hash", "bytes").agg(F.count("*").alias("n"))
-    part = F.concat(F.col("hash"), F.when(F.col("n") > 1, F.concat(F.lit("x"), F.col("n"))).otherwise(""))
-    one = own.groupBy("node").agg(F.array_sort(F.collect_list(part)).alias("h"), F.sum(F.col("bytes") * F.col("n")).alias("bytes"))
-    return one.select("node", F.when((F.size("h") == 1) & ~F.col("h")[0].contains("x"), F.col("h")[0]).otherwise(F.sha2(F.array_join("h", ","), 256)).alias("hash"), "bytes")
+def warc_record(url: str, body: str) -> Column:
+    """The bytes of a WARC response record."""
+    line = lambda *x: F.concat(*x, F.lit("\r\n"))
+    uri = F.when(F.col(url).isNotNull(), line(F.lit("WARC-Target-URI: "), F.col(url).cast("string"))).otherwise("")
+    size = F.octet_length(F.col(body).cast("string")).cast("string")
+    content = F.when(F.col(body).isNotNull(), F.concat(line(F.lit("Content-Length: "), size), line(), F.col(body).cast("string"))).otherwise(line())
+    return F.concat(line(F.lit("WARC/1.1")), line(F.lit("WARC-Type: response")), uri, content, line(), line())
+
+
+def leaves(records: DataFrame, key: str, record: str, base: int) -> DataFrame:
+    """(node, hash, bytes) of level 0; null keys lie at `base` and before."""
+    own = records.select(F.col(key).cast("long").alias("key"), F.sha2(F.col(record).cast("binary"), 256).alias("hash"), F.octet_length(record).cast("long").alias("bytes"))
+    node = F.coalesce("key", F.lit(base) - F.xxhash64("hash").bitwiseAND(F.lit(LOOSE)))
+    parts = [F.sum(F.conv(F.substring("hash", 1 + k, 11), 16, 10).cast("decimal(20,0)")) for k in range(0, 64, 11)]
+    one = own.groupBy(node.alias("node")).agg(F.count("*").alias("n"), F.min("hash").alias("h"), F.concat_ws(":", *[p.cast("string") for p in parts]).alias("sums"), F.sum("bytes").alias("bytes"))
+    return one.select("node", F.when(F.col("n") == 1, F.col("h")).otherwise(F.sha2(F.concat_ws(":", F.col("n").cast("string"), "sums"), 256)).alias("hash"), "bytes")
 
 
 def parents(level: DataFrame) -> DataFrame:
-    """The next level: ordered hashes of up to WIDTH children, and the range of bytes they cover."""
-    up = F.floor(F.col("node") / WIDTH).cast("long")
-    return level.groupBy(up.alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "hash", "bytes"))).alias("c")).select(
-        F.col("up").alias("node"), F.sha2(F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["node"].cast("string"), x["bytes"].cast("string"), x["hash"])), ","), 256).alias("hash"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["bytes"]).alias("bytes")
-    )
+    """The next level: ordered hashes of up to WIDTH children, and the bytes they cover."""
+    up = level.groupBy(F.shiftright("node", BITS).alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "hash", "bytes"))).alias("c"))
+    child = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["node"].cast("string"), x["bytes"].cast("string"), x["hash"])), ",")
+    return up.select(F.col("up").alias("node"), F.sha2(child, 256).alias("hash"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["bytes"]).alias("bytes"))
 
 
-def tree(records: DataFrame, key: str, fields: list[str], depth: int) -> list[DataFrame]:
-    levels = [written(leaves(records, key, fields))]
+def tree(records: DataFrame, key: str, record: str, base: int, depth: int) -> list[DataFrame]:
+    levels = [written(leaves(records, key, record, base))]
     for _ in range(depth):
         levels.append(written(parents(levels[-1])))
     return levels
 
 
-def audit(left: DataFrame, right: DataFrame, *, key: str, fields: list[str]) -> DataFrame:
-    """A row for each record that differs: key, left_hash, right_hash, status (changed, lost, added), levels (compared on the way)."""
-    low, high = left.select(key).unionByName(right.select(key)).agg(F.min(key), F.max(key)).first()
-    span = max(abs(low or 0), abs(high or 0), 1)
+def audit(left: DataFrame, right: DataFrame, *, key: str, record: str) -> DataFrame:
+    """A row for each place whose records differ: key, status (changed, lost, added), and hash, byte offset and bytes in both replicas."""
+    both = left.select(key).unionByName(right.select(key))
+    low, high, loose = both.agg(F.min(key), F.max(key), F.count(F.when(F.col(key).isNull(), 1))).first()
+    base = (low or 0) - 1
+    span = max(abs(high or 0), abs(base - (LOOSE if loose else 0)))
     depth = 1
-    while WIDTH**depth <= span:
+    while span >> (BITS * depth):
         depth += 1
-    a, b = tree(left, key, fields, depth), tree(right, key, fields, depth)
+    trees = {"left": tree(left, key, record, base, depth), "right": tree(right, key, record, base, depth)}
     bad = None
     for k in range(depth, -1, -1):
-        x, y = a[k].select("node", F.col("hash").alias("left_hash")), b[k].select("node", F.col("hash").alias("right_hash"))
-        if bad is not None:
-            up = bad.select(F.col("node").alias("up"))
-            below = F.floor(F.col("node") / WIDTH).cast("long")
-            x, y = (t.join(up, below == F.col("up"), "left_semi") for t in (x, y))
-        bad = x.join(y, "node", "full").where(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
+        sides = []
+        for side, levels in trees.items():
+            own = levels[k].select("node", F.col("hash").alias(f"{side}_hash"), F.col("bytes").alias(f"{side}_bytes"))
+            if bad is None:  # the top has two nodes at most, of the places below and from 0
+                begin, within = F.lit(0), Window.partitionBy(F.lit(0))
+            else:
+                up = bad.select(F.col("node").alias("up"), F.col(f"{side}_offset").alias("begin"))
+                own = own.join(up, F.shiftright("node", BITS) == F.col("up"))
+                begin, within = F.col("begin"), Window.partitionBy("up")
+            before = F.sum(f"{side}_bytes").over(within.orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+            sides.append(own.select("node", f"{side}_hash", (begin + F.coalesce(before, F.lit(0))).alias(f"{side}_offset"), f"{side}_bytes"))
+        bad = sides[0].join(sides[1], "node", "full").where(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
         bad = written(bad) if k else bad
     status = F.when(F.col("right_hash").isNull(), "lost").when(F.col("left_hash").isNull(), "added").otherwise("changed")
-    return bad.select(F.col("node").alias(key), "left_hash", "right_hash", status.alias("status"), F.lit(depth + 1).cast("long").alias("levels"))
+    place = F.when(F.col("node") > base, F.col("node")).alias(key)
+    return bad.select(place, status.alias("status"), *[f"{side}_{c}" for side in trees for c in ("hash", "offset", "bytes")])
 
 
 def decayed(pages: DataFrame) -> DataFrame:
@@ -73,14 +92,17 @@ def decayed(pages: DataFrame) -> DataFrame:
 
 
 def merkle_digest(pages: DataFrame) -> DataFrame:
-    return audit(pages.select("page_id", "url", "html"), decayed(pages), key="page_id", fields=["url", "html"]).select("page_id", "left_hash", "right_hash", "status")
+    archived = lambda t: t.select("page_id", warc_record("url", "html").alias("record"))
+    return audit(archived(pages), archived(decayed(pages)), key="page_id", record="record")
 
 
-_HASH = "sha256(CASE WHEN {u} IS NULL THEN '-' ELSE '+'||sha256({u}) END || ',' || CASE WHEN {h} IS NULL THEN '-' ELSE '+'||sha256({h}) END)"
+_RECORD = """'WARC/1.1'||n||'WARC-Type: response'||n||CASE WHEN url IS NULL THEN '' ELSE 'WARC-Target-URI: '||url||n END
+ ||CASE WHEN html IS NULL THEN n ELSE 'Content-Length: '||strlen(html)||n||n||html END||n||n"""
+_PLACED = f"SELECT page_id, sha256(w) AS hash, CAST(strlen(w) AS BIGINT) AS bytes, CAST(coalesce(sum(strlen(w)) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM (SELECT page_id, {_RECORD} AS w FROM {{}}, (SELECT chr(13)||chr(10) AS n))"
 ORACLE = f"""
-WITH a AS (SELECT page_id, {_HASH.format(u='url', h='html')} AS x FROM pages),
-r AS (SELECT page_id, CASE WHEN page_id%83=5 THEN url||'#' ELSE url END AS url, CASE WHEN page_id%97=13 THEN '?'||substring(html,2) ELSE html END AS html FROM pages WHERE page_id%89<>7),
-b AS (SELECT page_id, {_HASH.format(u='url', h='html')} AS x FROM r)
-SELECT page_id, a.x AS left_hash, b.x AS right_hash, CASE WHEN b.x IS NULL THEN 'lost' WHEN a.x IS NULL THEN 'added' ELSE 'changed' END AS status
-FROM a FULL JOIN b USING (page_id) WHERE a.x IS DISTINCT FROM b.x
+WITH r AS (SELECT page_id, CASE WHEN page_id%83=5 THEN url||'#' ELSE url END AS url, CASE WHEN page_id%97=13 THEN '?'||substring(html,2) ELSE html END AS html FROM pages WHERE page_id%89<>7),
+a AS ({_PLACED.format('pages')}), b AS ({_PLACED.format('r')})
+SELECT page_id, CASE WHEN b.hash IS NULL THEN 'lost' WHEN a.hash IS NULL THEN 'added' ELSE 'changed' END AS status,
+ a.hash AS left_hash, a.at AS left_offset, a.bytes AS left_bytes, b.hash AS right_hash, b.at AS right_offset, b.bytes AS right_bytes
+FROM a FULL JOIN b USING (page_id) WHERE a.hash IS DISTINCT FROM b.hash
 """

@@ -1,15 +1,16 @@
 """License scans: named phrases, and an exact set-similarity join of text blocks with license templates.
 
 A text's blocks are windows of BLOCK words, one every STEP words, so any BLOCK - STEP words in a row
-are in one block.  A block matches a template when it holds at least the share `threshold` of the
-template's distinct words.  The join is exact and uses the usual filters: tokens are ordered by their
-frequency over the whole corpus, rare first; a block that matches must hold one of the first
-|T| - need + 1 tokens of the template (prefix filter); it must have `need` distinct tokens at all (length
-filter); and the template's tokens from the first one held on must be `need` at least (positional filter).
+are in one block.  A block matches a template (a paragraph of a license) when it holds at least the share
+`threshold` of the template's distinct words.  The join is exact and uses the usual filters.  Tokens are ordered by their
+frequency over the whole corpus, rare first, on both sides; of a block only the words that any template
+has are kept, as no other can be shared.  The first shared token must be one of the first |T| - need + 1 tokens of
+the template (prefix filter); the block must have `need` kept tokens at all (length filter); and from the first
+shared token on both the template and the block must have `need` (positional filter).
 Templates are a fixed, short list, so the side that is indexed is broadcast and no text is shuffled.
 
-Defined results: null and empty texts have no words, no labels and score 0; places are null where no phrase
-stands; equal rows give equal rows; further columns don't matter.
+Defined results: null and empty texts have no words, no labels, no blocks and score 0; places are null where no phrase
+stands; equal rows give equal rows; further columns don't matter; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,17 +26,29 @@ from pyspark.sql import functions as F
 from .text import blocks, hash_words, split_words, text_bytes, words_of
 
 BLOCK, STEP, THRESHOLD = 96, 32, 0.8
+BLOCKS = pa.list_(pa.struct([("first", pa.int64()), ("template", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
 
-# Phrases with their labels, and opening sentences of common licenses with theirs.
+# Phrases with their labels, and paragraphs of common licenses with theirs.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software."),
     ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind, either express or implied"),
+    ("apache", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
     ("cc", "This work is licensed under a Creative Commons Attribution International License"),
 )
@@ -44,37 +57,40 @@ TEMPLATES = (
 class Templates:
     def __init__(self, templates, frequency: dict[int, int], threshold: float) -> None:
         self.labels = [label for label, _ in templates]
-        self.tokens = []
-        self.need = []
-        for _, text in templates:
-            own = set(hash_words(words_of(text.encode())).tolist())
-            self.tokens.append(sorted(own, key=lambda x: (frequency.get(x, 0), x)))
-            self.need.append(math.ceil(threshold * len(own) - 1e-9))
+        sets = [set(hash_words(words_of(text.encode())).tolist()) for _, text in templates]
+        self.all = np.array(sorted({x for own in sets for x in own}), np.uint64)
+        order = sorted(self.all.tolist(), key=lambda x: (frequency.get(x, 0), x))
+        self.rank = {x: k for k, x in enumerate(order)}
+        self.tokens = [sorted(self.rank[x] for x in own) for own in sets]
+        self.sets = [frozenset(own) for own in self.tokens]
+        self.need = [math.ceil(threshold * len(own) - 1e-9) for own in self.tokens]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for t, own in enumerate(self.tokens):
             for place, x in enumerate(own[: len(own) - self.need[t] + 1]):
                 self.prefix.setdefault(x, []).append((t, place))
-        self.keys = np.array(sorted(self.prefix), np.uint64)
-        self.all = np.array(sorted({x for own in self.tokens for x in own}), np.uint64)
-
-    def matches(self, h: np.ndarray, hits: np.ndarray) -> dict[int, float]:
-        """Best containment by template among the blocks of one text; hits are places of prefix tokens."""
-        best: dict[int, float] = {}
+        self.keys = np.array(sorted(order[x] for x in self.prefix), np.uint64)
+
+    def block(self, words: list[int]) -> list[tuple[int, float]]:
+        """(template, containment) of all templates that a block of word hashes matches."""
+        own = sorted({self.rank[x] for x in words if x in self.rank})
+        met: set[int] = set()
+        out = []
+        for j, x in enumerate(own):
+            for t, i in self.prefix.get(x, ()):
+                if t in met:
+                    continue
+                met.add(t)  # the first token they share
+                if len(own) >= self.need[t] and min(len(self.tokens[t]) - i, len(own) - j) >= self.need[t]:
+                    have = len(self.sets[t].intersection(own))
+                    if have >= self.need[t]:
+                        out.append((t, have / len(self.tokens[t])))
+        return sorted(out)
+
+    def matches(self, h: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, float]]:
+        """(first word of the block, template, containment) of one text; hits are places of prefix tokens."""
         last = max(0, -(-(len(h) - BLOCK) // STEP))
         numbers = {b for p in hits.tolist() for b in range(max(0, -(-(p - BLOCK + 1) // STEP)), min(last, p // STEP) + 1)}
-        for b in sorted(numbers):
-            own = set(h[b * STEP : b * STEP + BLOCK].tolist())
-            first: dict[int, int] = {}
-            for x in own:
-                for t, place in self.prefix.get(x, ()):
-                    first[t] = min(place, first.get(t, place))
-            for t, place in first.items():
-                need, size = self.need[t], len(self.tokens[t])
-                if len(own) >= need and size - place >= need:
-                    have = len(own.intersection(self.tokens[t]))
-                    if have >= need:
-                        best[t] = max(best.get(t, 0), have / size)
-        return best
+        return [(b * STEP, t, share) for b in sorted(numbers) for t, share in self.block(h[b * STEP : b * STEP + BLOCK].tolist())]
 
 
 def token_frequencies(docs: DataFrame, text: str, tokens: np.ndarray) -> dict[int, int]:
@@ -94,7 +110,8 @@ def token_frequencies(docs: DataFrame, text: str, tokens: np.ndarray) -> dict[in
 
 
 def scan_licenses(docs: DataFrame, *, id: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document: id, n_words, n_base, first_word, last_word, base_labels, labels, score (best containment; a phrase counts as 1)."""
+    """A row for each document: id, n_words, n_base, first_word, last_word, base_labels, labels, score (best containment; a phrase counts as 1),
+    blocks (array of struct: first word, number and label of the template, containment), by first word."""
     tokens = Templates(templates, {}, threshold).all
     frequency = token_frequencies(docs, text, tokens)
     kind = docs.schema[id].dataType.simpleString()
@@ -130,14 +147,16 @@ def scan_licenses(docs: DataFrame, *, id: str = "doc_id", text: str = "text", ph
                 at = np.minimum(np.searchsorted(index.keys, w.hash), len(index.keys) - 1)
                 hits = np.flatnonzero(index.keys[at] == w.hash)
                 cut = np.searchsorted(hits, w.first)
+                found: list[list] = [[] for _ in range(n)]
                 for t in np.unique(text_of[hits]).tolist():
                     a, b = int(w.first[t]), int(w.first[t + 1])
-                    for m, share in index.matches(w.hash[a:b], hits[cut[t] : cut[t + 1]] - a).items():
+                    for first, m, share in index.matches(w.hash[a:b], hits[cut[t] : cut[t + 1]] - a):
+                        found[t].append({"first": first, "template": m, "label": index.labels[m], "containment": share})
                         labels.setdefault(t, set()).add(index.labels[m])
                         score[t] = max(score[t], share)
                 none = count == 0
                 names = lambda d: pa.array([",".join(sorted(d.get(t, ()))) for t in range(n)], pa.string())
-                columns = [part.column("id"), pa.array(np.diff(w.first)), pa.array(count), pa.array(low, pa.int64(), mask=none), pa.array(high, pa.int64(), mask=none), names(base), names(labels), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+                columns = [part.column("id"), pa.array(np.diff(w.first)), pa.array(count), pa.array(low, pa.int64(), mask=none), pa.array(high, pa.int64(), mask=none), names(base), names(labels), pa.array(score), pa.array(found, BLOCKS)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"])
 
-    return own.mapInArrow(scan, f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double").withColumnRenamed("id", id)
+    return own.mapInArrow(scan, f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<first:long,template:long,label:string,containment:double>>").withColumnRenamed("id", id)

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from brimwell.llm import contamination, language_id, license_scan, lm_score, media, near_duplicates, pieces, ppm, registry, secret_scan, toxicity
+from brimwell.llm import contamination, fixity, language_id, license_scan, lm_score, media, near_duplicates, pieces, ppm, registry, secret_scan, toxicity
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -33,14 +33,60 @@ def test_licenses(docs):
         assert r.base_labels == ",".join(sorted({x for _, x in at}))
 
 
-def test_license_template_found_where_brute_force_finds_it(spark):
-    body = license_scan.TEMPLATES[4][1]
-    cut = " ".join(body.split()[2:])
-    d = spark.createDataFrame([(1, "z " * 150 + body + " z" * 90), (2, cut), (3, "redistribution and use")], "doc_id long, text string")
-    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(d).collect()}
-    own = set(words(body))
-    assert got[1] == ("bsd", 1.0) and got[3] == ("", 0.0)
-    assert got[2][1] == pytest.approx(len(own & set(words(cut))) / len(own))
+def test_license_blocks_are_those_that_brute_force_finds(spark):
+    rng = np.random.default_rng(9)
+    bodies = [t for _, t in license_scan.TEMPLATES]
+    sets = [set(words(t)) for t in bodies]
+    pool = [w for t in bodies for w in words(t)]
+    texts = []
+    for k in range(120):
+        own = bodies[k % len(bodies)].split()
+        own = [w for w in own if rng.random() > k / 400]
+        rng.shuffle(own) if k % 3 == 0 else None
+        texts.append(" ".join([*rng.choice(pool, rng.integers(0, 150)), *own, *rng.choice(pool, rng.integers(0, 90))]))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = 0
+    for r in license_scan.scan_licenses(d).collect():
+        w, want = words(texts[r.doc_id]), []
+        for a in range(0, max(1, len(w) - license_scan.BLOCK + license_scan.STEP), license_scan.STEP):
+            block = set(w[a : a + license_scan.BLOCK])
+            want += [(a, t, len(block & s) / len(s)) for t, s in enumerate(sets) if len(block & s) >= 0.8 * len(s) - 1e-9]
+        assert [(b.first, b.template, b.containment) for b in r.blocks] == want
+        assert {b.label for b in r.blocks} <= set(r.labels.split(",")) and r.score == max([x for *_, x in want] + [float(r.n_base > 0)])
+        some += len(want)
+    assert some > 60
+
+
+def test_fixity_by_brute_force(spark):
+    """Changed, lost and added records, null and repeated ordinals, null fields; offsets in both replicas."""
+    rng = np.random.default_rng(10)
+    left = [(int(k), f"u{k}", "x" * int(rng.integers(0, 50))) for k in rng.integers(-300, 5000, 400)] + [(None, "n", "a"), (None, None, None), (7000, "é", "ü"), (7000, "é", "ü")]
+    right = [(k, u, t + "!" if i % 37 == 5 else t) for i, (k, u, t) in enumerate(left[:-3]) if i % 41 != 7] + [(9000, "new", None), (None, None, ""), (7000, "é", "ü")]
+    rng.shuffle(right)
+    right = [(None if k is None else int(k), u, t) for k, u, t in right]
+    frame = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", fixity.warc_record("url", "html").alias("record"))
+
+    def places(rows):
+        """{key: (multiset of records, offset, bytes)} of the ordinals that are not null; nulls come first."""
+        n = "\r\n"
+        record = lambda u, t: ("WARC/1.1" + n + "WARC-Type: response" + n + (f"WARC-Target-URI: {u}{n}" if u is not None else "") + (f"Content-Length: {len(t.encode())}{n}{n}{t}" if t is not None else n) + n + n).encode()
+        at = sum(len(record(u, t)) for k, u, t in rows if k is None)
+        out = {}
+        for key in sorted({k for k, *_ in rows if k is not None}):
+            own = Counter(record(u, t) for k, u, t in rows if k == key)
+            size = sum(len(r) * m for r, m in own.items())
+            out[key] = (own, at, size)
+            at += size
+        return out
+
+    a, b = places(left), places(right)
+    want = {k: ((a[k][1:] if k in a else (None, None)), (b[k][1:] if k in b else (None, None))) for k in a.keys() | b.keys() if a.get(k, [None])[0] != b.get(k, [None])[0]}
+    rows = fixity.audit(frame(left), frame(right), key="page_id", record="record").collect()
+    got = {r.page_id: ((r.left_offset, r.left_bytes), (r.right_offset, r.right_bytes)) for r in rows if r.page_id is not None}
+    assert got == want and {r.status for r in rows} == {"changed", "lost", "added"}
+    assert sorted(r.status for r in rows if r.page_id is None) == ["added", "lost"]
+    assert fixity.audit(frame(left), frame(left[::-1]), key="page_id", record="record").count() == 0
+    assert fixity.audit(frame([]), frame([]), key="page_id", record="record").count() == 0
 
 
 def base_spans(t):
