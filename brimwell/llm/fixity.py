@@ -92,8 +92,10 @@ def decayed(pages: DataFrame) -> DataFrame:
 
 
 def merkle_digest(pages: DataFrame) -> DataFrame:
+    """The audit of pages against a damaged replica; -1 for the place of a record that a replica lacks."""
     archived = lambda t: t.select("page_id", warc_record("url", "html").alias("record"))
-    return audit(archived(pages), archived(decayed(pages)), key="page_id", record="record")
+    out = audit(archived(pages), archived(decayed(pages)), key="page_id", record="record")
+    return out.withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in out.columns if c.endswith(("_offset", "_bytes"))})
 
 
 _RECORD = """'WARC/1.1'||n||'WARC-Type: response'||n||CASE WHEN url IS NULL THEN '' ELSE 'WARC-Target-URI: '||url||n END
@@ -103,6 +105,6 @@ ORACLE = f"""
 WITH r AS (SELECT page_id, CASE WHEN page_id%83=5 THEN url||'#' ELSE url END AS url, CASE WHEN page_id%97=13 THEN '?'||substring(html,2) ELSE html END AS html FROM pages WHERE page_id%89<>7),
 a AS ({_PLACED.format('pages')}), b AS ({_PLACED.format('r')})
 SELECT page_id, CASE WHEN b.hash IS NULL THEN 'lost' WHEN a.hash IS NULL THEN 'added' ELSE 'changed' END AS status,
- a.hash AS left_hash, a.at AS left_offset, a.bytes AS left_bytes, b.hash AS right_hash, b.at AS right_offset, b.bytes AS right_bytes
+ a.hash AS left_hash, coalesce(a.at, -1) AS left_offset, coalesce(a.bytes, -1) AS left_bytes, b.hash AS right_hash, coalesce(b.at, -1) AS right_offset, coalesce(b.bytes, -1) AS right_bytes
 FROM a FULL JOIN b USING (page_id) WHERE a.hash IS DISTINCT FROM b.hash
 """
