@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from .text import blocks, text_bytes, unused
 
 MARK = "▁"
-KEEP = 400_000  # words a worker remembers, and pieces of them in tens
+KEEP = 150_000  # words a worker remembers, and pieces of them in tens
 _BYTE_COST = 1e12  # a byte piece is the last resort
 
 
