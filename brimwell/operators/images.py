@@ -5,13 +5,15 @@ Null frames, null pixel arrays and null pixels are skipped by aggregates and sta
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def halved(frames: DataFrame) -> DataFrame:
-    """Unsigned 16-bit pixels as signed ones: floor(v / 2)."""
-    return frames.withColumn("pixels", F.transform("pixels", lambda v: F.floor(v / 2).cast("int")))
+def halved(frames: DataFrame, unsigned: bool = True) -> DataFrame:
+    """Pixels as signed 16-bit ones: unsigned values are halved (floor), others cut to their whole part."""
+    return frames.withColumn("pixels", F.transform("pixels", lambda v: (F.floor(v / 2) if unsigned else v).cast("short").cast("int")))
 
 
 def cropped(frames: DataFrame, width: int, y: tuple[int, int], x: tuple[int, int]) -> DataFrame:
@@ -20,20 +22,34 @@ def cropped(frames: DataFrame, width: int, y: tuple[int, int], x: tuple[int, int
     return frames.withColumn("pixels", F.filter("pixels", inside))
 
 
-def without_artifact(frames: DataFrame, artifact: int = 1000, chunk: int = 7000) -> DataFrame:
-    """Drops leading frames so that the rest is whole chunks: the remainder if it covers the artifact, else as many more as needed."""
+def without_artifact(frames: DataFrame, artifact: int = 1000, chunk: int = 7000, by: tuple[str, ...] = ()) -> DataFrame:
+    """Drops leading frames of each session (`by`) so that the rest is whole chunks: the remainder if it covers the artifact, else as many more as needed."""
     n, rest = F.col("n"), F.col("n") % chunk
     crop = F.when(rest >= artifact, rest).otherwise(artifact + F.pmod(n - artifact, F.lit(chunk)))
-    one = frames.agg(F.count("*").alias("n")).select(crop.alias("crop"))
-    return frames.crossJoin(F.broadcast(one)).where("frame >= crop").withColumn("frame", F.col("frame") - F.col("crop")).drop("crop")  # one row
+    per = frames.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count("*").alias("n")).select(*[f"_{c}" for c in by], crop.alias("_crop"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    both = frames.join(per, same) if by else frames.crossJoin(F.broadcast(per))  # one row
+    return both.where("frame >= _crop").withColumn("frame", F.col("frame") - F.col("_crop")).drop("_crop", *[f"_{c}" for c in by])
 
 
-def stacks(frames: DataFrame, size: int = 7000) -> DataFrame:
-    """The stacks of `size` frames each: chunk, its name `k_of_N` counted from 1 (k with two digits at least), and its frames."""
+def stacks(frames: DataFrame, size: int = 7000, by: tuple[str, ...] = ()) -> DataFrame:
+    """The stacks of `size` frames each of every session (`by`): chunk, its name `k_of_N` counted from 1 (k with two digits at least), and its frames."""
     two = lambda c: F.when(c < 10, F.concat(F.lit("0"), c.cast("string"))).otherwise(c.cast("string"))
-    per = frames.groupBy(F.floor(F.col("frame") / size).alias("chunk")).agg(F.count("*").alias("n_frames"), F.min("frame").alias("first_frame"))
-    total = F.broadcast(frames.agg(F.ceil(F.count("*") / size).alias("total")))  # one row
-    return per.crossJoin(total).select("chunk", F.concat(two(F.col("chunk") + 1), F.lit("_of_"), F.col("total").cast("string")).alias("name"), "n_frames", "first_frame")
+    per = frames.groupBy(*by, F.floor(F.col("frame") / size).alias("chunk")).agg(F.count("*").alias("n_frames"), F.min("frame").alias("first_frame"))
+    total = frames.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.ceil(F.count("*") / size).alias("total"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    both = per.join(total, same) if by else per.crossJoin(F.broadcast(total))  # one row
+    return both.select(*by, "chunk", F.concat(two(F.col("chunk") + 1), F.lit("_of_"), F.col("total").cast("string")).alias("name"), "n_frames", "first_frame")
+
+
+def write_stacks(frames: DataFrame, path: str, size: int = 7000, by: tuple[str, ...] = ("channel", "plane")) -> None:
+    """Writes stacks as Parquet folders by `by` and chunk; frames of a chunk meet in one file, in order."""
+    chunked = frames.withColumn("chunk", F.floor(F.col("frame") / size))
+    chunked.repartition(*by, "chunk").sortWithinPartitions(*by, "chunk", "frame").write.partitionBy(*by, "chunk").parquet(path)
 
 
 def pixel_rows(frames: DataFrame, width: int) -> DataFrame:
@@ -42,16 +58,56 @@ def pixel_rows(frames: DataFrame, width: int) -> DataFrame:
     return p.select("frame", F.floor(F.col("i") / width).alias("y"), (F.col("i") % width).cast("long").alias("x"), "value")
 
 
+def _summed(frames: DataFrame, width: int, block: tuple[int, int, int] | None, how: str = "sum") -> DataFrame:
+    """(frame, y, x, value, n): packed images reduced in each task by blocks, and those partial images by aggregation."""
+    z, by, bx = block or (0, 1, 1)
+    fold = {"sum": np.add, "max": np.maximum, "min": np.minimum}[how]
+
+    def reduce(batches):
+        for batch in batches:
+            held: dict[tuple[int, int], list[np.ndarray]] = {}
+            for f, p in zip(batch.column("frame").to_pylist(), batch.column("pixels")):
+                v = np.array([np.nan if x is None else x for x in p.as_py() or []], float)
+                key = (f // z if z else 0, len(v))
+                known = ~np.isnan(v)
+                v[~known] = {"sum": 0.0, "max": -np.inf, "min": np.inf}[how]
+                one = held.setdefault(key, [v, known.astype(np.int64)])
+                if one[0] is not v:
+                    fold(one[0], v, out=one[0])
+                    one[1] += known
+            for (f, n), (v, known) in held.items():
+                i = np.flatnonzero(known)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), f)), pa.array(i // width // by), pa.array(i % width // bx), pa.array(v[i]), pa.array(known[i])], names=["frame", "y", "x", "value", "n"])
+
+    parts = frames.where("pixels is not null" + (" and frame is not null" if z else "")).select(F.coalesce(F.col("frame").cast("long"), F.lit(0)).alias("frame"), F.transform("pixels", lambda v: v.cast("double")).alias("pixels"))
+    return parts.mapInArrow(reduce, "frame long, y long, x long, value double, n long").groupBy("frame", "y", "x").agg(getattr(F, how)("value").alias("value"), F.sum("n").alias("n"))
+
+
 def mean_image(frames: DataFrame, width: int) -> DataFrame:
-    """Mean of each pixel over the frames; partial sums are combined before the shuffle."""
-    return pixel_rows(frames, width).groupBy("y", "x").agg(F.avg("value").alias("value"))
+    """Mean of each pixel over the frames: tasks sum whole images, a row for each pixel and task is shuffled."""
+    return _summed(frames, width, None).select("y", "x", (F.col("value") / F.col("n")).alias("value"))
 
 
-def grouped_mean(frames: DataFrame, width: int, block: tuple[int, int, int]) -> DataFrame:
-    """Mean of blocks of (frames, rows, columns), as whole numbers; what a partial block lacks counts as 0."""
+def grouped(frames: DataFrame, width: int, block: tuple[int, int, int], how: str = "mean") -> DataFrame:
+    """Blocks of (frames, rows, columns) reduced to whole numbers (cut towards 0): mean, sum, max, min or median; what a partial block lacks counts as 0."""
     z, y, x = block
-    by = [F.floor(F.col(c) / k).alias(c) for c, k in zip(("frame", "y", "x"), block)]
-    return pixel_rows(frames, width).groupBy(*by).agg(F.floor(F.sum("value") / (z * y * x)).cast("long").alias("value"))
+    whole = z * y * x
+    if how == "median":
+        by = [F.floor(F.col(c) / k).alias(c) for c, k in zip(("frame", "y", "x"), block)]
+        lists = pixel_rows(frames, width).groupBy(*by).agg(F.collect_list("value").alias("v"))  # a block's pixels
+        padded = F.array_sort(F.concat("v", F.array_repeat(F.lit(0).cast("int"), F.greatest(F.lit(0), F.lit(whole) - F.size("v")))))
+        mid = (F.element_at(padded, (whole + 1) // 2) + F.element_at(padded, whole // 2 + 1)) / 2
+        return lists.select("frame", "y", "x", mid.cast("long").alias("value"))
+    parts = _summed(frames, width, block, "sum" if how == "mean" else how)
+    value = F.col("value") / whole if how == "mean" else F.col("value")
+    if how in ("max", "min"):
+        value = F.when(F.col("n") < whole, (F.greatest if how == "max" else F.least)(value, F.lit(0.0))).otherwise(value)
+    return parts.select("frame", "y", "x", value.cast("long").alias("value"))
+
+
+def grouped_mean(frames: DataFrame, width: int, block: tuple[int, int, int]) -> DataFrame:
+    """The blocks' means."""
+    return grouped(frames, width, block)
 
 
 def percentile_rescaled(frames: DataFrame, low: float, high: float) -> DataFrame:
@@ -62,13 +118,27 @@ def percentile_rescaled(frames: DataFrame, low: float, high: float) -> DataFrame
     return frames.crossJoin(F.broadcast(cut)).withColumn("pixels", F.transform("pixels", scale)).drop("lo", "hi")  # one row
 
 
-def normalised(frames: DataFrame) -> DataFrame:
-    """Each frame minus its least pixel, over the largest of what is left; a flat frame becomes nulls."""
+def normalised(frames: DataFrame, whole: bool = False) -> DataFrame:
+    """Each frame minus its least pixel, over the largest of what is left; with `whole` by the extremes of all frames. Flat input becomes nulls."""
     low, high = F.array_min("pixels"), F.array_max("pixels")
-    return frames.withColumn("pixels", F.transform("pixels", lambda v: F.try_divide((v - low).cast("double"), (high - low).cast("double"))))
+    if whole:
+        ends = frames.agg(F.min(low).alias("_low"), F.max(high).alias("_high"))
+        frames, low, high = frames.crossJoin(F.broadcast(ends)), F.col("_low"), F.col("_high")  # one row
+    return frames.withColumn("pixels", F.transform("pixels", lambda v: F.try_divide((v - low).cast("double"), (high - low).cast("double")))).drop("_low", "_high")
 
 
 def region_traces(frames: DataFrame, regions: DataFrame) -> DataFrame:
-    """(roi, frame, value): weighted mean of each region's pixels; regions (roi, pixel, weight) join on the pixel."""
-    p = frames.select("frame", F.posexplode("pixels").alias("pixel", "v")).join(regions, "pixel")
-    return p.groupBy("roi", "frame").agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("value"))
+    """(roi, frame, value): weighted mean of each region's known pixels; regions (roi, pixel, weight) join on the pixel.
+
+    If regions has `overlap`, its pixels of that kind are left out; if it has `is_cell`, regions that are none.
+    """
+    for column, keep in (("overlap", "not coalesce(overlap, false)"), ("is_cell", "is_cell = 1")):
+        regions = regions.where(keep) if column in regions.columns else regions
+    p = frames.select("frame", F.posexplode("pixels").alias("pixel", "v")).join(regions.select("roi", "pixel", "weight"), "pixel")
+    weight = F.sum(F.when(F.col("v").isNotNull(), F.col("weight")))
+    return p.groupBy("roi", "frame").agg((F.sum(F.col("v") * F.col("weight")) / weight).alias("value"))
+
+
+def neuropil_corrected(soma: DataFrame, around: DataFrame, share: float = 0.7) -> DataFrame:
+    """(roi, frame, value): a region's trace minus a share of its surroundings' trace."""
+    return soma.join(around.select("roi", "frame", F.col("value").alias("_around")), ["roi", "frame"]).select("roi", "frame", (F.col("value") - share * F.col("_around")).alias("value"))

@@ -5,27 +5,33 @@ Every window is partitioned by the session's key.  Unknown values are null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import neighbour, running_last, running_sum
+from .traces import known
 
-def nearest_filled(df: DataFrame, key: str, time: str, order: list[str], value: str, name: str) -> DataFrame:
-    """The known value nearest in time (ties: the earlier); null before the first and after the last known one.  `time` is a number."""
-    back = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+
+def nearest_filled(df: DataFrame, key: str, time: str, order: list[str], value: str, name: str, how: str = "nearest", segment: Column | None = None) -> DataFrame:
+    """Fills a sparse value: `forward` the last known, `backward` the next known, `nearest` the known value nearest in time (ties: the earlier;
+    null before the first and after the last known one).  `time` is a number."""
     at = F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
-    d = df.withColumn("_b", F.last(at, ignorenulls=True).over(back)).withColumn("_a", F.first(at, ignorenulls=True).over(ahead))
+    if how in ("forward", "backward"):
+        return running_last(df, key, order, F.col(value), name, ahead=how == "backward", segment=segment)
+    d = running_last(running_last(df, key, order, at, "_b", segment=segment), key, order, at, "_a", ahead=True, segment=segment)
     earlier = F.col(time) - F.col("_b.t") <= F.col("_a.t") - F.col(time)
     return d.withColumn(name, F.when(F.col("_b").isNotNull() & F.col("_a").isNotNull(), F.when(earlier, F.col("_b.v")).otherwise(F.col("_a.v")))).drop("_a", "_b")
 
 
-def trial_sets(df: DataFrame, key: str, order: list[str], state: str, trial: str, rest: str) -> DataFrame:
+def trial_sets(df: DataFrame, key: str, order: list[str], state: str, trial: str, rest: str, segment: Column | None = None) -> DataFrame:
     """Number of trial runs that ended before each row; -1 up to the last row of the resting state."""
-    w = Window.partitionBy(key).orderBy(*order)
-    ends = df.withColumn("_end", ((F.col(state) == trial) & ~F.lead(state).over(w).eqNullSafe(trial)).cast("int"))
-    resting = F.max(F.when(F.col(state) == rest, 1)).over(w.rowsBetween(0, Window.unboundedFollowing))
-    ended = F.coalesce(F.sum("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ends.withColumn("trial_set", F.when(resting == 1, -1).otherwise(ended).cast("long")).drop("_end")
+    d = neighbour(df, key, order, F.col(state), "_next", ahead=True, segment=segment)
+    end = ((F.col(state) == trial) & ~F.col("_next").eqNullSafe(trial)).cast("int")
+    d = running_sum(d, key, order, end, "_ended", segment=segment)
+    last = df.where(F.col(state) == rest).groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*order)).alias("_rest"))
+    d = d.join(last, F.col(key).eqNullSafe(F.col("_key")), "left")
+    resting = F.col("_rest").isNotNull() & (F.struct(*order) <= F.col("_rest"))
+    return d.withColumn("trial_set", F.when(resting, -1).otherwise(F.col("_ended")).cast("long")).drop("_next", "_ended", "_key", "_rest")
 
 
 def complete_sessions(edges: DataFrame, trials: DataFrame, key: str) -> DataFrame:
@@ -35,10 +41,11 @@ def complete_sessions(edges: DataFrame, trials: DataFrame, key: str) -> DataFram
     return both.select(key, F.col("edges").cast("long").alias("edges"), (F.col("edges") == F.col("due")).alias("complete"))
 
 
-def without_unknown_frames(traces: DataFrame, frame: str, value: str) -> DataFrame:
-    """Drops each frame in which any trace is null or NaN."""
-    bad = traces.where(F.col(value).isNull() | F.isnan(value)).select(frame).distinct()
-    return traces.join(bad, frame, "left_anti")
+def without_unknown_frames(traces: DataFrame, frame: str, value: str, *others: DataFrame):
+    """Drops each frame in which any trace is null or NaN, from the traces and from any other tables by frame; a tuple if there are others."""
+    bad = traces.where(known(value).isNull()).select(F.col(frame).alias("_bad")).distinct()
+    out = tuple(t.join(bad, F.col(frame).eqNullSafe(F.col("_bad")), "left_anti") for t in (traces, *others))
+    return out if others else out[0]
 
 
 def spike_matrix(spikes: DataFrame, neurons: DataFrame, n_frames: int) -> DataFrame:
@@ -48,12 +55,18 @@ def spike_matrix(spikes: DataFrame, neurons: DataFrame, n_frames: int) -> DataFr
     return dense.join(hit, ["neuron", "frame"], "left").withColumn("spike", F.coalesce("spike", F.lit(0)))
 
 
-def trial_frames(df: DataFrame, key: str, frame: str, length: int) -> DataFrame:
-    """(key, trial, frame): each run of frames (gaps above 1 part runs) starts a trial of a fixed length."""
+def trial_frames(df: DataFrame, key: str, frame: str, length: int, start: str = "after_gap", indicator: str | None = None, level: float = 3.3) -> DataFrame:
+    """(key, trial, frame): each run of frames (gaps above 1 part runs) starts a trial of a fixed length.
+
+    With `indicator` only rows in which it reaches `level` count.  start: `after_gap`, the first frame of the run, or `before_gap`, for
+    all but the first run the last frame of the run before.
+    """
     w = Window.partitionBy(key).orderBy(frame)
-    d = df.select(key, frame).where(F.col(frame).isNotNull()).distinct().withColumn("_gap", F.col(frame) - F.lag(frame).over(w))
-    heads = d.where("_gap is null or _gap > 1").withColumn("trial", (F.row_number().over(w) - 1).cast("long"))
-    return heads.select(key, "trial", F.explode(F.sequence(F.col(frame), F.col(frame) + (length - 1))).alias("frame"))
+    df = df.where(F.col(indicator) >= level) if indicator else df
+    d = df.select(key, frame).where(F.col(frame).isNotNull()).distinct().withColumn("_before", F.lag(frame).over(w))
+    heads = d.where(F.col("_before").isNull() | (F.col(frame) - F.col("_before") > 1)).withColumn("trial", (F.row_number().over(w) - 1).cast("long"))
+    first = F.coalesce("_before", frame) if start == "before_gap" else F.col(frame)
+    return heads.select(key, "trial", F.explode(F.sequence(first, first + (length - 1))).alias("frame"))
 
 
 def stimulation_schedule(df: DataFrame, key: str, name: str, delay: str, duration: str) -> DataFrame:
@@ -80,15 +93,17 @@ def stimulated(samples: DataFrame, spans: DataFrame, key: str, time: str, level:
 def merged_frames(lengths: DataFrame, traces: DataFrame, key: str, part: str, frame: str) -> DataFrame:
     """Frames numbered through all parts of a key: frame plus the lengths of the parts before.  lengths is (key, part, length)."""
     w = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    before = lengths.select(key, part, F.coalesce(F.sum("length").over(w), F.lit(0)).alias("_before"))
-    return traces.join(before, [key, part]).withColumn(frame, F.col(frame) + F.col("_before")).drop("_before")
+    before = lengths.select(F.col(key).alias("_key"), F.col(part).alias("_part"), F.coalesce(F.sum("length").over(w), F.lit(0)).alias("_before"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(part).eqNullSafe(F.col("_part"))
+    return traces.join(before, same).withColumn(frame, F.col(frame) + F.col("_before")).drop("_key", "_part", "_before")
 
 
 def detrended(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """Value minus the least-squares line of its key; a key with one time keeps its mean-free value."""
-    line = df.groupBy(key).agg(F.regr_slope(value, time).alias("_s"), F.avg(F.when(F.col(value).isNotNull(), F.col(time))).alias("_t"), F.avg(value).alias("_v"))
+    """Value minus the least-squares line of its key; a key with one time keeps its mean-free value; unknown values stay and do not count."""
+    own = df.withColumn("_known", known(value))
+    line = own.groupBy(F.col(key).alias("_key")).agg(F.regr_slope("_known", time).alias("_s"), F.avg(F.when(F.col("_known").isNotNull(), F.col(time))).alias("_t"), F.avg("_known").alias("_v"))
     fit = F.col("_v") + F.coalesce("_s", F.lit(0.0)) * (F.col(time) - F.col("_t"))
-    return df.join(line, key).withColumn(value, F.col(value) - fit).drop("_s", "_t", "_v")
+    return own.join(line, F.col(key).eqNullSafe(F.col("_key"))).withColumn(value, F.col(value) - fit).drop("_known", "_key", "_s", "_t", "_v")
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_last
+from .traces import known
+
 
 def state_codes(df: DataFrame, state: str) -> DataFrame:
     """(state, code): rank among the distinct states, from 0. There are as many rows as states."""
     return df.where(F.col(state).isNotNull()).select(state).distinct().withColumn("code", F.dense_rank().over(Window.orderBy(state)) - 1)
 
 
-def filled_forward(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+def filled_forward(df: DataFrame, key: str, order: list[str], value: str, name: str, segment: Column | None = None) -> DataFrame:
     """As-of backward: the last known value up to each row."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return running_last(df, key, order, F.col(value), name, segment=segment)
 
 
-def accepted_sessions(df: DataFrame, key: str, likelihood: str, least: float) -> DataFrame:
-    """Rows of the sessions whose least likelihood is above the bound."""
-    good = df.groupBy(key).agg(F.min(likelihood).alias("m")).where(F.col("m") > least).select(key)
-    return df.join(good, key, "left_semi")
+def accepted_sessions(df: DataFrame, key: str, likelihoods: list[str], least: float) -> DataFrame:
+    """Rows of the sessions in which the least known value of every likelihood is above the bound; a session with none known is rejected."""
+    bounds = [(F.min(known(c)) > least).alias(f"_{k}") for k, c in enumerate(likelihoods)]
+    good = df.groupBy(F.col(key).alias("_key")).agg(*bounds).where(" and ".join(f"_{k}" for k in range(len(likelihoods)))).select("_key")
+    return df.join(good, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 
 def dominant_extension(paths: DataFrame, path: str) -> DataFrame:
@@ -29,12 +32,13 @@ def dominant_extension(paths: DataFrame, path: str) -> DataFrame:
     return paths.groupBy(ext.alias("ext")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ext").limit(1)
 
 
-def stimulus_summary(trials: DataFrame, stimulus: str) -> DataFrame:
-    """Trials per stimulus and whether all stimuli have as many."""
-    per = trials.groupBy(stimulus).agg(F.count("*").alias("n_trials"))
+def stimulus_summary(trials: DataFrame, stimulus: str, trial: str | None = None) -> DataFrame:
+    """Trials per stimulus, whether all stimuli have as many, and with `trial` the sorted trial ids (bounded by a session's trials)."""
+    ids = [F.sort_array(F.collect_list(trial)).alias("trials")] if trial else []
+    per = trials.groupBy(stimulus).agg(F.count("*").alias("n_trials"), *ids)
     return per.crossJoin(F.broadcast(per.agg((F.min("n_trials") == F.max("n_trials")).alias("balanced"))))  # one row
 
 
-def trial_gate_share(df: DataFrame, stimulus: str, gate: str) -> DataFrame:
-    """Percent of rows with the gate up, per stimulus."""
-    return df.groupBy(stimulus).agg((100.0 * F.sum(gate) / F.count(gate)).alias("percent"))
+def trial_gate_share(df: DataFrame, stimulus: str, gate: str, dropped: int = 0, of: int = 1) -> DataFrame:
+    """Percent of rows with the gate up, per stimulus; divided by the share of trials that were not dropped."""
+    return df.groupBy(stimulus).agg((100.0 * F.sum(gate) / F.count(gate) / ((of - dropped) / of)).alias("percent"))

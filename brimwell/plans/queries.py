@@ -54,7 +54,7 @@ def asof_state(spark, sf_dir):
 
 
 def accepted_sessions(spark, sf_dir):
-    return timeline.accepted_sessions(_events(spark, sf_dir), "user_id", "value", 1.0).select("event_id", "user_id")
+    return timeline.accepted_sessions(_events(spark, sf_dir), "user_id", ["value"], 1.0).select("event_id", "user_id")
 
 
 def dominant_extension(spark, sf_dir):

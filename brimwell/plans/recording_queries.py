@@ -62,7 +62,7 @@ def region_traces(spark, sf_dir):
 def neuropil_corrected(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
     soma, around = e.where("i < 32").select("frame", F.col("i").alias("roi"), "v"), e.where("i >= 32").select("frame", (F.col("i") - 32).alias("roi"), F.col("v").alias("n"))
-    return soma.join(around, ["frame", "roi"]).select("frame", F.col("roi").cast("long").alias("roi"), F.round(F.col("v") - 0.7 * F.col("n"), 6).alias("value"))
+    return images.neuropil_corrected(soma.withColumnRenamed("v", "value"), around.withColumnRenamed("n", "value")).select("frame", F.col("roi").cast("long").alias("roi"), F.round("value", 6).alias("value"))
 
 
 def _timed(spark, sf_dir):
@@ -76,7 +76,7 @@ def nearest_fill(spark, sf_dir):
 
 
 def trial_sets(spark, sf_dir):
-    e = _events(spark, sf_dir).withColumn("state", F.expr("case event_id % 11 when 0 then 'rest' when 1 then 'rest' else if(event_id % 3 = 0, 'trial', 'wait') end")).where("event_id % 22 <> 0 or event_id < 2000")
+    e = _events(spark, sf_dir).withColumn("state", F.expr("case event_id % 11 when 0 then 'rest' when 1 then 'rest' else if(event_id % 3 = 0, 'trial', 'wait') end"))
     return recordings.trial_sets(e, "user_id", ORDER, "state", "trial", "rest").select("event_id", "trial_set")
 
 
@@ -145,7 +145,7 @@ ORACLE_SQL = {
     "region_traces": f"WITH {_P} SELECT i % 5 AS roi, frame, round(sum(v * (1.0::DOUBLE + i / 64)) / sum(1.0::DOUBLE + i / 64), 5) AS value FROM p WHERE i % 5 < 4 GROUP BY ALL",
     "neuropil_corrected": "SELECT vec_id AS frame, r AS roi, round(CAST(embedding[r + 1] AS DOUBLE) - 0.7::DOUBLE * CAST(embedding[r + 33] AS DOUBLE), 6) AS value FROM embeddings, range(32) t(r)",
     "nearest_fill": f"WITH s AS (SELECT event_id, epoch_us(ts) AS t, last_value({_SEEN.format('event_id')} IGNORE NULLS) OVER {_BACK} AS bv, last_value({_SEEN.format('epoch_us(ts)')} IGNORE NULLS) OVER {_BACK} AS bt, first_value({_SEEN.format('event_id')} IGNORE NULLS) OVER {_AHEAD} AS av, first_value({_SEEN.format('epoch_us(ts)')} IGNORE NULLS) OVER {_AHEAD} AS ahead FROM events) SELECT event_id, CAST(CASE WHEN bv IS NULL OR av IS NULL THEN NULL WHEN t - bt <= ahead - t THEN bv ELSE av END AS DOUBLE) AS near FROM s",
-    "trial_sets": f"""WITH e AS (SELECT *, CASE WHEN event_id % 11 IN (0, 1) THEN 'rest' WHEN event_id % 3 = 0 THEN 'trial' ELSE 'wait' END AS state FROM events WHERE event_id % 22 <> 0 OR event_id < 2000),
+    "trial_sets": f"""WITH e AS (SELECT *, CASE WHEN event_id % 11 IN (0, 1) THEN 'rest' WHEN event_id % 3 = 0 THEN 'trial' ELSE 'wait' END AS state FROM events),
 r AS (SELECT event_id, user_id, state, row_number() {_W} AS k, CASE WHEN state = 'trial' AND lead(state) {_W} IS DISTINCT FROM 'trial' THEN 1 ELSE 0 END AS fin FROM e), h AS (SELECT user_id, max(k) AS last FROM r WHERE state = 'rest' GROUP BY 1)
 SELECT event_id, CASE WHEN k <= coalesce(last, 0) THEN -1 ELSE CAST(sum(fin) OVER (PARTITION BY user_id ORDER BY k) - fin AS BIGINT) END AS trial_set FROM r LEFT JOIN h USING (user_id)""",
     "complete_sessions": f"WITH f AS (SELECT user_id, count(*) AS n FROM (SELECT user_id, value - lag(value) {_W} AS rise FROM events) WHERE rise > 1 GROUP BY 1), d AS (SELECT user_id, count(*) AS due FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT user_id, coalesce(n, 0) AS edges, coalesce(n, 0) = due AS complete FROM d LEFT JOIN f USING (user_id)",
