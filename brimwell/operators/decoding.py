@@ -16,6 +16,7 @@ def binary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, truth: str, prediction: str) -> DataFrame:
-    """r2, MAE and MSE in one aggregation."""
+    """r2, MAE and MSE in one aggregation over the rows that have truth and prediction."""
     d = F.col(truth) - F.col(prediction)
-    return df.agg(F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), (1 - F.avg(d * d) / F.var_pop(truth)).alias("r2"))
+    both = F.when(d.isNotNull(), F.col(truth))
+    return df.agg(F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), (1 - F.try_divide(F.avg(d * d), F.var_pop(both))).alias("r2"))

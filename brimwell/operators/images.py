@@ -142,3 +142,54 @@ def region_traces(frames: DataFrame, regions: DataFrame) -> DataFrame:
 def neuropil_corrected(soma: DataFrame, around: DataFrame, share: float = 0.7) -> DataFrame:
     """(roi, frame, value): a region's trace minus a share of its surroundings' trace."""
     return soma.join(around.select("roi", "frame", F.col("value").alias("_around")), ["roi", "frame"]).select("roi", "frame", (F.col("value") - share * F.col("_around")).alias("value"))
+
+
+def median_filtered(frames: DataFrame, width: int, footprint: tuple[int, int, int] = (3, 3, 3), chunk: int = 512) -> DataFrame:
+    """(frame, pixels): the median over an odd footprint of frames, rows and columns, edges mirrored with the edge repeated.
+
+    Frames are dealt by chunk, each with the frames beside it that its edges need, so a task holds a chunk.  Frame
+    numbers are without gaps; even counts cannot occur; null pixels are refused.
+    """
+    if not all(k % 2 for k in footprint):
+        raise ValueError("a footprint has odd sides")
+    z, y, x = (k // 2 for k in footprint)
+    own = F.floor(F.col("frame") / chunk)
+    near = F.array_distinct(F.array(own, F.floor((F.col("frame") - z) / chunk), F.floor((F.col("frame") + z) / chunk)))
+    dealt = frames.where("frame is not null and pixels is not null").select(F.explode(near).alias("chunk"), F.col("frame").cast("long").alias("frame"), F.transform("pixels", lambda v: v.cast("double")).alias("pixels"))
+
+    def median(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame")
+        at, c = table.column("frame").to_numpy(), table.column("chunk")[0].as_py()
+        image = table.column("pixels").combine_chunks().flatten().to_numpy().reshape(len(at), -1, width)
+        inner = np.flatnonzero(at // chunk == c)
+        if not len(inner):
+            return pa.table({"frame": pa.array([], pa.int64()), "pixels": pa.array([], pa.list_(pa.float64()))})
+        low, high = inner[0], len(at) - 1 - inner[-1]
+        wide = np.pad(image, ((z - min(z, low), z - min(z, high)), (y, y), (x, x)), "symmetric")[max(0, low - z) :]
+        out = []
+        for k in range(len(inner)):
+            views = np.lib.stride_tricks.sliding_window_view(wide[k : k + 2 * z + 1], (2 * z + 1, 2 * y + 1, 2 * x + 1))[0]
+            out.append(np.median(views.reshape(*views.shape[:2], -1), axis=-1).ravel())
+        return pa.table({"frame": pa.array(at[inner]), "pixels": pa.array(out, pa.list_(pa.float64()))})
+
+    return dealt.groupBy("chunk").applyInArrow(median, "frame long, pixels array<double>")
+
+
+def reduced(frames: DataFrame, width: int, block: tuple[int, int, int], function) -> DataFrame:
+    """As `grouped` with a function of one numpy array (frames, rows, columns), applied in the tasks that blocks are dealt to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = np.zeros(block)
+        place = tuple(table.column(c).to_numpy() % k for c, k in zip(("z", "v", "u"), block))
+        part[place] = table.column("value").to_numpy()
+        head = {c: table.column(c).slice(0, 1) for c in ("frame", "y", "x")}
+        return pa.table(head | {"value": pa.array([int(function(part))], pa.int64())})
+
+    rows = pixel_rows(frames, width).where("value is not null").select(*[F.floor(F.col(c) / k).alias(c) for c, k in zip(("frame", "y", "x"), block)], F.col("frame").cast("long").alias("z"), F.col("y").alias("v"), F.col("x").alias("u"), F.col("value").cast("double").alias("value"))
+    return rows.groupBy("frame", "y", "x").applyInArrow(run, "frame long, y long, x long, value long")
+
+
+def cell_diameters(rois: DataFrame, least: float = 10.0) -> DataFrame:
+    """rois with `diameter` (twice the radius); `is_cell` becomes 0 where it is below `least`."""
+    d = rois.withColumn("diameter", 2 * F.col("radius"))
+    return d.withColumn("is_cell", F.when(F.col("diameter") < least, 0).otherwise(F.col("is_cell")))
