@@ -19,6 +19,7 @@ from .ppm import finished, lengths_array, train
 from .text import blocks, text_bytes
 
 ORDER = 3
+SHARPNESS = 10  # bytes whose mean code length weighs the languages in the score: long texts don't all get 1
 
 
 def held_out(id: str, modulus: int, rest: int = 2):
@@ -26,7 +27,7 @@ def held_out(id: str, modulus: int, rest: int = 2):
 
 
 def identify_languages(docs: DataFrame, training: DataFrame, *, keep: list[str], text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
-    """Columns `keep` of docs with lang_pred and score, the winner's share of the posterior by code length per byte."""
+    """Columns `keep` of docs with lang_pred and score, the winner's share of the posterior of SHARPNESS bytes of the text's mean code length."""
     tables, grams = train(training.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("name"), text_bytes(text).alias("text")), order)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
     own = docs.select(*keep, text_bytes(text).alias("brimwell text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("brimwell letters"))
@@ -46,7 +47,7 @@ def identify_languages(docs: DataFrame, training: DataFrame, *, keep: list[str],
             if known and part.num_rows:
                 s = part.column("lengths").flatten().to_numpy().reshape(part.num_rows, len(known)).T
                 best = np.argmax(s, axis=0)
-                rate = s / (part.column("brimwell size").to_numpy() + 1) * 10
+                rate = s / (part.column("brimwell size").to_numpy() + 1) * SHARPNESS
                 share = 1 / (10 ** (rate - rate.max(axis=0))).sum(axis=0)
                 names = np.where(letters, np.array(known, object)[best], "und")
             else:

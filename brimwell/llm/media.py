@@ -10,7 +10,7 @@ Archive: members (zstd of the WAV bytes), then a footer (Arrow table of key, off
 the footer's offset as 8 bytes.  Files are reached through pyarrow's file systems, by URI.
 
 Defined results: a null text is empty; an empty payload is 576 bytes 255; equal texts give equal values; keys may
-repeat; null keys stay null; an empty table gives archives without members and no rows.
+repeat and are of any type (archives hold them as text); null keys stay null; an empty table gives archives without members and no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .text import scratch, text_bytes, written
 
 FRAME, FILL, RATE = 576, b"\xff", 8000
 RANGE, BATCH, TRIES = 8 << 20, 4 << 20, 3
-SCHEMA = "key long, n_bytes long, media binary"
+SCHEMA = "key string, n_bytes long, media binary"
 
 
 def pad(payload: bytes) -> bytes:
@@ -87,7 +87,7 @@ def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folder: s
                     index.append((k, len(raw), at, len(body), len(wav), zlib.crc32(wav)))
                     at += len(body)
             names = ["key", "n_bytes", "offset", "size", "whole", "crc"]
-            table = pa.table([pa.array([r[i] for r in index], pa.int64()) for i in range(6)], names=names)
+            table = pa.table([pa.array([r[i] for r in index], pa.int64() if i else pa.string()) for i in range(6)], names=names)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_file(sink, table.schema) as w:
                 w.write_table(table)
@@ -95,7 +95,7 @@ def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folder: s
             out.write(struct.pack("<q", at))
         yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([at], pa.int64()), pa.array([len(index)], pa.int64())], names=["path", "bytes", "members"])
 
-    return written(docs.select(F.col(key).cast("long").alias("key"), text_bytes(text).alias("text")).mapInArrow(run, "path string, bytes long, members long"))
+    return written(docs.select(F.col(key).cast("string").alias("key"), text_bytes(text).alias("text")).mapInArrow(run, "path string, bytes long, members long"))
 
 
 class _Range(InputPartition):
@@ -150,7 +150,7 @@ class MediaReader(DataSourceReader):
 
     @staticmethod
     def _batch(rows) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "n_bytes", "media"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "n_bytes", "media"])
 
 
 class MediaSource(DataSource):
@@ -193,8 +193,9 @@ def features(media: DataFrame) -> DataFrame:
             new = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_bytes"), *new], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    return features(read_media(docs.sparkSession, store(docs)))
+    out = features(read_media(docs.sparkSession, store(docs)))
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -394,9 +394,81 @@ def test_media(docs):
     for r in media.media_digest(docs).collect():
         p = media.pad(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(texts[r.doc_id]), len(p), zlib.crc32(p[-32:])) and len(p) % 576 == 0 and len(p)
-        assert media.from_wav(media.to_wav(p)) == p
+        wav = media.to_wav(p)
+        assert media.from_wav(wav) == p and (r.media_bytes, r.media_sha256, r.payload_sha256) == (len(wav), hashlib.sha256(wav).hexdigest(), hashlib.sha256(p).hexdigest())
+        x = [b - 128 for b in p]
+        assert r.feature == f"sum={sum(x)};power={sum(v * v for v in x)};cross={sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))};peak={max(map(abs, x))}"
     small = media.read_media(docs.sparkSession, media.store(docs), range_bytes=64)
     assert small.count() == docs.count()
+    named = docs.selectExpr("concat('k', doc_id) doc_id", "text")
+    assert {r.doc_id for r in media.media_digest(named).collect()} == {f"k{i}" for i in range(10)} | {None}
+
+
+def test_members_are_retried_by_themselves(spark, docs, monkeypatch):
+    """A member that fails once is read again by its offset; one whose bytes are wrong fails its range, and its range alone."""
+    import json
+
+    catalogue = media.store(docs.coalesce(1)).where("members > 0").first()
+    options = {"archives": json.dumps([(catalogue.path, catalogue.bytes)]), "rangebytes": "64"}
+    reader = media.MediaReader(options)
+    whole = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    assert whole == docs.count() and len(reader.partitions()) > 3
+    real, failed = zlib.crc32, []
+    monkeypatch.setattr(media.zlib, "crc32", lambda x: failed.append(1) or 0 if not failed else real(x))
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == whole and failed
+    monkeypatch.undo()
+    path = catalogue.path.removeprefix("file:").replace("///", "/")
+    body = bytearray(open(path, "rb").read())
+    body[20] ^= 255
+    open(path, "wb").write(body)
+    bad = 0
+    for p in reader.partitions():
+        try:
+            list(reader.read(p))
+        except OSError:
+            bad += 1
+    assert bad == 1
+
+
+def test_languages_by_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 400")
+    rows = d.select("doc_id", "text", "lang").collect()
+    learned: dict[str, list[bytes]] = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            learned.setdefault(r.lang, []).append(r.text.encode())
+    text = {r.doc_id: r.text for r in rows}
+    for r in language_id.language_digest(d).orderBy("doc_id").limit(25).collect():
+        t = text[r.doc_id]
+        if not t or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        s = {k: plain_ppm(v, t.encode(), language_id.ORDER) for k, v in sorted(learned.items())}
+        best = max(s, key=s.get)
+        rate = {k: v / (len(t.encode()) + 1) * language_id.SHARPNESS for k, v in s.items()}
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(10 ** (v - rate[best]) for v in rate.values()))
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_all_kinds_of_secrets_as_regular_expressions(spark):
+    """Each rule against `re` on texts put together at random from what the rules look for."""
+    rng = np.random.default_rng(11)
+    bits = ["AKIA", "ABCDEFGH12345678", "0123456789abcdef0123456789", "eyJ", "abc_-123.", ".", "ghp_", "A1b2C3d4E5" * 4, "xoxb-", "12345-abcde", "AIza", "sk_live_", "Z" * 22, " ", "\n", "token=", "é", "password: '", "https://", "me:", "pä55", "@", "host", "/"]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 40))) for _ in range(400)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = [r for r in secret_scan.RULES if r.kind != "pem"]
+    seen = set()
+    for row in secret_scan.scan_secrets(d).collect():
+        raw = texts[row.doc_id].encode()
+        point = lambda k: len(raw[:k].decode("utf-8", "ignore"))  # noqa: B023, E731
+        want = []
+        for n, rule in enumerate(rules):
+            for m in re.finditer(f"(?P<head>{rule.head})(?P<body>{rule.body})".encode("latin-1"), raw):
+                if len(m["body"]) >= rule.least:
+                    want.append((m.start(), n, rule.kind, m.end()))
+        assert [(s.start, s.kind, s.end) for s in row.spans if s.kind != "pem"] == [(point(a), k, point(b)) for a, _, k, b in sorted(want)]
+        seen |= {k for *_, k, _ in want}
+    assert seen == {r.kind for r in rules}
 
 
 def plain_viterbi(e, score, text):
