@@ -142,29 +142,33 @@ def compile_rules(patterns: list[str], *, anywhere: bool, reverse: bool = False)
     classes = np.array([kinds.setdefault(tuple(m >> b & 1 for m in masks), len(kinds)) for b in range(256)], np.uint8)
     sample = [int(np.flatnonzero(classes == c)[0]) for c in range(len(kinds))]
 
-    def closure(states: set[int]) -> frozenset[int]:
-        todo = list(states)
+    # sets of states are bit masks; `reach` has what a state leads to without a byte, `moves` what it leads to by a class
+    reach = []
+    for s in range(len(nfa.empty)):
+        held, todo = 1 << s, [s]
         while todo:
             for x in nfa.empty[todo.pop()]:
-                if x not in states:
-                    states.add(x)
+                if not held >> x & 1:
+                    held |= 1 << x
                     todo.append(x)
-        return frozenset(states)
-
-    base = closure({first})
+        reach.append(held)
+    moves = [[(c, reach[n]) for m, n in edges for c, b in enumerate(sample) if m >> b & 1] for edges in nfa.edges]
+    base = reach[first]
     number, todo, table = {base: 0}, [base], []
-    while todo:
-        states = todo.pop(0)
-        row = []
-        for b in sample:
-            to = {n for s in states for m, n in nfa.edges[s] if m >> b & 1}
-            target = closure(to | (set(base) if anywhere else set()))
+    for states in todo:  # grows as new sets are met
+        row = [base if anywhere else 0] * len(sample)
+        while states:
+            low = states & -states
+            for c, held in moves[low.bit_length() - 1]:
+                row[c] |= held
+            states ^= low
+        for c, target in enumerate(row):
             if target not in number:
                 number[target] = len(number)
                 todo.append(target)
-            row.append(number[target])
+            row[c] = number[target]
         table.append(row)
-    accept = [sum(1 << ends[s] for s in states if s in ends) for states in number]
+    accept = [sum(1 << k for s, k in ends.items() if states >> s & 1) for states in number]
     return _minimal(np.array(table, np.int64), classes, accept)
 
 

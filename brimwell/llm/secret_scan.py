@@ -91,7 +91,7 @@ class Scanner:
 
 @cache
 def scanner_of(rules: tuple[Rule, ...]) -> Scanner:
-    """Compiled once for each worker process."""
+    """Compiled once, on the driver; tasks get the transition arrays by broadcast."""
     return Scanner(rules)
 
 
@@ -105,9 +105,10 @@ def _code_points(data: np.ndarray) -> np.ndarray | None:
 def scan_secrets(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """A row for each document: its id and `spans` array<struct<kind, start, end>> (code points, end exclusive), by start, then kind as listed."""
     kind = docs.schema[id].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(scanner_of(rules))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = scanner_of(rules)
+        scanner = shared.value
         names = [r.kind for r in rules]
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
@@ -132,9 +133,10 @@ def redact_secrets(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ..
     """The same rows and columns, each secret in the text replaced by the mark of its kind; overlapping spans become one mark, of the first. Null stays null."""
     own = "brimwell text bytes"
     schema = docs.schema
+    shared = docs.sparkSession.sparkContext.broadcast(scanner_of(rules))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = scanner_of(rules)
+        scanner = shared.value
         marks = [mark.format(r.kind.upper()).encode() for r in rules]
         for batch in batches:
             data, at = buffers(batch.column(own))
