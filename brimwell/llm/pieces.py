@@ -4,7 +4,7 @@ The automaton reports, at each place, all pieces that end there (its output link
 relaxes the best score of its end from that of its begin, so one pass finds the segmentation with the
 greatest sum of scores.  A character that no piece covers is spelled by byte pieces.  A space is written as
 U+2581 and one is put before the text.  Where no piece has that mark behind another character, or a line
-break beside one, words and breaks are segmented apart, and a worker keeps those it has seen lately (a bounded
+break beside one, words and breaks are segmented apart, and a task keeps those it has seen lately (a bounded
 memory, not a cap).  Texts are taken in blocks: their words become numbers, and numbers become pieces, and
 pieces bytes, by gathers from flat tables.
 
@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from .text import blocks, text_bytes, unused
 
 MARK = "▁"
-KEEP = 150_000  # words a worker remembers, and pieces of them in tens
+KEEP = 100_000  # words a task remembers, and pieces of them in tens
 _BYTE_COST = 1e12  # a byte piece is the last resort
 
 
@@ -195,19 +195,13 @@ def _nulls(column: pa.Array) -> np.ndarray:
     return column.is_null().to_numpy(zero_copy_only=False)
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoder(shared) -> Encoder:
-    """Built once for each worker process from a broadcast vocabulary (tens of thousands of pieces, whatever the data)."""
-    if shared.value[0] not in _encoders:
-        _encoders.clear()
-        _encoders[shared.value[0]] = Encoder(*shared.value[1:])
-    return _encoders[shared.value[0]]
+    """Built for each task from a broadcast vocabulary (tens of thousands of pieces, whatever the data), so that no worker keeps its words."""
+    return Encoder(*shared.value)
 
 
 def _shared(docs: DataFrame, model: str):
-    return docs.sparkSession.sparkContext.broadcast((model, *load_pieces(model)))
+    return docs.sparkSession.sparkContext.broadcast(load_pieces(model))
 
 
 def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", out: str = "pieces") -> DataFrame:

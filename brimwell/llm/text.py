@@ -7,6 +7,7 @@ lower-casing A-Z; as bytes above 127 are all word bytes, the rule needs no decod
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ LOWER[65:91] += 32
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, 1 << 12, dtype=np.uint64) | np.uint64(1)
@@ -139,6 +141,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system; workers live on from stage to stage, and their allocators would hold it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch whose texts have about `size` bytes, each with its bytes and offsets."""
     if batch.num_rows == 0:
@@ -149,6 +158,7 @@ def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Itera
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    give_back()
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 15) -> Iterator[pa.Table]:
@@ -171,6 +181,8 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 15
         rows = max(rows, 2 * count)
     if count:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    give_back()
 
 
 def starts(table: pa.Table, keys: list[str]) -> np.ndarray:
