@@ -23,8 +23,8 @@ def _rois(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("roi"), (F.col("p_partkey") % 8).alias("y0"), (F.col("p_size") % 8).cast("long").alias("x0"), (F.col("p_size") / 25.0).alias("radius"), (F.col("p_partkey") % 2).cast("int").alias("is_cell"))
 
 
-def _mask(spark, sf_dir, rest):
-    return coloring.mask(coloring.disk_pixels(_rois(spark, sf_dir).where(f"roi % 50 = {rest}"), 8, 8), 8, 8)
+def _mask(spark, sf_dir, size):
+    return coloring.mask(coloring.disk_pixels(_rois(spark, sf_dir).where(F.col("radius") == size / 25.0), 8, 8), 8, 8)
 
 
 def median_filtered(spark, sf_dir):
@@ -66,7 +66,7 @@ def disk_pixels(spark, sf_dir):
 
 
 def colored_regions(spark, sf_dir):
-    return _colors(coloring.only_regions(coloring.grey_to_rgb(_frames(spark, sf_dir)), _mask(spark, sf_dir, 0)))
+    return _colors(coloring.only_regions(coloring.grey_to_rgb(_frames(spark, sf_dir)), _mask(spark, sf_dir, 30)))
 
 
 def blended_frames(spark, sf_dir):
@@ -77,7 +77,7 @@ def blended_frames(spark, sf_dir):
 def merged_frames_in_order(spark, sf_dir):
     f = _frames(spark, sf_dir)
     white, black = coloring.background(f, "white"), coloring.background(f, "black")
-    return _colors(coloring.merged(coloring.grey_to_rgb(f), [(white, _mask(spark, sf_dir, 0)), (black, _mask(spark, sf_dir, 1))]))
+    return _colors(coloring.merged(coloring.grey_to_rgb(f), [(white, _mask(spark, sf_dir, 30)), (black, _mask(spark, sf_dir, 7))]))
 
 
 def tile_grid(spark, sf_dir):
@@ -208,7 +208,7 @@ def decoded_names(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (median_filtered, grouped_max, grouped_median, reduced_blocks, cell_diameters, grey_frames, white_background, colorized_frames, disk_pixels, colored_regions, blended_frames, merged_frames_in_order, tile_grid, stitched_tiles, training_pairs, tensor_to_matrix, matrix_to_tensor, trial_features, collapsed_features, random_split, grouped_split, interleaved_trials, shuffled_frames, score_curves, score_areas, split_regression_metrics, split_class_metrics, found_files, naturally_sorted, newest_files, folder_stages, recording_catalogue, decoded_names)}
 
 _GREY = f"WITH {_P}, g AS (SELECT frame, i, CAST(floor((v - (SELECT min(v) FROM p)) / CAST((SELECT max(v) - min(v) FROM p) AS DOUBLE) * 255) AS BIGINT) AS c FROM p)"
-_DISKS = """d AS (SELECT DISTINCT p_partkey AS roi, CAST(greatest(0, least(7, p_partkey % 8 + dy)) AS BIGINT) AS y, CAST(greatest(0, least(7, p_size % 8 + dx)) AS BIGINT) AS x
+_DISKS = """d AS (SELECT DISTINCT p_partkey AS roi, p_size AS size, CAST(greatest(0, least(7, p_partkey % 8 + dy)) AS BIGINT) AS y, CAST(greatest(0, least(7, p_size % 8 + dx)) AS BIGINT) AS x
  FROM part, range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= (p_size / 25.0::DOUBLE) * (p_size / 25.0::DOUBLE))"""
 _BLOCK = "frame // 3 AS frame, i // 8 // 3 AS y, i % 8 // 2 AS x"
 _MAPPED = coloring.color_map(MAP, 16)
@@ -242,10 +242,10 @@ JOIN p b ON b.frame = greatest(0, least(last, a.frame + dz)) AND b.i = greatest(
     "grey_frames": f"{_GREY} SELECT frame, i, c AS r, c AS g, c AS b FROM g",
     "white_background": f"WITH {_P} SELECT frame, i, 255::BIGINT AS r, 255::BIGINT AS g, 255::BIGINT AS b FROM p",
     "colorized_frames": f"WITH {_P}, k AS (SELECT frame, i, CAST(least(15, floor((v - (SELECT min(v) FROM p)) / CAST((SELECT max(v) - min(v) FROM p) AS DOUBLE) * 16)) AS INT) + 1 AS k FROM p) SELECT frame, i, CAST({_INT(0)}[k] AS BIGINT) AS r, CAST({_INT(1)}[k] AS BIGINT) AS g, CAST({_INT(2)}[k] AS BIGINT) AS b FROM k",
-    "disk_pixels": f"WITH {_DISKS} SELECT * FROM d",
-    "colored_regions": f"{_GREY}, {_DISKS} SELECT frame, i, m * c AS r, m * c AS g, m * c AS b FROM (SELECT *, CASE WHEN i IN (SELECT y * 8 + x FROM d WHERE roi % 50 = 0) THEN 1 ELSE 0 END AS m FROM g)",
+    "disk_pixels": f"WITH {_DISKS} SELECT roi, y, x FROM d",
+    "colored_regions": f"{_GREY}, {_DISKS} SELECT frame, i, m * c AS r, m * c AS g, m * c AS b FROM (SELECT *, CASE WHEN i IN (SELECT y * 8 + x FROM d WHERE size = 30) THEN 1 ELSE 0 END AS m FROM g)",
     "blended_frames": f"{_GREY}, o AS (SELECT frame, i, CAST(round_even((1 - 0.3::DOUBLE) * c + 0.3::DOUBLE * 255, 0) AS BIGINT) AS o FROM g) SELECT frame, i, o AS r, o AS g, o AS b FROM o",
-    "merged_frames_in_order": f"{_GREY}, {_DISKS}, o AS (SELECT frame, i, CASE WHEN i IN (SELECT y * 8 + x FROM d WHERE roi % 50 = 1) THEN 0 WHEN i IN (SELECT y * 8 + x FROM d WHERE roi % 50 = 0) THEN 255 ELSE c END AS o FROM g) SELECT frame, i, o AS r, o AS g, o AS b FROM o",
+    "merged_frames_in_order": f"{_GREY}, {_DISKS}, o AS (SELECT frame, i, CASE WHEN i IN (SELECT y * 8 + x FROM d WHERE size = 7) THEN 0 WHEN i IN (SELECT y * 8 + x FROM d WHERE size = 30) THEN 255 ELSE c END AS o FROM g) SELECT frame, i, o AS r, o AS g, o AS b FROM o",
     "tile_grid": f"""SELECT s.stack, CAST((y.k * x.many + x.k) * s.many + s.k AS BIGINT) AS tile, {_AXIS("s")}, {_AXIS("y")}, {_AXIS("x")}
 FROM {_tiles("p_size + 10", 16, 8, "s")} JOIN {_tiles("p_size * 3", 20, 12, "y")} ON s.stack = y.stack JOIN {_tiles("p_partkey % 40 + 1", 20, 12, "x")} ON s.stack = x.stack""",
     "stitched_tiles": f"""WITH {_P}, n AS (SELECT count(*) AS n, CAST(ceil((count(*) - 60) / 90) AS BIGINT) AS many FROM embeddings), t AS (SELECT k, CASE WHEN k = 0 THEN 0 WHEN k = many - 1 THEN n - 150 + 30 ELSE k * 90 + 30 END AS a, CASE WHEN k = many - 1 THEN n ELSE k * 90 + 120 END AS b FROM n, range(1000) r(k) WHERE k < many),

@@ -83,7 +83,7 @@ def trial_sets(spark, sf_dir):
 def complete_sessions(spark, sf_dir):
     e = _events(spark, sf_dir)
     edges = traces.rising_edges(e, "user_id", ORDER, "value").select("user_id")
-    return recordings.complete_sessions(edges, e.where("event_id % 3 = 0").select("user_id"), "user_id")
+    return recordings.complete_sessions(edges, e.where("event_type in ('click', 'purchase')").select("user_id"), "user_id")
 
 
 def known_frames(spark, sf_dir):
@@ -107,8 +107,8 @@ def stimulation_schedule(spark, sf_dir):
 
 
 def stimulated_samples(spark, sf_dir):
-    e = _timed(spark, sf_dir).select("event_id", "user_id", "t")
-    spans = e.where("event_id % 5 = 0").select("user_id", F.col("t").alias("begin"), (F.col("t") + 86_400_000_000 * (F.col("event_id") % 4)).alias("end"))
+    e = _timed(spark, sf_dir).select("event_id", "user_id", "event_type", "t")
+    spans = e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("begin"), (F.col("t") + 86_400_000_000 * (F.col("event_id") % 4)).alias("end"))
     return recordings.stimulated(e, spans, "user_id", "t").select("event_id", "signal")
 
 
@@ -148,12 +148,12 @@ ORACLE_SQL = {
     "trial_sets": f"""WITH e AS (SELECT *, CASE WHEN event_id % 11 IN (0, 1) THEN 'rest' WHEN event_id % 3 = 0 THEN 'trial' ELSE 'wait' END AS state FROM events),
 r AS (SELECT event_id, user_id, state, row_number() {_W} AS k, CASE WHEN state = 'trial' AND lead(state) {_W} IS DISTINCT FROM 'trial' THEN 1 ELSE 0 END AS fin FROM e), h AS (SELECT user_id, max(k) AS last FROM r WHERE state = 'rest' GROUP BY 1)
 SELECT event_id, CASE WHEN k <= coalesce(last, 0) THEN -1 ELSE CAST(sum(fin) OVER (PARTITION BY user_id ORDER BY k) - fin AS BIGINT) END AS trial_set FROM r LEFT JOIN h USING (user_id)""",
-    "complete_sessions": f"WITH f AS (SELECT user_id, count(*) AS n FROM (SELECT user_id, value - lag(value) {_W} AS rise FROM events) WHERE rise > 1 GROUP BY 1), d AS (SELECT user_id, count(*) AS due FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT user_id, coalesce(n, 0) AS edges, coalesce(n, 0) = due AS complete FROM d LEFT JOIN f USING (user_id)",
+    "complete_sessions": f"WITH f AS (SELECT user_id, count(*) AS n FROM (SELECT user_id, value - lag(value) {_W} AS rise FROM events) WHERE rise > 1 GROUP BY 1), d AS (SELECT user_id, count(*) AS due FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1) SELECT user_id, coalesce(n, 0) AS edges, coalesce(n, 0) = due AS complete FROM d LEFT JOIN f USING (user_id)",
     "known_frames": "WITH e AS (SELECT event_id, event_id % 997 AS frame, CASE WHEN event_id % 101 <> 0 THEN value END AS v FROM events) SELECT event_id, frame FROM e WHERE frame NOT IN (SELECT frame FROM e WHERE v IS NULL OR isnan(v))",
     "spike_matrix": "SELECT neuron, f AS frame, CAST(EXISTS (SELECT 1 FROM events e WHERE e.user_id = neuron AND e.event_id % 50 = f) AS INT) AS spike FROM (SELECT DISTINCT user_id AS neuron FROM events), range(50) t(f)",
     "trial_frames": "WITH d AS (SELECT DISTINCT user_id, epoch_us(ts) // 3600000000 AS f FROM events), g AS (SELECT *, f - lag(f) OVER (PARTITION BY user_id ORDER BY f) AS gap FROM d), h AS (SELECT user_id, f, row_number() OVER (PARTITION BY user_id ORDER BY f) - 1 AS trial FROM g WHERE gap IS NULL OR gap > 1) SELECT user_id, trial, f + k AS frame FROM h, range(5) t(k)",
     "stimulation_schedule": 'SELECT s_name, CAST(sum(s_suppkey % 13 + s_suppkey % 7) OVER w - s_suppkey % 7 AS BIGINT) AS onset, CAST(sum(s_suppkey % 13 + s_suppkey % 7) OVER w AS BIGINT) AS "end" FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY lower(s_name), s_name ROWS UNBOUNDED PRECEDING)',
-    "stimulated_samples": "WITH s AS (SELECT user_id, epoch_us(ts) AS b, epoch_us(ts) + 86400000000 * (event_id % 4) AS e FROM events WHERE event_id % 5 = 0) SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.user_id = x.user_id AND epoch_us(x.ts) >= b AND epoch_us(x.ts) < e) THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS signal FROM events x",
+    "stimulated_samples": "WITH s AS (SELECT user_id, epoch_us(ts) AS b, epoch_us(ts) + 86400000000 * (event_id % 4) AS e FROM events WHERE event_type = 'purchase') SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.user_id = x.user_id AND epoch_us(x.ts) >= b AND epoch_us(x.ts) < e) THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS signal FROM events x",
     "merged_frames": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type, ts, event_id) - 1 AS frame FROM events",
     "detrended": "WITH l AS (SELECT user_id, coalesce(regr_slope(value, event_id / 100.0), 0) AS s, avg(event_id / 100.0) AS t, avg(value) AS v FROM events GROUP BY 1) SELECT event_id, round(value - (v + s * (event_id / 100.0 - t)), 4) AS value FROM events JOIN l USING (user_id)",
     "confusion": "SELECT quality, toxic, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY quality), 8) AS share FROM labels GROUP BY 1, 2",

@@ -13,17 +13,16 @@ from .queries import ORDER, _events, table
 from .recording_queries import _timed
 
 
-def _rows(e, rest):
-    row = (F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER)) - 1).cast("long")
-    return e.where(F.col("event_id") % 2 == rest).withColumn("row", row)
+def _rows(e):
+    return e.withColumn("row", (F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER)) - 1).cast("long"))
 
 
 def _behaviour(spark, sf_dir):
-    return _rows(_events(spark, sf_dir), 0).select("user_id", "row", F.col("event_type").alias("state"), (F.col("user_id") + F.col("row")).alias("t_ms"))
+    return _rows(_events(spark, sf_dir)).select("user_id", "row", F.col("event_type").alias("state"), (F.col("user_id") + F.col("row")).alias("t_ms"))
 
 
 def _recorder(spark, sf_dir):
-    return _rows(_events(spark, sf_dir), 1).select("user_id", "row", "value", (F.col("row") * 2.0).alias("time_ms"))
+    return _rows(_events(spark, sf_dir)).select("user_id", "row", "value", (F.col("row") * 2.0).alias("time_ms"))
 
 
 def _shifts(spark, sf_dir):
@@ -35,7 +34,7 @@ def selected_rows(spark, sf_dir):
 
 
 def kept_neurons(spark, sf_dir):
-    cells = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("user_id"), (F.col("s_nationkey") % 2).alias("is_cell"))
+    cells = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("user_id"), (F.col("s_acctbal") > 5000).cast("int").alias("is_cell"))
     return alignment.kept_neurons(_events(spark, sf_dir), cells, "user_id").select("event_id", "user_id")
 
 
@@ -88,7 +87,7 @@ def pose_aligned(spark, sf_dir):
 
 def voltage_signals(spark, sf_dir):
     names = table(spark, sf_dir, "nation").select(F.concat(F.lit(" "), "n_name").alias("name"), F.col("n_regionkey").alias("channel"))
-    return alignment.voltage_signals(names, table(spark, sf_dir, "region").where("r_regionkey % 2 = 1").select(F.col("r_regionkey").alias("channel"))).select("name", F.col("channel").cast("long").alias("channel"))
+    return alignment.voltage_signals(names, table(spark, sf_dir, "region").where("r_name in ('AMERICA', 'EUROPE')").select(F.col("r_regionkey").alias("channel"))).select("name", F.col("channel").cast("long").alias("channel"))
 
 
 def _planes(spark, sf_dir):
@@ -150,8 +149,8 @@ def smoothed_rates(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (selected_rows, kept_neurons, flipped_gate, swapped_indicators, grid_channels, stimulus_by_row, recording_aligned, frames_aligned, downsampled_aligned, pose_aligned, voltage_signals, plane_times, first_plane_placed, reference_frames, firing_rates, mean_dff, dff_by_tiff, diffused_traces, detrended_order_4, low_passed, smoothed_rates)}
 
 _W = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
-_BEHAVIOUR = f"b AS (SELECT user_id, row_number() {_W} - 1 AS row, event_type AS state, user_id + row_number() {_W} - 1 AS t_ms FROM events WHERE event_id % 2 = 0)"
-_RECORDER = f"r AS (SELECT user_id, row_number() {_W} - 1 AS row, value FROM events WHERE event_id % 2 = 1)"
+_BEHAVIOUR = f"b AS (SELECT user_id, row_number() {_W} - 1 AS row, event_type AS state, user_id + row_number() {_W} - 1 AS t_ms FROM events)"
+_RECORDER = f"r AS (SELECT user_id, row_number() {_W} - 1 AS row, value FROM events)"
 _SHIFT = """e AS (SELECT user_id, min(row) AS edge FROM (SELECT user_id, row, value - lag(value) OVER (PARTITION BY user_id ORDER BY row) AS d FROM r) WHERE d > 1 GROUP BY 1),
 s AS (SELECT e.user_id, edge - first AS shift, began FROM e JOIN r ON r.user_id = e.user_id AND r.row = e.edge AND r.value >= 3.3
  JOIN (SELECT user_id, min(row) FILTER (state = 'purchase') AS first, min(t_ms) AS began FROM b GROUP BY 1) f ON f.user_id = e.user_id WHERE first IS NOT NULL)"""
@@ -174,7 +173,7 @@ _MATRIX = "m AS (SELECT CAST(unnest(range(64)) AS BIGINT) AS neuron, vec_id AS f
 _STEP = "SELECT event_id, user_id, ts, x + 0.15 * (m - coalesce(lag(m) OVER w, 0)) AS x FROM (SELECT *, d / (1 + (d / 8.0) * (d / 8.0)) AS m FROM (SELECT *, coalesce(lead(x) OVER v - x, 0) AS d FROM {} WINDOW v AS (PARTITION BY user_id ORDER BY ts))) WINDOW w AS (PARTITION BY user_id ORDER BY ts)"
 ORACLE_SQL = {
     "selected_rows": "SELECT event_id, event_type, value FROM events WHERE value >= 10 AND event_type IN ('purchase', 'click') AND user_id <> 8",
-    "kept_neurons": "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 2 = 1)",
+    "kept_neurons": "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)",
     "flipped_gate": "SELECT event_id, 1 - event_id % 2 AS gate FROM events",
     "swapped_indicators": f"""WITH n AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') * 2 AS due, count(*) FILTER (d > 1) AS found FROM (SELECT *, value - lag(value) {_W} AS d FROM events) GROUP BY 1)
 SELECT event_id, CASE WHEN found > due THEN value * 2 ELSE value END AS value, CASE WHEN found > due THEN value ELSE value * 2 END AS twice FROM events JOIN n USING (user_id)""",
@@ -194,7 +193,7 @@ p AS (SELECT user_id, row // 5 AS trial, row % 5 AS k, count(*) OVER (PARTITION
 q AS (SELECT p.user_id, p.trial, low + {_ROUND.format("(high - low) * k / greatest(n - 1, 1)")} AS t_ms, arg_max(value, k) AS v FROM p JOIN g ON g.user_id = p.user_id AND g.trial = p.trial GROUP BY 1, 2, 3),
 j AS (SELECT l.user_id, l.t_ms, run, l.trial, v FROM l LEFT JOIN q ON run AND q.user_id = l.user_id AND q.trial = l.trial AND q.t_ms = l.t_ms), d AS {_near("j", "user_id, run, trial", "v")}
 SELECT user_id, t_ms, coalesce(near, max(near) OVER (PARTITION BY user_id)) AS x, coalesce(near, 0) AS y FROM d""",
-    "voltage_signals": "SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS channel FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey % 2 = 1)",
+    "voltage_signals": "SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS channel FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name IN ('AMERICA', 'EUROPE'))",
     "plane_times": f"""WITH p AS (SELECT user_id, (row_number() {_W} - 1) // 4 AS v, (row_number() {_W} - 1) % 4 AS plane, value FROM events), n AS (SELECT user_id, v, count(*) AS n FROM p GROUP BY 1, 2),
 l AS (SELECT user_id, v, n, lag(n) OVER (PARTITION BY user_id ORDER BY v) AS b, lead(v) OVER (PARTITION BY user_id ORDER BY v) AS f FROM n)
 SELECT user_id, plane, count(*) AS n, md5(string_agg(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY v)) AS times FROM p JOIN l USING (user_id, v) WHERE NOT (f IS NULL AND b IS NOT NULL AND n <> b) GROUP BY 1, 2""",
