@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .text import Words, blocks, split_words, text_bytes, unused, written
+from .text import Words, blocks, readable, split_words, text_bytes, unused, written
 
 SPAN, K = 13, 5
 BLOCK_CHARS = 16 << 20  # bytes of the benchmark that one pass holds
@@ -180,9 +180,8 @@ def _spans_of(items, span: int, k: int) -> Spans:
     return _spans[name]
 
 
-def _pass(frame: DataFrame, items, own: str, new: list[str], span: int, k: int) -> DataFrame:
-    """frame with its column `own` replaced by `new`: the number of words, the hits and the items of a block."""
-    kept = [c for c in frame.columns if c != own]
+def _pass(frame: DataFrame, kept: list[str], items, own: str, new: list[str], span: int, k: int) -> DataFrame:
+    """The columns `kept` of frame and, from the texts `own`, `new`: the number of words, the hits and the items of a block."""
     schema = StructType([frame.schema[c] for c in kept])
     for c, kind in zip(new, (LongType(), _HITS, ArrayType(StringType()))):
         schema = schema.add(c, kind)
@@ -206,29 +205,31 @@ def _pass(frame: DataFrame, items, own: str, new: list[str], span: int, k: int)
     return frame.mapInArrow(scan, schema)
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows and columns of docs with `n_words`, `hits` (array of [a, b) in words; of several blocks they may overlap) and `items` (names)."""
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None) -> DataFrame:
+    """The rows and columns of docs (or those of `keep`) with `n_words`, `hits` (array of [a, b) in words; of several blocks they may overlap) and `items` (names)."""
     share = lambda block: docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
-    *new, own, key = unused(["n_words", "hits", "items", "text bytes", "text md5"], docs.columns)
-    frame = docs.withColumn(own, text_bytes(text))
+    kept = docs.columns if keep is None else keep
+    *new, key = unused(["n_words", "hits", "items", "text md5"], docs.columns)
+    frame, own = readable(docs, text)
+    md5 = F.unhex(F.md5(text_bytes(text)))
     parts = benchmark_blocks(benchmark, item, item_text, block_chars)
     first, second = next(parts, []), next(parts, None)
     if second is None:
-        return _pass(frame, share(first), own, new, span, k)
+        return _pass(frame, kept, share(first), own, new, span, k)
     tables = []
     for block in chain([first, second], parts):
         shared = share(block)
-        hit = _pass(frame.select(F.unhex(F.md5(own)).alias(key), own), shared, own, new, span, k).where(F.size(new[1]) > 0)
+        hit = _pass(frame.select(md5.alias(key), F.col(f"`{own}`")), [key], shared, own, new, span, k).where(F.size(new[1]) > 0)
         tables.append(written(hit.dropDuplicates([key])))
         shared.destroy()
     union = tables[0]
     for t in tables[1:]:
         union = union.unionByName(t)
     found = union.groupBy(key).agg(F.flatten(F.collect_list(new[1])).alias(new[1]), F.flatten(F.collect_list(new[2])).alias(new[2]))  # a row for each block at most
-    plain = _pass(frame.withColumn(key, F.unhex(F.md5(own))), share([]), own, new, span, k).drop(*new[1:])
+    plain = _pass(frame.withColumn(key, md5), [*kept, key], share([]), own, new, span, k).drop(*new[1:])
     empty = lambda c: F.coalesce(F.col(f"`{c}`"), F.array().cast(found.schema[c].dataType)).alias(c)
     joined = plain.join(found, key, "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], f"`{new[0]}`", empty(new[1]), empty(new[2]))
+    return joined.select(*[F.col(f"`{c}`") for c in kept], f"`{new[0]}`", empty(new[1]), empty(new[2]))
 
 
 def _verdict(hits: Column, n_words: Column) -> Column:
@@ -238,7 +239,7 @@ def _verdict(hits: Column, n_words: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """A row for each document: id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
-    s = contaminated_spans(docs.select(F.col(id).alias("brimwell id"), F.col(text).alias("text")), benchmark, text="text", **kw)
+    s = contaminated_spans(docs.select(F.col(id).alias("brimwell id"), F.col(text).alias("text")), benchmark, text="text", keep=["brimwell id"], **kw)
     names = F.array_sort(F.array_distinct("items"))
     return s.select(
         F.col("brimwell id").alias(id), "n_words", covered(F.col("hits")).alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from .text import blocks, text_bytes, unused
+from .text import blocks, readable, text_bytes, unused
 
 MARK = "▁"
 KEEP = 100_000  # words a task remembers, and pieces of them in tens
@@ -207,7 +207,8 @@ def _shared(docs: DataFrame, model: str):
 def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", out: str = "pieces") -> DataFrame:
     """The rows and columns of docs and the array<int> column `out`."""
     shared = _shared(docs, model)
-    out, own = unused([out, "text bytes"], docs.columns)
+    (out,) = unused([out], docs.columns)
+    frame, own = readable(docs, text)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +218,7 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", out: str =
                 ids = _lists(*encoder.encode_block(_texts(data, at)), _nulls(part.column(names.index(text))))
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(names))] + [ids], names=[*names, out])
 
-    return docs.withColumn(own, text_bytes(text)).mapInArrow(run, StructType(list(docs.schema)).add(out, ArrayType(IntegerType())))
+    return frame.mapInArrow(run, StructType(list(docs.schema)).add(out, ArrayType(IntegerType())))
 
 
 def decode_pieces(docs: DataFrame, model: str, *, pieces: str = "pieces", out: str = "decoded") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import compile_rules, scan_backwards
-from .text import blocks, buffers, text_bytes
+from .text import blocks, readable, text_bytes
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def scan_secrets(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rul
 
 def redact_secrets(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[{}]") -> DataFrame:
     """The same rows and columns, each secret in the text replaced by the mark of its kind; overlapping spans become one mark, of the first. Null stays null."""
-    own = "brimwell text bytes"
+    frame, own = readable(docs, text)
     schema = docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(scanner_of(rules))
 
@@ -139,7 +139,6 @@ def redact_secrets(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ..
         scanner = shared.value
         marks = [mark.format(r.kind.upper()).encode() for r in rules]
         for batch in batches:
-            data, at = buffers(batch.column(own))
             column = batch.column(text)
             new: dict[int, str] = {}
             i = 0
@@ -160,7 +159,7 @@ def redact_secrets(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ..
                 column = pa.array(values, column.type)
             yield pa.RecordBatch.from_arrays([column if n == text else batch.column(n) for n in schema.names], names=schema.names)
 
-    return docs.withColumn(own, text_bytes(text)).mapInArrow(scan, schema)
+    return frame.mapInArrow(scan, schema)
 
 
 def _joined(spans: Column) -> Column:

@@ -15,8 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 BLOCK_BYTES = 1 << 20  # texts are taken in blocks of about this many bytes; a longer text is a block of its own
 
@@ -131,10 +133,12 @@ def hash_gram(hashes: np.ndarray) -> int:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a binary column without nulls; offsets start at 0."""
+    """Bytes and offsets of a binary or string column; offsets start at 0, nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    wide = pa.types.is_large_binary(column.type)
+    if column.null_count:
+        column = pc.fill_null(column, pa.scalar(b"", pa.binary()).cast(column.type))
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     _, at, data = column.buffers()
     at = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
@@ -187,8 +191,6 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 15
 
 def starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     """Rows of a sorted table at which a group begins."""
-    import pyarrow.compute as pc
-
     new = np.zeros(table.num_rows, bool)
     new[0] = True
     for k in keys:
@@ -202,6 +204,14 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def readable(docs: DataFrame, column: str = "text") -> tuple[DataFrame, str]:
+    """docs and the column whose buffers hold the texts: strings and bytes go to the workers as they are, once."""
+    if isinstance(docs.schema[column].dataType, (StringType, BinaryType)):
+        return docs, column
+    (own,) = unused(["text bytes"], docs.columns)
+    return docs.withColumn(own, text_bytes(column)), own
+
+
 def unused(names: list[str], columns: list[str]) -> list[str]:
     """The names that a result gets beside columns it may not overwrite: `_` is put behind those that are taken, letter case aside."""
     taken, out = {c.lower() for c in columns}, []

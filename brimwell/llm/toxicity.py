@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .text import blocks, split_words, text_bytes, unused, written
+from .text import blocks, readable, split_words, text_bytes, unused, written
 
 WORDS, SAMPLE, FOLDS, CUT = 128, 20_000, 5, 0.5
 CATEGORIES = ("quality", "toxic")
@@ -155,7 +155,8 @@ def toxicity(docs: DataFrame, model, *, text: str = "text", cut: float = CUT) ->
     """The rows and columns of docs with a probability p_<category> for each link of the chain, and is_toxic (the last reaches `cut`)."""
     categories, words, models, rates = model
     names = docs.columns
-    *new, flag, own = unused([*(f"p_{c}" for c in categories), "is_toxic", "text bytes"], names)
+    *new, flag = unused([*(f"p_{c}" for c in categories), "is_toxic"], names)
+    frame, own = readable(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast((words, models))
     schema = StructType(list(docs.schema))
     for n in new:
@@ -168,5 +169,5 @@ def toxicity(docs: DataFrame, model, *, text: str = "text", cut: float = CUT) ->
                 p = apply_chain(models, features(data, offsets, words)) if models else np.repeat(np.array(rates)[:, None], part.num_rows, axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(names))] + list(map(pa.array, p)), names=[*names, *new])
 
-    out = docs.withColumn(own, text_bytes(text)).mapInArrow(run, schema)
+    out = frame.mapInArrow(run, schema)
     return out.withColumn(flag, (F.col(f"`{new[-1]}`") >= cut) if models else F.lit(False))

@@ -516,3 +516,21 @@ def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for f in (license_scan.scan_licenses, secret_scan.scan_secrets, lm_score.score_texts, language_id.language_digest, near_duplicates.near_duplicates, media.media_digest):
         assert f(none).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "binary", "varchar(40)"])
+def test_texts_of_strings_and_of_bytes_are_the_same(spark, kind):
+    """Nulls, empty texts and others between them: readers take the column's own buffers."""
+    secret = "password = 'hunter22x' and more"
+    texts = [None, "a b c", "", None, secret, "é a b c é", "", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    d = d.select("doc_id", d.text.cast(kind).alias("text"))
+    bench = spark.createDataFrame([("x", "b c")], "item_id string, text string")
+    spans = {r.doc_id: (r.n_words, [tuple(h) for h in r.hits], r["items"]) for r in contamination.contaminated_spans(d, bench).collect()}
+    assert spans == {i: (len(words(t)), [(w, w + 2) for w in range(len(words(t))) if words(t)[w : w + 2] == ["b", "c"]], ["x"] if "b c" in (t or "") else []) for i, t in enumerate(texts)}
+    model = (("toxic",), np.zeros(0, np.uint64), [], [0.25])
+    assert [r.p_toxic for r in toxicity.toxicity(d, model).collect()] == [0.25] * len(texts)
+    if kind != "binary":
+        assert [r.text for r in secret_scan.redact_secrets(d).orderBy("doc_id").collect()] == [t and t.replace("password = 'hunter22x", "[ASSIGN]") for t in texts]
+    back = pieces.decode_pieces(pieces.encode_pieces(d, registry.PIECES).select("doc_id", "pieces"), registry.PIECES)
+    assert [r.decoded for r in back.orderBy("doc_id").collect()] == texts
