@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, fixity, language_id, license_scan, lm_score, media, near_duplicates, pieces, secret_scan, toxicity
+from . import contamination, fixity, language_id, license_scan, line_dedup, lm_score, media, near_duplicates, periodic_runs, pieces, secret_scan, toxicity, whitening
 
 TOKENIZERS = os.environ.get("BRIMWELL_TOKENIZERS", "/opt/tokenizers")
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -58,5 +58,17 @@ def op10_pieces(spark, sf_dir):
     return pieces.piece_digest(table(spark, sf_dir, "documents"), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontamination, op4_lm_score, op5_toxicity, op6_jaccard_join, op7_merkle_fixity, op8_language_id, op9_media_columns, op10_pieces)}
-ORACLE_SQL = {"op3_decontamination": contamination.ORACLE, "op7_merkle_fixity": fixity.ORACLE}
+def op11_line_dedup(spark, sf_dir):
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whitening_digest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontamination, op4_lm_score, op5_toxicity, op6_jaccard_join, op7_merkle_fixity, op8_language_id, op9_media_columns, op10_pieces, op11_line_dedup, op12_periodic_runs, op13_whitening)}
+ORACLE_SQL = {"op3_decontamination": contamination.ORACLE, "op7_merkle_fixity": fixity.ORACLE, "op11_line_dedup": line_dedup.ORACLE, "op12_periodic_runs": periodic_runs.ORACLE}
