@@ -11,6 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def beside(df: DataFrame, per: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df with the other columns of per, one row for each key; null keys meet null keys."""
+    renamed = per.select(*[F.col(k).alias(f"_beside{i}") for i, k in enumerate(keys)], *[c for c in per.columns if c not in keys])
+    if not keys:
+        return df.crossJoin(F.broadcast(renamed))  # one row
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_beside{i}"))
+    return df.join(renamed, same, how).drop(*[f"_beside{i}" for i in range(len(keys))])
+
+
 def _ordered(order: list[str], ahead: bool) -> list[Column]:
     return [F.col(o).desc() if ahead else F.col(o).asc() for o in order]
 

@@ -1,8 +1,9 @@
 """Filters, baselines and smoothing of traces: tables (key columns, frame, value).
 
-What built-in windows can say is said by them; filters that need a whole trace at once run trace by trace in
-`applyInArrow`, so a trace has to fit in a task and traces are dealt over tasks.  NaN counts as null; unknown values stay
-unknown and a filter sees the known ones only.  Empty tables give empty ones.
+What built-in windows can say is said by them.  Other filters take a `segment`, a column that never falls along the frames:
+then a trace is dealt by segments (operators/segments) and no task holds more than one.  Without it they run trace by trace in
+`applyInArrow`, so that a trace has to fit in a task.  NaN counts as null; unknown values stay unknown and a filter sees the
+known ones only.  Null keys are a trace of their own.  Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, segments
+from .quantiles import exact_quantile
+from .running import beside
 from .traces import known
 
 
@@ -33,9 +36,11 @@ def by_trace(df: DataFrame, keys: list[str], frame: str, value: str, kernel: Cal
     return own.groupBy(*keys).applyInArrow(run, own.schema)
 
 
-def low_passed(df: DataFrame, keys: list[str], frame: str, value: str, rate: float, cutoff: float, order: int = 2) -> DataFrame:
+def low_passed(df: DataFrame, keys: list[str], frame: str, value: str, rate: float, cutoff: float, order: int = 2, segment: Column | None = None) -> DataFrame:
     """Zero-phase Butterworth low-pass."""
     b, a = kernels.butterworth(order, cutoff / (rate / 2))
+    if segment is not None:
+        return segments.recursive(df, keys, frame, value, segment, b, a)
     return by_trace(df, keys, frame, value, lambda x: kernels.zero_phase(b, a, x))
 
 
@@ -44,61 +49,90 @@ def polynomial_detrended(df: DataFrame, keys: list[str], frame: str, value: str,
     return by_trace(df, keys, frame, value, lambda x: kernels.polynomial_removed(x, order))
 
 
-def smoothed_rates(df: DataFrame, session: list[str], neuron: str, frame: str, value: str, sigma: float) -> DataFrame:
+def smoothed(df: DataFrame, keys: list[str], frame: str, value: str, sigma: float, segment: Column | None = None) -> DataFrame:
+    """Gaussian smoothing along time, cut at four sigma, mirrored edges."""
+    if segment is None:
+        return by_trace(df, keys, frame, value, lambda x: kernels.gaussian(x, sigma))
+    r = int(4 * sigma + 0.5)
+
+    return segments.haloed(df, keys, frame, value, segment, r, lambda x, before, n, *_: kernels.gaussian(x, sigma)[before : before + n], extend=segments.mirrored_ends)
+
+
+def smoothed_rates(df: DataFrame, session: list[str], neuron: str, frame: str, value: str, sigma: float, segment: Column | None = None) -> DataFrame:
     """Gaussian smoothing along time, over the largest value of any neuron in the frame; what is not above 0 becomes 0."""
-    d = by_trace(df, [*session, neuron], frame, value, lambda x: kernels.gaussian(x, sigma))
+    d = smoothed(df, [*session, neuron], frame, value, sigma, segment)
     top = d.groupBy(*session, frame).agg(F.max(value).alias("_top"))
     share = F.try_divide(F.col(value), F.col("_top"))
-    return d.join(top, [*session, frame]).withColumn(value, F.when(share.isNotNull(), F.greatest(share, F.lit(0.0)))).drop("_top")
+    return beside(d, top, [*session, frame]).withColumn(value, F.when(share.isNotNull(), F.greatest(share, F.lit(0.0)))).drop("_top")
 
 
-def moving_mean(df: DataFrame, keys: list[str], frame: str, value: str, half: int) -> DataFrame:
+def moving_mean(df: DataFrame, keys: list[str], frame: str, value: str, half: int, segment: Column | None = None) -> DataFrame:
     """Centred mean over 2 * half + 1 rows, fewer at the edges."""
+    if segment is not None:
+        return segments.haloed(df, keys, frame, value, segment, half, lambda x, before, n, *_: kernels.centred_mean(x, half)[before : before + n], compact=False)
     w = Window.partitionBy(*keys).orderBy(frame).rowsBetween(-half, half)
     return df.withColumn(value, F.avg(known(value)).over(w))
 
 
-def baseline(df: DataFrame, keys: list[str], frame: str, value: str, rate: float, *, how: str = "fir", cutoff: float = 1.0, share: float = 0.05) -> DataFrame:
+def fir_low_passed(df: DataFrame, keys: list[str], frame: str, value: str, rate: float, cutoff: float = 1.0, taps: int = 30, segment: Column | None = None) -> DataFrame:
+    """`taps` taps run forward and backward over a trace, begun in the steady state of its ends, which are reflected; a rate of `cutoff` or less is left as it is."""
+    if rate <= cutoff:
+        return df.withColumn(value, known(value))
+    w = kernels.windowed_sinc(taps, min(1.0, cutoff / (rate / 2)))
+    if segment is None:
+        return by_trace(df, keys, frame, value, lambda x: kernels.zero_phase(w, np.ones(1), x))
+    both, halo, small = np.convolve(w, w[::-1]), taps - 1, 3 * taps + 1  # forward and backward are one symmetric filter, 29 samples to each side
+
+    def kernel(x: np.ndarray, before: int, n: int, whole: bool, _) -> np.ndarray:
+        return kernels.zero_phase(w, np.ones(1), x)[before : before + n] if whole else kernels.overlap_save(both, x)
+
+    return segments.haloed(df, keys, frame, value, segment, halo, kernel, extend=segments.odd_ends, small=small)
+
+
+def baseline(df: DataFrame, keys: list[str], frame: str, value: str, rate: float, *, how: str = "fir", cutoff: float = 1.0, share: float = 0.05, segment: Column | None = None) -> DataFrame:
     """(keys, f0): the 5th percentile of the low-passed trace, not below its least value.
 
-    how: `fir`, 30 taps run both ways without the first sample (above 2 * cutoff Hz, else unfiltered), or `mean`, a centred moving mean of a second.
+    how: `fir`, 30 taps run both ways without the first known sample (above `cutoff` Hz, else unfiltered), or `mean`, a centred moving mean of a second.
     """
+    quantile = lambda d: exact_quantile(d, keys, value, share, "f0") if segment is not None else d.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias("f0"))
     if how == "mean":
-        low = moving_mean(df, keys, frame, value, int(rate // 2))
-        return low.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias("f0"))
-    taps = kernels.windowed_sinc(30, min(1.0, cutoff / (rate / 2)))
-    filtered = (lambda x: np.concatenate([x[:1], kernels.zero_phase(taps, np.ones(1), x[1:])])) if rate > cutoff else (lambda x: x)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(frame))
-    low = by_trace(df.select(*keys, frame, value), keys, frame, value, filtered).withColumn("_rank", rank).where("_rank > 1")
+        return quantile(moving_mean(df, keys, frame, value, int(rate // 2), segment))
+    first = df.where(known(value).isNotNull()).groupBy(*keys).agg(F.min(frame).alias("_first"))
+    rest = beside(df.select(*keys, frame, value), first, keys).where(F.col(frame) > F.col("_first")).drop("_first")
     least = df.groupBy(*keys).agg(F.min(known(value)).alias("_least"))
-    f0 = low.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias("f0"))
-    return f0.join(least, keys).select(*keys, F.greatest("f0", "_least").alias("f0"))
+    f0 = quantile(fir_low_passed(rest, keys, frame, value, rate, cutoff, segment=segment))
+    return beside(f0, least, keys).select(*keys, F.greatest("f0", "_least").alias("f0"))
 
 
-def relative_fluorescence(df: DataFrame, neuron: list[str], frame: str, value: str, rate: float, *, raw: DataFrame | None = None, tiff: str | None = None, offset: float = 1e-4, how: str = "fir") -> DataFrame:
+def relative_fluorescence(df: DataFrame, neuron: list[str], frame: str, value: str, rate: float, *, raw: DataFrame | None = None, tiff: str | None = None, component: tuple[str, int] | None = None, offset: float = 1e-4, how: str = "fir", segment: Column | None = None) -> DataFrame:
     """dF/F: (value - F0) / F0 after an offset was added, F0 by neuron over all tiffs, or by tiff if `tiff` is named (then not below 0).
 
-    If `raw` traces are given the divisor is their F0.  `value` becomes dF/F; a divisor of 0 gives null.
+    If `raw` traces are given the divisor is their F0.  `value` becomes dF/F; a divisor of 0 gives null.  component (column,
+    number): only rows of that number count, in both tables.
     """
     keys = [*neuron, *([tiff] if tiff else [])]
-    lifted = lambda t: t.withColumn(value, known(value) + offset)
-    d = lifted(df)
+    own = lambda t: t.where(F.col(component[0]) == component[1]) if component else t
+    lifted = lambda t: own(t).withColumn(value, known(value) + offset)
     clamp = lambda c: F.greatest(c, F.lit(0.0)) if tiff else c
-    f0 = baseline(d, keys, frame, value, rate, how=how).select(*keys, clamp(F.col("f0")).alias("_f0"))
-    d = d.join(f0, keys)
+    level = lambda t, name: baseline(t, keys, frame, value, rate, how=how, segment=segment).select(*keys, clamp(F.col("f0")).alias(name))
+    d = lifted(df)
+    out = beside(d, level(d, "_f0"), keys)
     by = F.col("_f0")
     if raw is not None:
-        d = d.join(baseline(lifted(raw), keys, frame, value, rate, how=how).select(*keys, clamp(F.col("f0")).alias("_raw")), keys)
-        by = F.col("_raw")
-    return d.withColumn(value, F.try_divide(F.col(value) - F.col("_f0"), by)).drop("_f0", "_raw")
+        out, by = beside(out, level(lifted(raw), "_raw"), keys), F.col("_raw")
+    return out.withColumn(value, F.try_divide(F.col(value) - F.col("_f0"), by)).drop("_f0", "_raw")
 
 
-def diffused(df: DataFrame, keys: list[str], frame: str, value: str, *, times: int = 5, kappa: float = 100.0, gamma: float = 0.15, option: int = 1, scaled: bool = False) -> DataFrame:
+def diffused(df: DataFrame, keys: list[str], frame: str, value: str, *, times: int = 5, kappa: float = 100.0, gamma: float = 0.15, option: int = 1, scaled: bool = False, segment: Column | None = None) -> DataFrame:
     """Edge-preserving diffusion along time: x += gamma * (m - m before), with m = g(d) * d of the step d to the next sample (0 at the end).
 
     g: 1, exp(-(d/k)^2); 2, 1 / (1 + (d/k)^2); 3, ((1 - (d/(k sqrt 2))^2)^2) / 2, or 0 beyond k sqrt 2.  scaled: kappa times the trace's range.
-    A window for each time over one partitioning; fit for a few times.
+    Without a segment a window for each time over one partitioning, fit for a few times; with it one pass in which each segment
+    takes `times` samples of its neighbours along.
     """
+    if segment is not None:
+        step = lambda x, before, n, _, spread: kernels.diffused(x, times, kappa * (spread or 0.0) if scaled else kappa, gamma, option)[before : before + n]
+        return segments.haloed(df, keys, frame, value, segment, times, step, compact=False)
     w = Window.partitionBy(*keys).orderBy(frame)
     d = df.withColumn(value, known(value))
     whole = Window.partitionBy(*keys)

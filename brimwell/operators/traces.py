@@ -43,7 +43,13 @@ def mean_rate(df: DataFrame, key: str, value: str) -> DataFrame:
 def standardised_noise(df: DataFrame, key: str, order: list[str], value: str, rate: float, whole: bool = False) -> DataFrame:
     """Median absolute difference of neighbouring frames over the square root of the frame rate, per trace or over all (differences never cross traces)."""
     step = F.abs(known(value) - F.lag(known(value)).over(Window.partitionBy(key).orderBy(*order)))
-    return df.withColumn("step", step).groupBy(*([] if whole else [key])).agg((F.median("step") / F.sqrt(F.lit(rate))).alias("noise"))
+    steps = df.withColumn("step", step)
+    scaled = lambda c: (c / F.sqrt(F.lit(rate))).alias("noise")
+    if whole:
+        from .quantiles import exact_quantile  # which takes unknown values from here
+
+        return exact_quantile(steps, [], "step", 0.5).select(scaled(F.col("quantile")))
+    return steps.groupBy(key).agg(scaled(F.median("step")))
 
 
 def covariance(vectors: DataFrame, values: str, width: int) -> DataFrame:
