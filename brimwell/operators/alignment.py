@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .recordings import nearest_filled
-from .running import running_last
+from .running import beside, running_last
 from .traces import known, rising_edges
 
 _COMPARISON = re.compile(r"\s*(<=|>=|==|!=|<|>|=)\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|'[^']*')\s*$")
@@ -177,9 +177,12 @@ def first_plane_placed(frames: DataFrame, keys: list[str], columns: list[str]) -
     return frames.withColumns(second)
 
 
-def reference_frames(frames: DataFrame, many: int, frame: str = "frame") -> DataFrame:
-    """`many` evenly spaced frames, by rank: those at floor(i * n / m) of n, with m = min(many, n)."""
-    n = frames.agg(F.count("*").alias("_n"))
-    d = frames.crossJoin(F.broadcast(n)).withColumn("_m", F.least(F.lit(many), F.col("_n")))  # one row
-    place = F.ceil(F.col(frame) * F.col("_m") / F.col("_n"))  # the least i with floor(i n / m) >= frame
-    return d.where((F.floor(place * F.col("_n") / F.col("_m")) == F.col(frame)) & (place < F.col("_m"))).drop("_n", "_m")
+def reference_frames(frames: DataFrame, many: int, frame: str = "frame", by: tuple[str, ...] = ()) -> DataFrame:
+    """`many` evenly spaced frames of each stack (`by`), by rank: those at floor(i * n / m) of n, with m = min(many, n).
+
+    Frame numbers are those of a stack without gaps, from any number on.
+    """
+    per = frames.groupBy(*by).agg(F.count("*").alias("_n"), F.min(frame).alias("_first"))
+    d = beside(frames, per, list(by)).withColumns({"_m": F.least(F.lit(many), F.col("_n")), "_rank": F.col(frame) - F.col("_first")})
+    place = F.ceil(F.col("_rank") * F.col("_m") / F.col("_n"))  # the least i with floor(i n / m) >= rank
+    return d.where((F.floor(place * F.col("_n") / F.col("_m")) == F.col("_rank")) & (place < F.col("_m"))).drop("_n", "_m", "_first", "_rank")

@@ -42,7 +42,7 @@ def grouped_median(spark, sf_dir):
 
 def reduced_blocks(spark, sf_dir):
     """A user's function: the range of a block."""
-    return images.reduced(_frames(spark, sf_dir), 8, (3, 3, 2), lambda block: block.max() - block.min())
+    return images.reduced(_frames(spark, sf_dir), 8, (3, 3, 2), lambda blocks, axis: blocks.max(axis) - blocks.min(axis))
 
 
 def cell_diameters(spark, sf_dir):
