@@ -6,9 +6,11 @@ fingerprint there.  The documents' fingerprints are looked up among the benchmar
 all spans of `span` words around it are looked up, first by hash, then word by word.  Items of fewer
 words than `span` are looked up whole, as spans of their own length.
 
-The benchmark is taken in blocks of BLOCK_CHARS bytes, of which the driver and every worker hold one at a time.  One
-block is one pass over the documents, without a shuffle.  Of several blocks each is a job of its own that writes
-the hits of the texts it hits, told by the MD5 of the text; these are put together and joined to the documents.
+A benchmark of up to BLOCK_CHARS bytes is broadcast: one pass over the documents, without a shuffle.  A larger one becomes
+tables, made in tasks: its spans by the MD5 of their words, and two bit tables of bounded size, one of its fingerprints and one of
+its spans, which alone go to the workers.  One pass over the documents then gives the spans around fingerprints that both
+bit tables know, each text once (told by its MD5); joins by shuffle of these candidates with the benchmark's spans
+decide.  What a bit table lets through in error costs a row in that join and nothing else; memory does not grow with the benchmark.
 
 Defined results: null and empty texts have no words and no hits; an item without words is none; equal
 rows give equal rows; tables without rows give none; an item_id that stands in several rows counts once;
@@ -19,9 +21,9 @@ put behind its name.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .text import Words, blocks, readable, split_words, text_bytes, unused, written
+from .text import Words, blocks, discarded, readable, split_words, text_bytes, unused, written
 
 SPAN, K = 13, 5
-BLOCK_CHARS = 16 << 20  # bytes of the benchmark that one pass holds
+BLOCK_CHARS = 2 << 20  # bytes of a benchmark that is broadcast: about 60 MB in a worker
+MOST_BITS = 28  # 32 MB in a worker for each of the two bit tables
 _HITS = ArrayType(StructType().add("a", "long").add("b", "long"))
 
 
@@ -155,17 +158,108 @@ def _in(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return table[np.minimum(at, len(table) - 1)] == x
 
 
-def benchmark_blocks(benchmark: DataFrame, id: str, text: str, size: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """Items in blocks of about `size` bytes; only one block at a time is on the driver."""
-    held, have = [], 0
-    for r in benchmark.select(F.col(id).cast("string").alias("i"), text_bytes(text).alias("t")).toLocalIterator():
-        held.append((r.i, bytes(r.t)))
-        have += len(r.t)
-        if have >= size:
-            yield held
-            held, have = [], 0
-    if held:
-        yield held
+class Bits:
+    """A bit for each of the uppermost bits of a hash: what is not in it was never put in."""
+
+    def __init__(self, rows: pa.Table, bits: int) -> None:
+        self.shift = np.uint64(64 - bits)
+        self.words = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
+        self.words[rows.column("slot").to_numpy()] = rows.column("mask").to_numpy().astype(np.uint64)
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        at = h >> self.shift
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _bits(hashes: DataFrame, count: int) -> Bits:
+    """The bit table of a column `h`: 16 bits for each value, within bounds; merged by an aggregation of its 64-bit words."""
+    bits = min(MOST_BITS, max(16, int(count * 16).bit_length()))
+    slot = F.shiftrightunsigned("h", 64 - bits + 6)
+    mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")
+    return Bits(hashes.groupBy(slot.alias("slot")).agg(F.bit_or(mask).alias("mask")).toArrow(), bits)
+
+
+def _digests(text: bytes, begin: np.ndarray, places: np.ndarray, size: int) -> list[bytes]:
+    return [hashlib.md5(text[a : b - 1]).digest() for a, b in zip(begin[places].tolist(), begin[places + size].tolist())]
+
+
+def _benchmark_table(benchmark: DataFrame, id: str, text: str, span: int, k: int) -> DataFrame:
+    """(item, size, digest, h, prints): a row for each span of each item; prints, on an item's first span, are all its fingerprints."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in blocks(batch, "t"):
+                words = split_words(data, offsets)
+                joined, begin = joined_words(words)
+                n, item = np.diff(words.first), words.text_of()
+                small, fine = words.grams(k)
+                at = winnow(small, fine, span - k + 1)
+                at = at[fine[at]]
+                for size in sorted({min(int(x), span) for x in n if x}):
+                    g, ok = words.grams(size)
+                    places = np.flatnonzero(ok) if size == span else words.first[:-1][n == size]
+                    lists: list = [[] for _ in places]
+                    if size == span and len(places):
+                        lists[0] = small[at].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([part.column("i").take(pa.array(item[places])), pa.array(np.full(len(places), size, np.int32)), pa.array(_digests(joined, begin, places, size), pa.binary()), pa.array(g[places].astype(np.int64)), pa.array(lists, pa.list_(pa.int64()))], names=["item", "size", "digest", "h", "prints"])
+
+    items = benchmark.select(F.col(id).cast("string").alias("i"), text_bytes(text).alias("t"))
+    return items.mapInArrow(cut, "item string, size int, digest binary, h long, prints array<long>")
+
+
+def _candidates(texts: DataFrame, own: str, key: str, spans: Bits, prints: Bits, sizes: list[int], span: int, k: int) -> DataFrame:
+    """(key, n_words, spans) of each text; spans (place, size, digest) are those that both bit tables know."""
+    shared = texts.sparkSession.sparkContext.broadcast((spans, prints))
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("size", pa.int32()), ("digest", pa.binary())]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans, prints = shared.value
+        for batch in batches:
+            for part, data, offsets in blocks(batch, own):
+                words = split_words(data, offsets)
+                found: list[list] = [[] for _ in range(part.num_rows)]
+                text_of, joined = words.text_of(), None
+                for size in sizes:
+                    g, ok = words.grams(size)
+                    if size == span:
+                        small, fine = words.grams(k)
+                        at = winnow(small, fine, span - k + 1)
+                        at = at[fine[at] & prints.known(small[at])]
+                        near = (at[:, None] - np.arange(span - k + 1)[None, :]).ravel()
+                        near = np.unique(near[(near >= 0) & (near < len(g))])
+                    else:
+                        near = np.arange(len(g))
+                    near = near[ok[near]]
+                    near = near[spans.known(g[near])]
+                    if len(near):
+                        joined = joined or joined_words(words)
+                        for t, p, d in zip(text_of[near].tolist(), (near - words.first[text_of[near]]).tolist(), _digests(*joined, near, size)):
+                            found[t].append({"place": p, "size": size, "digest": d})
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.names.index(key)), pa.array(np.diff(words.first), pa.int64()), pa.array(found, kind)], names=["key", "n_words", "spans"])
+
+    return texts.select(key, own).mapInArrow(scan, "key binary, n_words long, spans array<struct<place: long, size: int, digest: binary>>")
+
+
+def _joined_spans(frame: DataFrame, kept: list[str], benchmark: DataFrame, own: str, md5: Column, new: list[str], id: str, item_text: str, span: int, k: int) -> DataFrame:
+    """As _pass, for a benchmark of any size."""
+    table = written(_benchmark_table(benchmark, id, item_text, span, k))
+    prints = table.where(F.size("prints") > 0).select(F.explode("prints").alias("h"))
+    sizes = sorted(r.size for r in table.select("size").distinct().collect())
+    spans = _bits(table.select("h"), table.count())
+    (key,) = unused(["text md5"], frame.columns)
+    texts = _candidates(frame.withColumn(key, md5), own, key, spans, _bits(prints, prints.count()), sizes, span, k)
+    texts = written(texts.dropDuplicates(["key"]))
+    likely = texts.where(F.size("spans") > 0).select("key", F.inline("spans"))
+    real = written(table.select("digest").distinct())
+    hit = written(likely.join(real, "digest"))  # hot spans: AQE splits the candidates of a span that many texts share
+    hits = hit.groupBy("key").agg(F.collect_set(F.struct(F.col("place").alias("a"), (F.col("place") + F.col("size")).alias("b"))).alias("hits"))
+    items = hit.select("key", "digest").distinct().join(table.select("digest", "item").distinct(), "digest").select("key", "item").distinct()
+    named = items.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("item"))).alias("items")).select("key", F.transform("items", lambda i: i["item"]).alias("items"))
+    found = texts.select("key", "n_words").join(hits, "key", "left").join(named, "key", "left")
+    out = written(found.select(F.col("key").alias(key), F.col("n_words").alias(new[0]), F.coalesce("hits", F.array().cast(_HITS)).alias(new[1]), F.coalesce("items", F.array().cast("array<string>")).alias(new[2])))
+    discarded(table, texts, real, hit)
+    keyed = frame.select(*[F.col(f"`{c}`") for c in kept], md5.alias(key))
+    return keyed.join(out, key).drop(key).select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`") for c in new])
 
 
 _spans: dict[tuple, Spans] = {}
@@ -206,30 +300,15 @@ def _pass(frame: DataFrame, kept: list[str], items, own: str, new: list[str], sp
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None) -> DataFrame:
-    """The rows and columns of docs (or those of `keep`) with `n_words`, `hits` (array of [a, b) in words; of several blocks they may overlap) and `items` (names)."""
-    share = lambda block: docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
+    """The rows and columns of docs (or those of `keep`) with `n_words`, `hits` (array of [a, b) in words, which may overlap) and `items` (names)."""
     kept = docs.columns if keep is None else keep
-    *new, key = unused(["n_words", "hits", "items", "text md5"], docs.columns)
+    new = unused(["n_words", "hits", "items"], docs.columns)
     frame, own = readable(docs, text)
-    md5 = F.unhex(F.md5(text_bytes(text)))
-    parts = benchmark_blocks(benchmark, item, item_text, block_chars)
-    first, second = next(parts, []), next(parts, None)
-    if second is None:
-        return _pass(frame, kept, share(first), own, new, span, k)
-    tables = []
-    for block in chain([first, second], parts):
-        shared = share(block)
-        hit = _pass(frame.select(md5.alias(key), F.col(f"`{own}`")), [key], shared, own, new, span, k).where(F.size(new[1]) > 0)
-        tables.append(written(hit.dropDuplicates([key])))
-        shared.destroy()
-    union = tables[0]
-    for t in tables[1:]:
-        union = union.unionByName(t)
-    found = union.groupBy(key).agg(F.flatten(F.collect_list(new[1])).alias(new[1]), F.flatten(F.collect_list(new[2])).alias(new[2]))  # a row for each block at most
-    plain = _pass(frame.withColumn(key, md5), [*kept, key], share([]), own, new, span, k).drop(*new[1:])
-    empty = lambda c: F.coalesce(F.col(f"`{c}`"), F.array().cast(found.schema[c].dataType)).alias(c)
-    joined = plain.join(found, key, "left")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], f"`{new[0]}`", empty(new[1]), empty(new[2]))
+    items = benchmark.select(F.col(item).cast("string").alias("i"), text_bytes(item_text).alias("t"))
+    if (items.agg(F.sum(F.length("t"))).first()[0] or 0) <= block_chars:
+        block = [(r.i, bytes(r.t)) for r in items.collect()]
+        return _pass(frame, kept, docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block)), own, new, span, k)
+    return _joined_spans(frame, kept, benchmark, own, F.unhex(F.md5(text_bytes(text))), new, item, item_text, span, k)
 
 
 def _verdict(hits: Column, n_words: Column) -> Column:

@@ -534,3 +534,23 @@ def test_texts_of_strings_and_of_bytes_are_the_same(spark, kind):
         assert [r.text for r in secret_scan.redact_secrets(d).orderBy("doc_id").collect()] == [t and t.replace("password = 'hunter22x", "[ASSIGN]") for t in texts]
     back = pieces.decode_pieces(pieces.encode_pieces(d, registry.PIECES).select("doc_id", "pieces"), registry.PIECES)
     assert [r.decoded for r in back.orderBy("doc_id").collect()] == texts
+
+
+def test_a_benchmark_of_any_size_gives_the_same(spark):
+    """Both forms on real documents against a benchmark of their own texts: whole ones, cut ones, short ones, repeated and unnamed items."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = d.orderBy("doc_id").collect()
+    rng = np.random.default_rng(11)
+    items = [(f"i{r.doc_id % 50}" if r.doc_id % 9 else None, " ".join((r.text or "").split()[int(a) : int(a) + int(n)])) for r in rows for a, n in zip(rng.integers(0, 60, 3), rng.choice([3, 9, 12, 13, 14, 40, 400], 3))]
+    b = spark.createDataFrame(items, "item_id string, text string").repartition(5)
+    forms = [contamination.contamination(d, b, block_chars=n) for n in (1 << 30, 0)]
+    first, second = (sorted(map(str, f.collect())) for f in forms)
+    assert first == second and sum(", contaminated=True" in r for r in first) > 100
+    assert contamination.contamination(d.limit(0), b, block_chars=0).count() == 0
+
+
+def test_bit_tables_lose_nothing(spark):
+    h = np.random.default_rng(0).integers(-(2**63), 2**63, 5000)
+    table = contamination._bits(spark.createDataFrame([(int(v),) for v in h], "h long"), 5000)
+    assert table.known(h.astype(np.uint64)).all()
+    assert table.known(np.random.default_rng(1).integers(-(2**63), 2**63, 5000).astype(np.uint64)).mean() < 0.15
