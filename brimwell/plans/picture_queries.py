@@ -89,9 +89,10 @@ def stitched_tiles(spark, sf_dir):
     """Tiles of 150 frames; each tile's outcome is its pixels times one more than its number."""
     f = _frames(spark, sf_dir)
     shape = f.agg(F.count("*").alias("frames")).select("frames", F.lit(8).alias("height"), F.lit(8).alias("width"))
-    own = tiles.tile_pixels(images.pixel_rows(f, 8), tiles.tile_grid(shape, (150, 8, 8), (90, 8, 8)), owned=True)
-    own = own.select("tile", "frame", "y", "x", F.col("value").alias("raw"), (F.col("value") * (F.col("tile") + 1)).alias("out"))
-    return tiles.stitched(own)
+    parts = tiles.tile_parts(f, tiles.tile_grid(shape, (150, 8, 8), (90, 8, 8)), 8)
+    out = tiles.stitched(tiles.tile_outcomes(parts, lambda tile, number: tile * (number + 1)), shape)
+    p = out.select("frame", F.posexplode("pixels").alias("i", "value"))
+    return p.select("frame", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).cast("long").alias("x"), "value")
 
 
 def training_pairs(spark, sf_dir):
