@@ -1,7 +1,7 @@
 """The data side of decoders: trial tensors, features, splits, permutations, curves.
 
-Random orders are ranks of MD5 hashes of a seed and a number, so they are the same on every run and cluster.  Windows without a partition run over one
-row for each trial, frame number or distinct score, as said where they are used.
+Random orders are ranks of MD5 hashes of a seed and a number, so they are the same on every run and cluster.  Ranks of trials and running sums of
+curves are found range by range (operators/ranks), so no group has to fit in a task.  NaN counts as null.
 """
 
 from __future__ import annotations
@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import accumulated, ranked
+from .running import beside
+from .traces import known
+
 FEATURES = ("plus_cs", "minus_cs", "plus_trace", "minus_trace", "plus_trial", "minus_trial", "ucs")
 
 
@@ -65,24 +69,38 @@ def random_split(df: DataFrame, number: str, train: float = 0.8, seed: str = "0"
     return df.withColumn("split", F.when(part < train, "train").otherwise("test"))
 
 
-def _ranked(trials: DataFrame, seed: str) -> DataFrame:
-    """trials with `rank`, their place from 1 in a random order of their type."""
-    return trials.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy(_rank_key(seed, "trial"), "trial")))
+def exact_split(df: DataFrame, number: str, train: float = 0.8, seed: str = "0") -> DataFrame:
+    """`split` of exact size: the first int(n * train) rows in the random order train, the others test."""
+    n = df.agg(F.count("*").alias("_n"))
+    d = ranked(df, [], [_rank_key(seed, number), F.col(number)], "_rank").crossJoin(F.broadcast(n))  # one row
+    return d.withColumn("split", F.when(F.col("_rank") <= F.floor(F.col("_n") * train), "train").otherwise("test")).drop("_rank", "_n")
+
+
+def _in_turn(trials: DataFrame, seed: str) -> DataFrame:
+    """Trials with `rank`, their place from 1 in a random order of their type, and _n, the trials of the rarest type; of each type as many."""
+    least = trials.groupBy("type").agg(F.count("*").alias("n")).agg(F.min("n").alias("_n"))
+    return ranked(trials, ["type"], [_rank_key(seed, "trial"), F.col("trial")]).crossJoin(F.broadcast(least)).where("rank <= _n")  # one row
 
 
 def grouped_split(trials: DataFrame, train: float = 0.8, seed: str = "0") -> DataFrame:
     """(trial, type, group, split): the k-th trials of all types in random order are group k; the first int(groups * train) groups train.
     There are as many groups as the rarest type has trials; other trials are left out."""
-    least = F.broadcast(trials.groupBy("type").agg(F.count("*").alias("n")).agg(F.min("n").alias("_n")))  # one row
-    d = _ranked(trials, seed).crossJoin(least).where("rank <= _n")
+    d = _in_turn(trials, seed)
     return d.select("trial", "type", (F.col("rank") - 1).cast("long").alias("group"), F.when(F.col("rank") <= F.floor(F.col("_n") * train), "train").otherwise("test").alias("split"))
 
 
 def interleaved(trials: DataFrame, seed: str = "0") -> DataFrame:
-    """(trial, type, place): one trial of each type in turn, types in order.  The window runs over one row for each trial."""
-    least = F.broadcast(trials.groupBy("type").agg(F.count("*").alias("n")).agg(F.min("n").alias("_n")))  # one row
-    d = _ranked(trials, seed).crossJoin(least).where("rank <= _n")
-    return d.select("trial", "type", (F.row_number().over(Window.orderBy("rank", "type")) - 1).cast("long").alias("place"))
+    """(trial, type, place): one trial of each type in turn, types in order; other trials are left out."""
+    d = _in_turn(trials, seed)
+    types = ranked(trials.select("type").distinct(), [], [F.col("type")], "_type")
+    many = F.broadcast(types.agg(F.max("_type").alias("_types")))  # one row
+    return beside(d, types, ["type"]).crossJoin(many).select("trial", "type", ((F.col("rank") - 1) * F.col("_types") + F.col("_type") - 1).cast("long").alias("place"))
+
+
+def permuted_labels(features: DataFrame, trials: DataFrame, seed: str = "0") -> DataFrame:
+    """features (trial, ...) with their trials put in the order of `interleaved`: the k-th trial gets the features of the trial at place k."""
+    order = interleaved(trials, seed).select("trial", "place")
+    return beside(features, order, ["trial"]).withColumn("trial", F.col("place")).drop("place")
 
 
 def shuffled_frames(df: DataFrame, frame: str = "frame", seed: str = "0", by: tuple[str, ...] = ()) -> DataFrame:
@@ -104,11 +122,11 @@ def curves(scores: DataFrame, label: str, score: str, split: str) -> DataFrame:
     Equal scores are added up first; the running sum is over distinct scores of a split.  The ROC curve begins at (0, 0) beside these,
     the precision-recall curve ends at (recall 0, precision 1).  Rows without a label or score are left out.
     """
-    d = scores.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(split, F.col(score).alias("threshold"))
+    own = scores.withColumn(score, known(score))
+    d = own.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(split, F.col(score).alias("threshold"))
     d = d.agg(F.sum(F.col(label)).cast("long").alias("p"), F.sum(1 - F.col(label)).cast("long").alias("n"))
-    w = Window.partitionBy(split).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(split)
-    d = d.select(split, "threshold", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(total).alias("ps"), F.sum("n").over(total).alias("ns"))
+    total = d.groupBy(split).agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"))
+    d = beside(accumulated(d, [split], [-F.col("threshold")], {"tp": F.col("p"), "fp": F.col("n")}), total, [split])
     share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     tp, fp, ps, ns = (F.col(c) for c in ("tp", "fp", "ps", "ns"))
     return d.select(split, "threshold", "tp", "fp", (ps - tp).alias("fn"), share(tp, ps).alias("tpr"), share(fp, ns).alias("fpr"), share(tp, tp + fp).alias("precision"), share(tp, ps).alias("recall"))
@@ -116,16 +134,18 @@ def curves(scores: DataFrame, label: str, score: str, split: str) -> DataFrame:
 
 def areas(scores: DataFrame, label: str, score: str, split: str) -> DataFrame:
     """(split, roc_auc, average_precision): trapezes under the ROC curve, and precision summed over the steps of recall."""
-    w = Window.partitionBy(split).orderBy(F.col("threshold").desc())
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    d = curves(scores, label, score, split)
-    d = d.select(split, ((F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2).alias("a"), ((F.col("recall") - before("recall")) * F.col("precision")).alias("b"))
+    own = scores.withColumn(score, known(score)).where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    d = own.groupBy(split, F.col(score).alias("threshold")).agg(F.sum(F.col(label)).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
+    total = d.groupBy(split).agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"))
+    d = beside(accumulated(d, [split], [-F.col("threshold")], {"tp": F.col("p"), "fp": F.col("n")}), total, [split])
+    tp, p, n = F.col("tp"), F.col("p"), F.col("n")  # p and n are the steps of tp and fp
+    d = d.select(split, (F.try_divide(n, F.col("ns")) * F.try_divide(2 * tp - p, F.col("ps")) / 2).alias("a"), (F.try_divide(p, F.col("ps")) * F.try_divide(tp, tp + F.col("fp"))).alias("b"))
     return d.groupBy(split).agg(F.sum("a").alias("roc_auc"), F.sum("b").alias("average_precision"))
 
 
 def split_regression_metrics(df: DataFrame, split: str, output: str, truth: str, prediction: str) -> DataFrame:
     """(split, r2, mae, mse), each the plain mean over the outputs; rows without truth or prediction do not count."""
-    d = df.where(F.col(truth).isNotNull() & F.col(prediction).isNotNull())
+    d = df.withColumns({truth: known(truth), prediction: known(prediction)}).where(F.col(truth).isNotNull() & F.col(prediction).isNotNull())
     e = F.col(truth) - F.col(prediction)
     per = d.groupBy(split, output).agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.var_pop(truth).alias("v"))
     return per.groupBy(split).agg(F.avg(1 - F.try_divide(F.col("mse"), F.col("v"))).alias("r2"), F.avg("mae").alias("mae"), F.avg("mse").alias("mse"))

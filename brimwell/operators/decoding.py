@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .traces import known
+
 
 def binary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Accuracy, precision, recall, F1 and balanced accuracy from one pass; undefined ratios are 0."""
@@ -16,7 +18,7 @@ def binary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, truth: str, prediction: str) -> DataFrame:
-    """r2, MAE and MSE in one aggregation over the rows that have truth and prediction."""
-    d = F.col(truth) - F.col(prediction)
-    both = F.when(d.isNotNull(), F.col(truth))
+    """r2, MAE and MSE in one aggregation over the rows that have truth and prediction; NaN counts as null."""
+    d = known(truth) - known(prediction)
+    both = F.when(d.isNotNull(), known(truth))
     return df.agg(F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), (1 - F.try_divide(F.avg(d * d), F.var_pop(both))).alias("r2"))

@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import neighbour, running_last, running_sum
-from .traces import known
+from .traces import filled, known
 
 
 def nearest_filled(df: DataFrame, key: str, time: str, order: list[str], value: str, name: str, how: str = "nearest", segment: Column | None = None) -> DataFrame:
     """Fills a sparse value: `forward` the last known, `backward` the next known, `nearest` the known value nearest in time (ties: the earlier;
-    null before the first and after the last known one).  `time` is a number."""
-    at = F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
+    null before the first and after the last known one).  `time` is a number; NaN is not known."""
+    known_value = filled(df, value)
+    at = F.when(known_value.isNotNull(), F.struct(F.col(time).alias("t"), known_value.alias("v")))
     if how in ("forward", "backward"):
-        return running_last(df, key, order, F.col(value), name, ahead=how == "backward", segment=segment)
+        return running_last(df, key, order, known_value, name, ahead=how == "backward", segment=segment)
     d = running_last(running_last(df, key, order, at, "_b", segment=segment), key, order, at, "_a", ahead=True, segment=segment)
     earlier = F.col(time) - F.col("_b.t") <= F.col("_a.t") - F.col(time)
     return d.withColumn(name, F.when(F.col("_b").isNotNull() & F.col("_a").isNotNull(), F.when(earlier, F.col("_b.v")).otherwise(F.col("_a.v")))).drop("_a", "_b")
@@ -90,8 +91,38 @@ def stimulated(samples: DataFrame, spans: DataFrame, key: str, time: str, level:
     return both.withColumn("signal", F.when(F.sum("_d").over(w) > 0, level).otherwise(0.0)).where("_d = 0").drop("_at", "_d")
 
 
-def merged_frames(lengths: DataFrame, traces: DataFrame, key: str, part: str, frame: str) -> DataFrame:
-    """Frames numbered through all parts of a key: frame plus the lengths of the parts before.  lengths is (key, part, length)."""
+def sampled_at(frames: DataFrame, samples: DataFrame, key: str, time: str, signal: str, segment: Column | None = None) -> DataFrame:
+    """frames with `signal`, the known sample of their key nearest in time (ties: the earlier; before the first and behind the last that one).
+
+    Both tables have key and time and are put in one order, so no frame meets all samples; segment is a column of the time.
+    """
+    marked = frames.withColumn("_s", F.lit(None).cast(samples.schema[signal].dataType)).withColumn("_frame", F.lit(True))
+    both = marked.unionByName(samples.select(key, time, F.col(signal).alias("_s"), F.lit(False).alias("_frame")), allowMissingColumns=True)
+    for how in ("nearest", "forward", "backward"):
+        both = nearest_filled(both, key, time, [time, "_frame"], "_s", f"_{how}", how, segment)
+    near = F.coalesce("_nearest", "_forward", "_backward").alias(signal)
+    return both.where("_frame").select(*[F.col(f"`{c}`") for c in frames.columns if c != signal], near)
+
+
+def median_of_five(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Each value becomes the median of five around it; beyond the ends of a key and where unknown they are 0."""
+    w = Window.partitionBy(key).orderBy(*order)
+    around = [F.coalesce(F.lag(known(value), k).over(w), F.lit(0.0)) for k in (-2, -1, 0, 1, 2)]
+    return df.withColumn(value, F.sort_array(F.array(*around))[2])
+
+
+def artifact_frames(frames: DataFrame, samples: DataFrame, key: str, time: str, signal: str, level: float = 1.0, segment: Column | None = None) -> DataFrame:
+    """frames with `signal` from the nearest sample after a median of five, and `is_artifact`, whether it is above `level`."""
+    d = median_of_five(sampled_at(frames, samples, key, time, signal, segment), key, [time], signal)
+    return d.withColumn("is_artifact", F.col(signal) > level)
+
+
+def merged_frames(lengths: DataFrame, traces: DataFrame, key: str, part: str, frame: str, component: tuple[str, int] | None = None) -> DataFrame:
+    """Frames numbered through all parts of a key: frame plus the lengths of the parts before.  lengths is (key, part, length).
+
+    component (column, number): only rows of that number are merged.
+    """
+    traces = traces.where(F.col(component[0]) == component[1]) if component else traces
     w = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     before = lengths.select(F.col(key).alias("_key"), F.col(part).alias("_part"), F.coalesce(F.sum("length").over(w), F.lit(0)).alias("_before"))
     same = F.col(key).eqNullSafe(F.col("_key")) & F.col(part).eqNullSafe(F.col("_part"))

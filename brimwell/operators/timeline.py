@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running_last
-from .traces import known
+from .running import beside, running_last
+from .traces import filled, known
 
 
 def state_codes(df: DataFrame, state: str) -> DataFrame:
@@ -15,8 +15,8 @@ def state_codes(df: DataFrame, state: str) -> DataFrame:
 
 
 def filled_forward(df: DataFrame, key: str, order: list[str], value: str, name: str, segment: Column | None = None) -> DataFrame:
-    """As-of backward: the last known value up to each row."""
-    return running_last(df, key, order, F.col(value), name, segment=segment)
+    """As-of backward: the last known value up to each row; NaN is not known."""
+    return running_last(df, key, order, filled(df, value), name, segment=segment)
 
 
 def accepted_sessions(df: DataFrame, key: str, likelihoods: list[str], least: float) -> DataFrame:
@@ -39,6 +39,13 @@ def stimulus_summary(trials: DataFrame, stimulus: str, trial: str | None = None)
     return per.crossJoin(F.broadcast(per.agg((F.min("n_trials") == F.max("n_trials")).alias("balanced"))))  # one row
 
 
-def trial_gate_share(df: DataFrame, stimulus: str, gate: str, dropped: int = 0, of: int = 1) -> DataFrame:
-    """Percent of rows with the gate up, per stimulus; divided by the share of trials that were not dropped."""
-    return df.groupBy(stimulus).agg((100.0 * F.sum(gate) / F.count(gate) / ((of - dropped) / of)).alias("percent"))
+def trial_gate_share(df: DataFrame, stimulus: str, gate: str, dropped: int = 0, of: int = 1, *, state: str | None = None, trial: str = "Trial", trials: DataFrame | None = None, by: tuple[str, ...] = (), trial_number: str = "trial_set") -> DataFrame:
+    """Percent of rows with the gate up, per stimulus (and `by`); divided by the share of trials that were not dropped.
+
+    state: only rows in that column's state `trial` count.  trials (by, trial_number, stimulus) gives rows their stimulus by the
+    number of their trial; rows of other trials do not count.  Unknown gates are left out.
+    """
+    d = df.where(F.col(state) == trial) if state else df
+    if trials is not None:
+        d = beside(d.drop(stimulus) if stimulus in d.columns else d, trials.select(*by, trial_number, stimulus), [*by, trial_number])
+    return d.groupBy(*by, stimulus).agg((100.0 * F.sum(gate) / F.count(gate) / ((of - dropped) / of)).alias("percent"))

@@ -18,6 +18,11 @@ def known(value: str) -> Column:
     return F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
 
 
+def filled(df: DataFrame, value: str) -> Column:
+    """The value of any type, NaN as null."""
+    return F.when(~F.isnan(F.col(value)), F.col(value)) if df.schema[value].dataType.typeName() in ("float", "double") else F.col(value)
+
+
 def numbered(df: DataFrame, key: str, order: list[str], name: str = "frame") -> DataFrame:
     """Frames from 0 along each trace."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))

@@ -1,10 +1,10 @@
 import duckdb
 import pytest
 
-from brimwell.plans import picture_queries, queries, recording_queries, session_queries
+from brimwell.plans import picture_queries, queries, recording_queries, segment_queries, session_queries
 
 SF = "/root/testdata/sf0.001"
-PLANS = (queries, recording_queries, session_queries, picture_queries)
+PLANS = (queries, recording_queries, session_queries, picture_queries, segment_queries)
 QUERIES = {n: f for p in PLANS for n, f in p.QUERIES.items()}
 ORACLE_SQL = {n: f for p in PLANS for n, f in p.ORACLE_SQL.items()}
 
