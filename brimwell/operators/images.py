@@ -58,9 +58,10 @@ def stacks(frames: DataFrame, size: int = 7000, by: tuple[str, ...] = ()) -> Dat
 
 
 def write_stacks(frames: DataFrame, path: str, size: int = 7000, by: tuple[str, ...] = ("channel", "plane")) -> None:
-    """Writes stacks as Parquet folders by `by` and chunk; frames of a chunk meet in one file, in order."""
-    chunked = frames.withColumn("chunk", F.floor(F.col("frame") / size))
-    chunked.repartition(*by, "chunk").sortWithinPartitions(*by, "chunk", "frame").write.partitionBy(*by, "chunk").parquet(path)
+    """Writes stacks as Parquet folders by `by` and the stack's name `k_of_N`; frames of a stack meet in one file, in order."""
+    chunked = frames.withColumn("_chunk", F.floor(F.col("frame") / size))
+    named = beside(chunked, stacks(frames, size, by).select(*by, F.col("chunk").alias("_chunk"), F.col("name").alias("stack")), [*by, "_chunk"]).drop("_chunk")
+    named.repartition(*by, "stack").sortWithinPartitions(*by, "stack", "frame").write.partitionBy(*by, "stack").parquet(path)
 
 
 def pixel_rows(frames: DataFrame, width: int) -> DataFrame:

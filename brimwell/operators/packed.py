@@ -9,13 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All pixels of a list column as doubles, and where each row's begin; a null row has none."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = column.flatten()
-    size = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    size = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
     return values.cast(pa.float64()).to_numpy(zero_copy_only=False) if len(values) else np.zeros(0), np.append(0, np.cumsum(size))
 
 

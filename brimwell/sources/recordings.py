@@ -5,13 +5,12 @@ A session is the folder that a file lies in.  Fields that a file lacks are null.
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+from .npy import NpyValues
+
 VALUE = "_key string, _value string, SubindexedValues array<struct<_index: string, SubindexedValue: array<struct<_subindex: string, _value: double>>>>"
 SHARD = f"struct<PVStateValue: array<struct<{VALUE.replace('_key string', '_key: string').replace('_value string', '_value: string').replace('SubindexedValues array', 'SubindexedValues: array')}>>>"
 
@@ -113,19 +112,21 @@ def analog_table(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumn("row", (F.row_number().over(Window.partitionBy("session").orderBy(names[0].strip())) - 1).cast("long"))
 
 
-def array_values(spark: SparkSession, path: str) -> DataFrame:
-    """(session, path, row, col, value) of numeric .npy files of one or two axes; pickled arrays are refused.  A file has to fit in a task."""
+def array_values(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """(session, path, row, col, value) of numeric .npy files of one or two axes, read by ranges of rows; objects are refused."""
+    spark.dataSource.register(NpyValues)
+    read = spark.read.format("brimwell_npy")
+    return (read.option("rangebytes", range_bytes) if range_bytes else read).load(path)
 
-    def read(batches):
-        for batch in batches:
-            for s, p, body in zip(*[batch.column(c).to_pylist() for c in ("session", "path", "content")]):
-                x = np.atleast_2d(np.load(io.BytesIO(body), allow_pickle=False).T).T
-                rows, cols = np.indices(x.shape)
-                n = x.size
-                yield pa.RecordBatch.from_arrays([pa.array([s] * n), pa.array([p] * n), pa.array(rows.ravel()), pa.array(cols.ravel()), pa.array(x.ravel().astype(float))], names=["session", "path", "row", "col", "value"])
 
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -2).alias("session"), "path", "content")
-    return files.mapInArrow(read, "session string, path string, row long, col long, value double")
+def integer_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(session, path, row, col, value long) of CSV files of whole numbers without a header; rows from 0 in the order of the file, blank lines left out, other text null."""
+    place = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select(_session().alias("session"), F.col("_metadata.file_path").alias("path"), place.alias("_block"), "value").withColumn("_line", F.monotonically_increasing_id())
+    rows = ranked(lines.where(F.trim("value") != ""), ["path"], [F.col("_block"), F.col("_line")], "row")
+    cells = rows.select("session", "path", (F.col("row") - 1).alias("row"), F.posexplode(F.split("value", ",")).alias("col", "v"))
+    number = F.expr("try_cast(trim(v) as double)")
+    return cells.select("session", "path", "row", F.col("col").cast("long").alias("col"), F.when(number == F.floor(number), number.cast("long")).alias("value"))
 
 
 def neuron_numbers(values: DataFrame) -> DataFrame:

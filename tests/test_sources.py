@@ -3,7 +3,7 @@ import io
 import numpy as np
 import pytest
 
-from brimwell.operators import files
+from brimwell.operators import files, images
 from brimwell.sources import raw_frames, recordings
 
 FRAME = '<Frame relativeTime="{t}" absoluteTime="{t}" index="{i}"><ExtraParameters lastGoodFrame="{i}"/><PVStateShard>{own}</PVStateShard></Frame>'
@@ -94,9 +94,79 @@ def test_raw_frames_round_trip(spark, tmp_path):
     assert d.rdd.getNumPartitions() == 5
     got = d.orderBy("frame").collect()
     assert [r.frame for r in got] == list(range(300)) and (np.array([r.pixels for r in got]).reshape(x.shape) == x).all()
-    raw_frames.write_raw(d, str(tmp_path / "out"), 4, 6, "uint16", 3)
-    names = sorted(p.name for p in (tmp_path / "out").iterdir())
-    assert names[-1] == "meta.txt" and all(n.startswith("frames-") for n in names[:-1])
-    assert b"".join((tmp_path / "out" / n).read_bytes() for n in names[:-1]) == x.tobytes() and (tmp_path / "out/meta.txt").read_text() == "300,4,6,uint16"
     none = spark.read.format("brimwell_raw").option("line", "0,4,6,uint16").load(str(tmp_path / "v.raw"))
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("dtype", ["uint16", "float32"])
+def test_raw_folder_round_trip(spark, tmp_path, dtype):
+    """Two channels and planes, a null session, gaps, nulls; written in 3 parts, read over many ranges."""
+    rng = np.random.default_rng(1)
+    rows = [(s, c, p, f, rng.integers(0, 60_000, 6).tolist()) for s in ("a b/c", None) for c in (1, 2) for p in (0, 1) for f in [*range(0, 25), *range(40, 52)]]
+    d = spark.createDataFrame(rows + [("x", 1, 0, None, [1] * 6), ("x", 1, 0, 5, None), ("x", 1, 0, 6, [None, 2, 3, 4, 5, 6])], "session string, channel int, plane int, frame long, pixels array<int>")
+    path, by = str(tmp_path / "out"), ("session", "channel", "plane")
+    raw_frames.write_raw(d.repartition(7), path, 2, 3, dtype, 3, by=by, size=10)
+    got = spark.read.format("brimwell_raw").option("rangebytes", 4 * 6 * np.dtype(dtype).itemsize).load(path)
+    assert got.columns == [*by, "frame", "height", "width", "pixels"] and got.rdd.getNumPartitions() > 40
+    want = {(s, c, p, f): x for s, c, p, f, x in rows} | {("x", 1, 0, 6): [0, 2, 3, 4, 5, 6]}
+    assert {(r.session, r.channel, r.plane, r.frame): r.pixels for r in got.collect()} == want and got.count() == len(want)
+    names = sorted(str(f.relative_to(tmp_path / "out")) for f in (tmp_path / "out").rglob("*.raw") if "channel=1/plane=0" in str(f) and "a%20b" in str(f))
+    assert [n.rsplit("/", 1)[1] for n in names] == [f"0{k}_of_5.raw" for k in range(1, 6)]
+    narrow = spark.read.schema("frame long, plane long").format("brimwell_raw").load(path)
+    assert narrow.where("plane = 1").count() == 4 * 37
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    few = spark.read.format("brimwell_raw").option("rangebytes", 1).option("prune", "true").load(path).where("frame >= 41 and frame < 44 and plane = 1 and session = 'a b/c'")
+    assert few.rdd.getNumPartitions() == 2 * 3 and few.count() == 6
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    with pytest.raises(Exception, match="overwrite"):
+        raw_frames.write_raw(d, path, 2, 3, dtype, by=by)
+    raw_frames.write_raw(d.where("channel = 2"), path, 2, 3, dtype, by=by, size=10, mode="overwrite")
+    assert spark.read.format("brimwell_raw").load(path).count() == 4 * 37
+    assert len(list((tmp_path / "out").rglob("*.raw"))) == 4 * 5 and not [f for f in (tmp_path / "out").iterdir() if f.name.startswith(".")]
+
+
+def test_raw_writer_refuses_what_does_not_fit(spark, tmp_path):
+    for k, (pixels, message) in enumerate([([1, 2], "must have"), ([1, 2, 70_000], "does not fit")]):
+        with pytest.raises(Exception, match=message):
+            raw_frames.write_raw(spark.createDataFrame([(0, pixels)], "frame long, pixels array<int>"), str(tmp_path / str(k)), 1, 3, "int16")
+        assert not list((tmp_path / str(k)).rglob("*.raw"))
+    raw_frames.write_raw(spark.createDataFrame([], "frame long, pixels array<int>"), str(tmp_path / "none"), 1, 3)
+    assert spark.read.format("brimwell_raw").load(str(tmp_path / "none")).count() == 0
+
+
+def test_stacks_round_trip(spark, tmp_path):
+    rows = [(c, f, [f, c]) for c in (1, 2) for f in range(25 * c)]
+    d = spark.createDataFrame(rows, "channel int, frame long, pixels array<int>")
+    images.write_stacks(d, str(tmp_path / "s"), 10, ("channel",))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((r.channel, r.frame, r.pixels) for r in back.collect()) == sorted(rows)
+    assert {(r.channel, r.stack) for r in back.select("channel", "stack").distinct().collect()} == {(c, f"0{k}_of_{n}") for c, n in ((1, 3), (2, 5)) for k in range(1, n + 1)}
+    assert len(list((tmp_path / "s").rglob("*.parquet"))) == 8
+
+
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_arrays_are_read_by_ranges(spark, tmp_path, order):
+    (tmp_path / "s").mkdir()
+    x = np.random.default_rng(0).normal(size=(300, 7)).astype("<f4")
+    np.save(tmp_path / "s/x.npy", np.asarray(x, order=order))
+    d = recordings.array_values(spark, str(tmp_path / "s/x.npy"), 4 * 7 * 60)
+    assert d.rdd.getNumPartitions() >= 5
+    rows = d.collect()
+    got = np.full(x.shape, np.nan)
+    for r in rows:
+        got[r.row, r.col] = r.value
+    assert len(rows) == x.size and (got == x).all() and {r.session for r in rows} == {"s"}
+    np.save(tmp_path / "s/o.npy", np.array([None, {}], object), allow_pickle=True)
+    with pytest.raises(Exception, match="numbers of one or two axes"):
+        recordings.array_values(spark, str(tmp_path / "s/o.npy")).count()
+    np.save(tmp_path / "s/e.npy", np.zeros((0, 3)))
+    assert recordings.array_values(spark, str(tmp_path / "s/e.npy")).count() == 0
+
+
+def test_whole_numbers_without_a_header(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/a.csv").write_text("".join(f"{k},{k * k}\n" for k in range(500)) + "\n 7 ,x\n")
+    (tmp_path / "s/b.csv").write_text("5\n")
+    rows = recordings.integer_rows(spark, str(tmp_path / "s/*.csv")).collect()
+    got = {(r.path[-5:], r.row, r.col): r.value for r in rows}
+    assert got == {("a.csv", k, c): v for k in range(500) for c, v in enumerate((k, k * k))} | {("a.csv", 500, 0): 7, ("a.csv", 500, 1): None, ("b.csv", 0, 0): 5} and {r.session for r in rows} == {"s"}
