@@ -66,6 +66,13 @@ def disk_pixels(rois: DataFrame, height: int, width: int) -> DataFrame:
     return d.select("roi", inside(F.col("y0") + F.col("dy"), height).alias("y"), inside(F.col("x0") + F.col("dx"), width).alias("x")).distinct()
 
 
+def region_pixels(rois: DataFrame, height: int, width: int, soma: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, roi, y, x): distinct pixels of regions whose pixels are named (pixels array<struct<y, x, soma>>), with `soma` those of the soma alone; beyond the image they are left out."""
+    p = rois.select(*by, "roi", F.inline("pixels"))
+    p = p.where(F.col("soma")) if soma else p
+    return p.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).select(*by, "roi", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+
+
 def mask(pixels: DataFrame, height: int, width: int, by: tuple[str, ...] = ()) -> DataFrame:
     """`mask`, a flag for each pixel of an image, from (by, y, x): one row, or with `by` one for each stack that has pixels."""
     place = F.col("y") * width + F.col("x")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import beside
+
 
 def found(paths: DataFrame, path: str, *, ending: str | None = None, part: str | None = None) -> DataFrame:
     """Paths with an ending, or with a part in them."""
@@ -13,9 +15,10 @@ def found(paths: DataFrame, path: str, *, ending: str | None = None, part: str |
     return paths
 
 
-def catalogue(paths: DataFrame, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def catalogue(paths: DataFrame, path: str, keys: tuple[str, ...] = (), sizes: DataFrame | None = None) -> DataFrame:
     """(keys, channels, planes, frames) of recordings of one file for each frame, from the parts of their names between `_`.
 
+    sizes (keys, height, width), one row for each recording (recording_settings has lines and pixels), adds these two, null where it has no row.
     channels: distinct parts with `Ch`; there are several planes if more than one part holds `Cycle00001`: then planes are those parts and
     frames the parts with `000001.ome`, for each channel; else frames are the parts with `Cycle00001` for each channel.
     """
@@ -24,7 +27,8 @@ def catalogue(paths: DataFrame, path: str, keys: tuple[str, ...] = ()) -> DataFr
     n = part.groupBy(*keys).agg(F.countDistinct(F.when(F.contains("part", F.lit("Ch")), F.col("part"))).alias("channels"), many("Cycle00001").alias("cycle"), many("000001.ome").alias("first"))
     share = lambda c: F.try_divide(F.col(c), F.col("channels"))
     several = F.col("cycle") > 1
-    return n.select(*keys, "channels", F.when(several, F.floor(share("cycle"))).otherwise(1).cast("long").alias("planes"), F.floor(F.when(several, share("first")).otherwise(share("cycle"))).alias("frames"))
+    out = n.select(*keys, "channels", F.when(several, F.floor(share("cycle"))).otherwise(1).cast("long").alias("planes"), F.floor(F.when(several, share("first")).otherwise(share("cycle"))).alias("frames"))
+    return out if sizes is None else beside(out, sizes.select(*keys, "height", "width"), list(keys), "left")
 
 
 def natural_key(path: str) -> Column:
@@ -52,5 +56,15 @@ def stages(paths: DataFrame, folder: str, path: str, rules: list[tuple[str, str,
 
 
 def decoded(codes: str) -> Column:
-    """Text from an array of byte codes below 128, or from UTF-8 bytes in a binary column by `F.decode`."""
-    return F.array_join(F.transform(codes, lambda c: F.char(c)), "")
+    """Text from an array of byte codes (0 to 255) as UTF-8; bytes that are none become the replacement character, null codes and arrays give null."""
+    two = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    whole = F.array_join(F.transform(codes, two), "")
+    return F.when(~F.exists(codes, lambda c: c.isNull()), F.decode(F.unhex(whole), "UTF-8"))
+
+
+def decoded_keys(table: str) -> Column:
+    """A map with binary keys and values of any type as one with text keys; of keys that become one text the last in the map stays."""
+    entry = lambda e: F.struct(F.decode(e["key"], "UTF-8").alias("key"), e["value"].alias("value"))
+    entries = F.transform(F.map_entries(table), entry)
+    last = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, last))

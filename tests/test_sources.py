@@ -3,7 +3,7 @@ import io
 import numpy as np
 import pytest
 
-from brimwell.operators import files, images
+from brimwell.operators import coloring, files, images
 from brimwell.sources import raw_frames, recordings
 
 FRAME = '<Frame relativeTime="{t}" absoluteTime="{t}" index="{i}"><ExtraParameters lastGoodFrame="{i}"/><PVStateShard>{own}</PVStateShard></Frame>'
@@ -26,6 +26,47 @@ def test_frame_metadata_and_summary(spark, tmp_path):
     assert (s.planes, s.volumes, s.frames, s.frame_rate, s.volume_period) == (2, 3, 6, 10.0, 0.2) and s.frequency == pytest.approx(5)
 
 
+WHOLE = """<?xml version="1.0"?><PVScan version="5" date="1/2/2020 3:04:05 PM"><PVStateShard><PVStateValue key="activeMode" value="ResonantGalvo"/><PVStateValue key="bitDepth" value="13"/>
+<PVStateValue key="framePeriod" value="0.05"/><PVStateValue key="linesPerFrame" value="256"/><PVStateValue key="pixelsPerLine" value="512"/><PVStateValue key="objectiveLens" value="16X"/><PVStateValue key="objectiveLensNA" value="0.8"/>
+<PVStateValue key="laserPower"><IndexedValue index="0" value="7" description="Pockels"/><IndexedValue index="1" value="3" description="Uncaging"/></PVStateValue>
+<PVStateValue key="micronsPerPixel"><IndexedValue index="XAxis" value="1.5"/><IndexedValue index="YAxis" value="1.25"/></PVStateValue>
+<PVStateValue key="pmtGain"><IndexedValue index="0" value="600" description="Red"/><IndexedValue index="1" value="700" description="Green"/></PVStateValue>
+<PVStateValue key="positionCurrent"><SubindexedValues index="ZAxis"><SubindexedValue subindex="0" value="-5"/><SubindexedValue subindex="1" value="40"/></SubindexedValues></PVStateValue></PVStateShard>
+<Sequence cycle="1">{frames}</Sequence></PVScan>"""
+
+
+def test_powers_gains_lens_and_settings(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    own = '<PVStateValue key="laserPower"><IndexedValue index="0" value="9" description="Imaging"/></PVStateValue><PVStateValue key="pmtGain"><IndexedValue index="0" value="650" description="Red"/></PVStateValue><PVStateValue key="positionCurrent"><SubindexedValues index="ZAxis"><SubindexedValue subindex="0" value="-5"/><SubindexedValue subindex="1" value="80"/></SubindexedValues></PVStateValue>'
+    frames = "".join(f'<Frame relativeTime="{k}" absoluteTime="{k}" index="{k}"><File channel="1" channelName="Ch1"/><File channel="2" channelName="Ch2"/><PVStateShard>{own if k else ""}</PVStateShard></Frame>' for k in (0, 1))
+    (tmp_path / "s/a.xml").write_text(WHOLE.format(frames=frames))
+    (tmp_path / "s/v.xml").write_text("<Root><Experiment><Rate>1000</Rate></Experiment></Root>")
+    d = recordings.frame_metadata(spark, str(tmp_path / "s/a.xml"))
+    a, b = sorted(d.collect(), key=lambda r: r.plane)
+    assert (a.imaging_power, a.uncaging_power, a.gains, a.z, a.etl_z) == (7.0, 3.0, {"Red": 600.0, "Green": 700.0}, -5.0, 40.0)
+    assert (b.imaging_power, b.uncaging_power, b.gains, b.z, b.etl_z, b.channels) == (9.0, 3.0, {"Red": 650.0}, -5.0, 80.0, ["Ch1", "Ch2"])
+    settings = recordings.recording_settings(spark, str(tmp_path / "s/a.xml"))
+    r = recordings.recording_summary(d, settings=settings).first()
+    assert (r.objective, r.objective_na, r.resolution, r.microns_x, r.microns_y, r.bit_depth, r.is_resonant, r.gain_green, r.zoom, r.frame_rate) == ("16X", 0.8, "256x512", 1.5, 1.25, 13, True, 700.0, None, 20.0)
+    assert (r.is_objective_stack, r.is_etl_stack, r.channels, r.planes) == (False, True, ["Ch1", "Ch2"], 2)
+    names = spark.createDataFrame([("s", f"rec_Cycle0000{k}_Ch1_000001.ome.tif") for k in (1, 2)] + [("t", "rec_Cycle00001_Ch1_000001.ome.tif")], "session string, path string")
+    sizes = settings.selectExpr("session", "lines height", "pixels width")
+    assert {c.session: (c.frames, c.height, c.width) for c in files.catalogue(names, "path", ("session",), sizes).collect()} == {"s": (1, 256, 512), "t": (1, None, None)}
+    assert recordings.acquisition_rate(spark, str(tmp_path / "s/v.xml")).first().rate == 1000
+
+
+def test_bytes_to_text(spark):
+    rows = [([*"aé\U0001f600".encode()], {b"k\xc3\xa9": 1}), ([], {}), (None, None), ([65, None], {b"a": 2})]
+    d = spark.createDataFrame(rows, "codes array<int>, m map<binary, int>").select(files.decoded("codes").alias("t"), files.decoded_keys("m").alias("m"))
+    assert [(r.t, r.m) for r in d.collect()] == [("aé\U0001f600", {"ké": 1}), ("", {}), (None, None), (None, {"a": 2})]
+
+
+def test_named_pixels_of_regions(spark):
+    rois = spark.createDataFrame([("s", 1, [(0, 0, True), (0, 1, False), (9, 0, True), (0, 0, True)]), (None, 1, [(1, 1, None)])], "session string, roi int, pixels array<struct<y: int, x: int, soma: boolean>>")
+    pixels = lambda soma: sorted(map(str, ((r.session, r.roi, r.y, r.x) for r in coloring.region_pixels(rois, 2, 2, soma, ("session",)).collect())))
+    assert pixels(False) == sorted(map(str, [("s", 1, 0, 0), ("s", 1, 0, 1), (None, 1, 1, 1)])) and pixels(True) == [str(("s", 1, 0, 0))]
+
+
 def test_protocol(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s/p.xml").write_text('<PVMarkPointSeries><PVMarkPointElement Repetitions="4"><PVGalvoPointElement InitialDelay="50" InterPointDelay="10" Duration="15" Points="Group 1"><Point Index="1" X="0.5" Y="0.25"/><Point Index="2" X="0.1" Y="0.2"/></PVGalvoPointElement></PVMarkPointElement></PVMarkPointSeries>')
