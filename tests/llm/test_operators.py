@@ -57,23 +57,30 @@ def test_license_blocks_are_those_that_brute_force_finds(spark):
     assert some > 60
 
 
+def fixed(key, url, body):
+    """The bytes of a record, plainly."""
+    m, b = hashlib.md5(key.encode()).hexdigest(), (body or "").encode()
+    head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{m[:8]}-{m[8:12]}-{m[12:16]}-{m[16:20]}-{m[20:]}>", "WARC-Date: 1970-01-01T00:00:00Z", *([f"WARC-Target-URI: {url}"] if url is not None else []), "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(b)}", "", ""]
+    return "\r\n".join(head).encode() + b + b"\r\n\r\n"
+
+
 def test_fixity_by_brute_force(spark):
     """Changed, lost and added records, null and repeated ordinals, null fields; offsets in both replicas."""
     rng = np.random.default_rng(10)
     left = [(int(k), f"u{k}", "x" * int(rng.integers(0, 50))) for k in rng.integers(-300, 5000, 400)] + [(None, "n", "a"), (None, None, None), (7000, "é", "ü"), (7000, "é", "ü")]
-    right = [(k, u, t + "!" if i % 37 == 5 else t) for i, (k, u, t) in enumerate(left[:-3]) if i % 41 != 7] + [(9000, "new", None), (None, None, ""), (7000, "é", "ü")]
+    right = [(k, u, t + "!" if i % 37 == 5 else t) for i, (k, u, t) in enumerate(left[:-3]) if i % 41 != 7] + [(9000, "new", None), (None, None, "x"), (7000, "é", "ü")]
     rng.shuffle(right)
     right = [(None if k is None else int(k), u, t) for k, u, t in right]
-    frame = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", fixity.warc_record("url", "html").alias("record"))
+    frame = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", fixity.warc_record("url", "html", "page_id").alias("record"))
 
     def places(rows):
         """{key: (multiset of records, offset, bytes)} of the ordinals that are not null; nulls come first."""
         n = "\r\n"
-        record = lambda u, t: ("WARC/1.1" + n + "WARC-Type: response" + n + (f"WARC-Target-URI: {u}{n}" if u is not None else "") + (f"Content-Length: {len(t.encode())}{n}{n}{t}" if t is not None else n) + n + n).encode()
-        at = sum(len(record(u, t)) for k, u, t in rows if k is None)
+        record = lambda k, u, t: fixed(str(k) if k is not None else "", u, t)
+        at = sum(len(record(k, u, t)) for k, u, t in rows if k is None)
         out = {}
         for key in sorted({k for k, *_ in rows if k is not None}):
-            own = Counter(record(u, t) for k, u, t in rows if k == key)
+            own = Counter(record(k, u, t) for k, u, t in rows if k == key)
             size = sum(len(r) * m for r, m in own.items())
             out[key] = (own, at, size)
             at += size
