@@ -2,12 +2,13 @@
 
 `store` writes texts as 8-bit mono PCM members (WAV) in archives, one archive for each task attempt, and
 gives a committed catalogue of them.  The source `brimwell_media` plans byte ranges over the archives;
-a member belongs to the range that its offset lies in.  A range reads its archive's footer, streams
-members in Arrow batches of bounded bytes, and retries a member alone, by its offset, when it can't be read or
+a member belongs to the range that its offset lies in.  A range reads its archive's directory and the index pages that reach into
+it, streams members in Arrow batches of bounded bytes, and retries a member alone, by its offset, when it can't be read or
 its checksum is wrong.  Archives that a lost attempt left are not in the catalogue and are never read.
 
-Archive: members (zstd of the WAV bytes), then a footer (Arrow table of key, offset, size, crc), then
-the footer's offset as 8 bytes.  Files are reached through pyarrow's file systems, by URI.
+Archive: members (zstd of the WAV bytes); behind each `page` of them an index page (Arrow table of key, offset, size, crc), which is all
+that the writer holds; then a directory (of each page its place, size, and first and last member's offset), and the
+directory's place as 8 bytes.  Files are reached through pyarrow's file systems, by URI.
 
 Defined results: a null text is empty; an empty payload is 576 bytes 255; equal texts give equal values; keys may
 repeat and are of any type (archives hold them as text); null keys stay null; an empty table gives archives without members and no rows.
@@ -33,6 +34,8 @@ from .text import scratch, text_bytes, written
 
 FRAME, FILL, RATE = 576, b"\xff", 8000
 RANGE, BATCH, TRIES = 8 << 20, 4 << 20, 3
+PAGE = 4096
+INDEX, PAGES = ["key", "n_bytes", "offset", "size", "whole", "crc"], ["at", "size", "first", "last"]
 SCHEMA = "key string, n_bytes long, media binary"
 
 
@@ -66,7 +69,7 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folder: str | None = None, page: int = PAGE) -> DataFrame:
     """Writes archives below `folder` (a new one in the shared folder by default); returns the catalogue (path, bytes, members)."""
     folder = folder or scratch(docs.sparkSession)
 
@@ -76,8 +79,17 @@ def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folder: s
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         codec = pa.Codec("zstd", compression_level=1)
         index: list[tuple] = []
-        at = 0
+        pages: list[tuple[int, int, int, int]] = []
+        at = n = 0
         with system.open_output_stream(path) as out:
+
+            def turned() -> int:
+                body = _packed(index, INDEX)
+                pages.append((at, len(body), index[0][2], index[-1][2]))
+                index.clear()
+                out.write(body)
+                return at + len(body)
+
             for batch in batches:
                 for k, t in zip(batch.column("key").to_pylist(), batch.column("text")):
                     raw = t.as_py()
@@ -85,19 +97,24 @@ def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folder: s
                     body = codec.compress(wav, asbytes=True)
                     out.write(body)
                     index.append((k, len(raw), at, len(body), len(wav), zlib.crc32(wav)))
-                    at += len(body)
-            names = ["key", "n_bytes", "offset", "size", "whole", "crc"]
-            table = pa.table([pa.array([r[i] for r in index], pa.int64() if i else pa.string()) for i in range(6)], names=names)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_file(sink, table.schema) as w:
-                w.write_table(table)
-            out.write(sink.getvalue())
+                    at, n = at + len(body), n + 1
+                    at = turned() if len(index) == page else at
+            at = turned() if index else at
+            out.write(_packed(pages, PAGES))
             out.write(struct.pack("<q", at))
-        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([at], pa.int64()), pa.array([len(index)], pa.int64())], names=["path", "bytes", "members"])
+        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([at], pa.int64()), pa.array([n], pa.int64())], names=["path", "bytes", "members"])
 
     return written(docs.select(F.col(key).cast("string").alias("key"), text_bytes(text).alias("text")).mapInArrow(run, "path string, bytes long, members long"))
 
 
+def _packed(rows: list[tuple], names: list[str]) -> bytes:
+    table = pa.table([pa.array([r[i] for r in rows], pa.string() if name == "key" else pa.int64()) for i, name in enumerate(names)], names=names)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, low: int, high: int) -> None:
         self.path, self.low, self.high = path, low, high
@@ -119,7 +136,12 @@ class MediaReader(DataSourceReader):
         with system.open_input_file(path) as f:
             end = f.size()
             at = struct.unpack("<q", f.read_at(8, end - 8))[0]
-            index = pa.ipc.open_file(pa.BufferReader(f.read_at(end - 8 - at, at))).read_all()
+            load = lambda n, at: pa.ipc.open_file(pa.BufferReader(f.read_at(n, at))).read_all()
+            near = [p for p in load(end - 8 - at, at).to_pylist() if p["first"] < partition.high and p["last"] >= partition.low]
+            index = [load(p["size"], p["at"]) for p in near]
+        if not index:
+            return
+        index = pa.concat_tables(index)
         offsets = index.column("offset").to_numpy()
         index = index.filter(pa.array((offsets >= partition.low) & (offsets < partition.high)))
         held, size = [], 0

@@ -314,18 +314,18 @@ def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", thre
     Texts do not move: the rows that go are told by id and a hash of the text, broadcast where they are few.
     """
     table, known = classified(docs, id, text, threshold, tolerance)
-    row, hash = unused(["row", "hash"], docs.columns)
+    row, hash, text_hash = unused(["row", "hash", "text hash"], docs.columns)
     first = known.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("first")).select("first.id", "first.h")
     rows = table.where("key is not null").groupBy("id", "h").agg(F.count("*").alias("m"))
     stay = written(rows.alias("r").join(first.alias("f"), F.expr("r.id <=> f.id and r.h = f.h")).select("r.*"))
     go = written(rows.alias("r").join(stay.alias("s"), F.expr("r.id <=> s.id and r.h = s.h"), "left_anti").select(F.col("id").alias(row), F.col("h").alias(hash)))
     again = written(stay.where("m > 1").select(F.col("id").alias(row), F.col("h").alias(hash)))
     few = lambda t: F.broadcast(t) if t.count() <= HELD else t
-    hashed = docs.withColumn("brimwell hash", F.xxhash64(text_bytes(text)))
-    own = lambda t: F.col(f"`{id}`").eqNullSafe(t[row]) & (F.col("brimwell hash") == t[hash])
+    hashed = docs.withColumn(text_hash, F.xxhash64(text_bytes(text)))
+    own = lambda t: F.col(f"`{id}`").eqNullSafe(t[row]) & (F.col(f"`{text_hash}`") == t[hash])
     kept = hashed.join(few(go), own(go), "left_anti")
     if again.isEmpty():
-        return kept.drop("brimwell hash")
+        return kept.drop(text_hash)
     again = few(again)
-    once = kept.join(again, own(again), "left_semi").dropDuplicates([id, "brimwell hash"])
-    return kept.join(again, own(again), "left_anti").unionByName(once).drop("brimwell hash")
+    once = kept.join(again, own(again), "left_semi").dropDuplicates([id, text_hash])
+    return kept.join(again, own(again), "left_anti").unionByName(once).drop(text_hash)

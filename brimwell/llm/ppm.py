@@ -23,10 +23,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import most_frequent, runs, written
+from .text import most_frequent, runs, starts, unused, written
 
 MARK = 255
 MOST = 3_000_000
+SPLIT = 1 << 20  # grams of one context of two bytes that a task takes
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,14 +47,17 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
 class Model:
     """Code lengths (log10 probabilities) of grams."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, short: tuple[np.ndarray, np.ndarray] | None = None) -> None:
-        """short: grams of two bytes of all texts, where keys are only those of some contexts of two bytes."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, short: tuple[np.ndarray, np.ndarray] | None = None, middle: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """short: grams of two bytes of all texts, where keys are only those of some contexts of two bytes; middle: grams of three bytes, where
+        keys are only those of some contexts of three."""
         by = np.argsort(keys)
         keys, counts = keys[by], counts[by].astype(np.float64)
         self.order = order
         self.levels = []
         for k in range(order, -1, -1):
             mask = np.uint64((1 << (8 * (k + 1))) - 1)
+            if k == 2 and middle is not None:
+                keys, counts = middle[0], middle[1].astype(np.float64)
             if k == 1 and short is not None:
                 keys, counts = short[0], short[1].astype(np.float64)
             g, at = np.unique(keys & mask, return_inverse=True)
@@ -167,25 +171,45 @@ def gram_values(table: DataFrame, wanted: DataFrame, order: int, names: list[str
     """(gram, v): log10 probability of each wanted gram under each model.
 
     Grams of one last two context bytes meet: the contexts of two bytes or more are among them, and the
-    shorter ones (65,536 grams a model at most) are broadcast.
+    shorter ones (65,536 grams a model at most) are broadcast.  Contexts of more than SPLIT grams are dealt by a third byte; what they
+    share, the grams of three bytes behind them, is broadcast: 256 a model for each such context.
     """
-    rows = table.groupBy("name", F.expr("gram & 65535").alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    own, keys, counts = rows.column("name").to_numpy(), rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
-    short = table.sparkSession.sparkContext.broadcast([(keys[own == n], counts[own == n]) for n in names])
+    context = F.expr("shiftright(gram, 8) & 65535")
+    margin = lambda t, bits: t.groupBy("name", F.col("gram").bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+
+    def arrays(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        own, keys, counts = rows.column("name").to_numpy(), rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+        by = np.argsort(keys)
+        own, keys, counts = own[by], keys[by], counts[by]
+        return [(keys[own == n], counts[own == n]) for n in names]
+
     who = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name")).cast("int")
     both = table.select("gram", who.alias("who"), "n").unionByName(wanted.select("gram", F.lit(0).alias("who"), F.lit(0).cast("long").alias("n")))
+    hot = [r.c for r in both.groupBy(context.alias("c")).agg(F.count("*").alias("m")).where(F.col("m") > SPLIT).collect()] if order >= 3 else []
+    middle = arrays(margin(table.where(context.isin(hot)), 24)) if hot else None
+    shared = table.sparkSession.sparkContext.broadcast((arrays(margin(table, 16)), middle, frozenset(hot)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, middle, hot = shared.value
         for t in runs(batches, ["context"]):
-            g, who, n = t.column("gram").to_numpy().astype(np.uint64), t.column("who").to_numpy(), t.column("n").to_numpy()
-            asked = g[who == 0]
-            if len(asked):
-                v = np.array([Model(g[who == k + 1], n[who == k + 1], order, s).score(asked) for k, s in enumerate(short.value)])
+            first = np.append(starts(t, ["context"]), t.num_rows)
+            dealt = t.column("context").to_numpy()[first[:-1]]
+            split = np.array([c >> 16 > 0 for c in dealt.tolist()], bool)
+            cuts = [np.repeat(~split, np.diff(first))] + [np.repeat(np.arange(len(dealt)) == k, np.diff(first)) for k in np.flatnonzero(split)]
+            for mask, c in zip(cuts, [None, *dealt[split].tolist()]):
+                g, who, n = (t.column(x).to_numpy()[mask] for x in ("gram", "who", "n"))
+                g = g.astype(np.uint64)
+                asked = g[who == 0]
+                if not len(asked):
+                    continue
+                near = [None] * len(short) if c is None else [(k[at], m[at]) for k, m in middle for at in [np.flatnonzero(k >> np.uint64(8) == np.uint64(c & 65535))]]
+                v = np.array([Model(g[who == k + 1], n[who == k + 1], order, s, near[k]).score(asked) for k, s in enumerate(short)])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(asked) + 1) * len(v), pa.int32()), pa.array(v.T.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(asked.astype(np.int64)), lists], names=["gram", "v"])
 
-    dealt = both.withColumn("context", F.expr("shiftright(gram, 8) & 65535")).repartition("context").sortWithinPartitions("context")
-    return dealt.mapInArrow(run, "gram long, v array<double>")
+    third = F.expr("shiftleft((shiftright(gram, 24) & 255) + 1, 16)")
+    dealt = both.withColumn("context", F.when(context.isin(hot), context + third).otherwise(context) if hot else context)
+    return dealt.repartition("context").sortWithinPartitions("context").mapInArrow(run, "gram long, v array<double>")
 
 
 def train(texts: DataFrame, order: int, most: int | None = None) -> tuple[Tables | Head, DataFrame]:
@@ -208,13 +232,14 @@ def finished(scored: DataFrame, tables: Tables | Head, table: DataFrame) -> Data
     """scored with `lengths` completed by the code lengths of its `grams`, which are dropped."""
     if isinstance(tables, Tables):
         return scored.drop("grams")
-    scored = written(scored.withColumn("brimwell row", F.monotonically_increasing_id()))
-    rest = written(scored.select("brimwell row", F.explode("grams").alias("gram")).groupBy("brimwell row", "gram").agg(F.count("*").alias("n")))
+    row, add = unused(["row of grams", "length of grams"], scored.columns)
+    scored = written(scored.withColumn(row, F.monotonically_increasing_id()))
+    rest = written(scored.select(row, F.explode("grams").alias("gram")).groupBy(row, "gram").agg(F.count("*").alias("n")))
     values = gram_values(table, rest.select("gram").distinct(), tables.order, tables.names)
     more = F.array(*[F.sum(F.col("n") * F.col("v")[k]) for k in range(len(tables.names))])
-    more = rest.join(values, "gram").groupBy("brimwell row").agg(more.alias("brimwell more"))
-    whole = F.when(F.col("brimwell more").isNull(), F.col("lengths")).otherwise(F.zip_with("lengths", "brimwell more", lambda a, b: a + b))
-    return scored.join(more, "brimwell row", "left").withColumn("lengths", whole).drop("brimwell row", "brimwell more", "grams")
+    more = rest.join(values, "gram").groupBy(row).agg(more.alias(add))
+    whole = F.when(F.col(add).isNull(), F.col("lengths")).otherwise(F.zip_with("lengths", add, lambda a, b: a + b))
+    return scored.join(more, row, "left").withColumn("lengths", whole).drop(row, add, "grams")
 
 
 def lengths_array(lengths: np.ndarray) -> pa.ListArray:

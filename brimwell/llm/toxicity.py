@@ -126,8 +126,14 @@ def sampled(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *,
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", categories: tuple[str, ...] = CATEGORIES, words: int = WORDS, sample: int = SAMPLE):
-    """(categories, word hashes, models, base rates) from the labelled rows."""
+    """(categories, word hashes, models, base rates) from the labelled rows.
+
+    A category that labels lacks is left out.  Without the last one, whose probability decides, there is no model and nothing is toxic.
+    """
+    last = categories[-1]
     categories = tuple(c for c in categories if c in labels.columns)
+    if last not in categories:
+        return categories, np.zeros(0, np.uint64), [], [0.0] * len(categories)
     labelled = sampled(docs, labels, categories, id=id, text=text, sample=sample)
     rows, bad = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     rates = [r or 0.0 for r in labelled.agg(*[F.avg(F.col("targets")[k]) for k in range(len(categories))]).first()]

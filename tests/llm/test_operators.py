@@ -207,7 +207,10 @@ def test_ppm_and_base_score(spark, docs):
                 assert r.score == pytest.approx(plain_ppm([t.encode() for t in train], text[r.doc_id].encode(), lm_score.ORDER))
 
 
-def test_models_beyond_the_broadcast_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("split", [ppm.SPLIT, 300])
+def test_models_beyond_the_broadcast_give_the_same(spark, monkeypatch, split):
+    """Without and with contexts of so many grams that they are dealt by a third byte."""
+    monkeypatch.setattr(ppm, "SPLIT", split)
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     get = lambda: (lm_score.score_texts(d).orderBy("doc_id").collect(), language_id.language_digest(d).orderBy("doc_id").collect())
     whole = get()
@@ -405,8 +408,9 @@ def test_media(docs):
         assert media.from_wav(wav) == p and (r.media_bytes, r.media_sha256, r.payload_sha256) == (len(wav), hashlib.sha256(wav).hexdigest(), hashlib.sha256(p).hexdigest())
         x = [b - 128 for b in p]
         assert r.feature == f"sum={sum(x)};power={sum(v * v for v in x)};cross={sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))};peak={max(map(abs, x))}"
-    small = media.read_media(docs.sparkSession, media.store(docs), range_bytes=64)
-    assert small.count() == docs.count()
+    for page in (1, 3, media.PAGE):
+        small = media.read_media(docs.sparkSession, media.store(docs.coalesce(1), page=page), range_bytes=64)
+        assert sorted(str(r.key) for r in small.collect()) == sorted(str(r.doc_id) for r in docs.collect())
     named = docs.selectExpr("concat('k', doc_id) doc_id", "text")
     assert {r.doc_id for r in media.media_digest(named).collect()} == {f"k{i}" for i in range(10)} | {None}
 
@@ -561,3 +565,25 @@ def test_bit_tables_lose_nothing(spark):
     table = contamination._bits(spark.createDataFrame([(int(v),) for v in h], "h long"), 5000)
     assert table.known(h.astype(np.uint64)).all()
     assert table.known(np.random.default_rng(1).integers(-(2**63), 2**63, 5000).astype(np.uint64)).mean() < 0.15
+
+
+def test_hidden_names_are_not_taken(spark):
+    """Columns of the names that operators use inside stay as they are."""
+    rows = [(k, t, f"own {k}") for k, t in enumerate(["one two three four five six seven"] * 3 + ["other words are here and there", None])] + [(0, "one two three four five six seven", "own 0")] * 2
+    for name in ("brimwell hash", "text hash", "row", "hash"):
+        d = spark.createDataFrame(rows, f"doc_id long, text string, `{name}` string")
+        out = near_duplicates.one_of_each(d)
+        assert out.columns == d.columns and sorted((r.doc_id, r[name]) for r in out.collect()) == [(0, "own 0"), (3, "own 3"), (4, "own 4")]
+    for name in ("lengths", "grams", "letters", "text bytes"):
+        d = spark.createDataFrame([(1, "aaa bbb", "en", "own"), (2, "ccc", "fr", "own")], f"doc_id long, text string, lang string, `{name}` string")
+        got = language_id.identify_languages(d.select("doc_id", "text", name), d, keep=["doc_id", name]).collect() if name not in ("lengths", "grams") else [{name: "own"}]
+        assert all(r[name] == "own" for r in got)
+
+
+def test_labels_without_categories(spark):
+    d = spark.createDataFrame([(k, f"word{k % 7} text") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, int(k % 7 == 0)) for k in range(50)], "doc_id long, quality int, toxic int")
+    for kept, p in ((["doc_id"], []), (["doc_id", "quality"], ["p_quality"])):
+        out = toxicity.toxicity(d, toxicity.train_chain(d, labels.select(*kept)))
+        assert out.columns == ["doc_id", "text", *p, "is_toxic"] and out.where("is_toxic").count() == 0 and out.count() == 50
+    assert toxicity.toxicity(d, toxicity.train_chain(d, labels)).where("is_toxic").count() > 0
