@@ -160,3 +160,29 @@ def scan_licenses(docs: DataFrame, *, id: str = "doc_id", text: str = "text", ph
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"])
 
     return own.mapInArrow(scan, f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<first:long,template:long,label:string,containment:double>>").withColumnRenamed("id", id)
+
+
+def license_digest(scanned: DataFrame) -> DataFrame:
+    """What scan_licenses returns, its blocks as their number and the SHA-256 of their `first:template`, comma-joined."""
+    place = F.transform("blocks", lambda b: F.concat_ws(":", b["first"].cast("string"), b["template"].cast("string")))
+    return scanned.select(*[c for c in scanned.columns if c != "blocks"], F.size("blocks").cast("long").alias("n_blocks"), F.sha2(F.array_join(place, ","), 256).alias("blocks_sha256"))
+
+
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+_WORDS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format('text')} AS w FROM documents),
+p AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {', '.join(f"({_quoted(p)}, {_quoted(label)})" for p, label in PHRASES)}) v(phrase, label)),
+e AS MATERIALIZED (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS i, len(w) AS n FROM d),
+q AS (SELECT d.r, e.i, label FROM e JOIN p ON e.x = p.p[1] JOIN d ON d.r = e.r WHERE d.w[e.i + 1:e.i + len(p.p)] = p.p),
+b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM q GROUP BY r),
+t AS (SELECT k, label, list_distinct({_WORDS.format('body')}) AS own FROM (VALUES {', '.join(f"({k}, {_quoted(label)}, {_quoted(body)})" for k, (label, body) in enumerate(TEMPLATES))}) v(k, label, body)),
+tw AS (SELECT k, unnest(own) AS x FROM t),
+bw AS (SELECT DISTINCT r, c, x FROM (SELECT r, x, i, n, unnest(range(greatest(0, CAST(ceil((i - {BLOCK} + 1) / {STEP}) AS BIGINT)), least(i // {STEP}, greatest(0, CAST(ceil((n - {BLOCK}) / {STEP}) AS BIGINT))) + 1)) AS c FROM e WHERE x IN (SELECT x FROM tw))),
+m AS (SELECT r, c, bw_t.k, label, have::DOUBLE / len(own) AS share FROM (SELECT r, c, k, count(*) AS have FROM bw JOIN tw USING (x) GROUP BY r, c, k) bw_t JOIN t ON t.k = bw_t.k WHERE have >= ceil({THRESHOLD}::DOUBLE * len(own) - 1e-9::DOUBLE)),
+f AS (SELECT r, count(*) AS n_blocks, string_agg((c * {STEP}) || ':' || k, ',' ORDER BY c, k) AS places, max(share) AS share FROM m GROUP BY r),
+l AS (SELECT r, string_agg(label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label, bool_or(base) AS base FROM (SELECT r, label, true AS base FROM q UNION ALL SELECT r, label, false FROM m) GROUP BY r, label) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS DOUBLE) AS first_word, CAST(last_word AS DOUBLE) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+ greatest(CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, coalesce(share, 0.0::DOUBLE)) AS score, CAST(coalesce(n_blocks, 0) AS BIGINT) AS n_blocks, sha256(coalesce(places, '')) AS blocks_sha256
+FROM d LEFT JOIN b USING (r) LEFT JOIN f USING (r) LEFT JOIN l USING (r)
+"""

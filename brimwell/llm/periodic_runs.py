@@ -291,7 +291,7 @@ u AS MATERIALIZED (SELECT r, start, length, min(d) AS period FROM s GROUP BY r,
 v AS (SELECT r, count(*) AS n_runs, max({'l': length, 's': -start, 'p': -period}) AS top, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM u GROUP BY r),
 y AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u),
 z AS (SELECT e.r, string_agg(x, ' ' ORDER BY e.i) AS kept FROM e ANTI JOIN y ON e.r = y.r AND e.i = y.i GROUP BY e.r)
-SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-top.s AS BIGINT) AS start, CAST(top.l AS BIGINT) AS length, CAST(-top.p AS BIGINT) AS period,
- CAST(1000 * top.l // -top.p AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-top.s AS DOUBLE) AS start, CAST(top.l AS DOUBLE) AS length, CAST(-top.p AS DOUBLE) AS period,
+ CAST(1000 * top.l // -top.p AS DOUBLE) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN v USING (r) LEFT JOIN z USING (r)
 """

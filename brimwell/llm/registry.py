@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark, sf_dir):
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return license_scan.license_digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
 
 
 def op2_secret_scan(spark, sf_dir):
@@ -71,4 +71,4 @@ def op13_whitening(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontamination, op4_lm_score, op5_toxicity, op6_jaccard_join, op7_merkle_fixity, op8_language_id, op9_media_columns, op10_pieces, op11_line_dedup, op12_periodic_runs, op13_whitening)}
-ORACLE_SQL = {"op3_decontamination": contamination.ORACLE, "op7_merkle_fixity": fixity.ORACLE, "op11_line_dedup": line_dedup.ORACLE, "op12_periodic_runs": periodic_runs.ORACLE}
+ORACLE_SQL = {"op1_license_scan": license_scan.ORACLE, "op2_secret_scan": secret_scan.ORACLE, "op3_decontamination": contamination.ORACLE, "op7_merkle_fixity": fixity.ORACLE, "op11_line_dedup": line_dedup.ORACLE, "op12_periodic_runs": periodic_runs.ORACLE}

@@ -171,3 +171,24 @@ def secret_digest(spans: DataFrame) -> DataFrame:
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return spans.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def _placed(rule: Rule) -> str:
+    """SQL for (r, kind, start, end) of a rule: the matches and what lies between them give the places."""
+    pattern = rule.head + rule.body
+    if rule.kind == "pem":  # here the first alternative that fits is taken, not the longest: the END line goes first
+        lines, whole = rule.body.split("(?:", 1)[1].removesuffix(")").rsplit("|(?:[A-Za-z0-9+/=:", 1)
+        pattern = rule.body.split("(?:", 1)[0] + "(?:(?:[A-Za-z0-9+/=:" + whole + "|" + lines + ")"
+    quote = lambda x: "'" + x.replace("\\xff", "").replace("'", "''") + "'"
+    body = f"length(regexp_extract(m, {quote('^(?:' + rule.head + ')(' + rule.body + ')$')}, 1))" if rule.least > 1 else "1"
+    return f"""SELECT r, '{rule.kind}' AS kind, s AS a, s + length(m) AS b FROM (SELECT r, unnest(e) AS m, unnest(list_transform(range(1, len(e) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(e[1:i - 1], lambda x: length(x))), 0))) AS s
+ FROM (SELECT r, regexp_extract_all(text, {quote(pattern)}) AS e, regexp_split_to_array(text, {quote(pattern)}) AS g FROM t) WHERE len(e) > 0) WHERE {body} >= {rule.least}"""
+
+
+ORACLE = f"""
+WITH t AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+s AS ({' UNION ALL '.join(map(_placed, RULES))}),
+k AS (SELECT *, CAST(a AS BIGINT) AS place, list_position({[rule.kind for rule in RULES]}, kind) AS rank, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT) AS name, kind IN {BASE} AS base FROM s),
+g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(name, ',' ORDER BY place, rank) FILTER (base) AS bases, string_agg(name, ',' ORDER BY place, rank) AS spans FROM k GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(bases, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (r)
+"""
