@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .recordings import nearest_filled
-from .running import beside, running_last
+from .running import beside, neighbour, running_last, running_sum
 from .traces import known, rising_edges
 
 _COMPARISON = re.compile(r"\s*(<=|>=|==|!=|<|>|=)\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|'[^']*')\s*$")
@@ -64,21 +64,21 @@ def indicators_swapped(df: DataFrame, trials: DataFrame, key: str, order: list[s
 def on_grid(grid: DataFrame, channels: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """The rows of the grid with a column for each channel (keys, value); null where a channel has no row."""
     for name, channel in channels.items():
-        grid = grid.join(channel.select(*keys, F.col("value").alias(name)), keys, "left")
+        grid = beside(grid, channel.select(*keys, F.col("value").alias(name)), keys, "left")
     return grid
 
 
-def with_stimulus(df: DataFrame, trials: DataFrame, key: str, order: list[str], trial_set: str = "trial_set") -> DataFrame:
+def with_stimulus(df: DataFrame, trials: DataFrame, key: str, order: list[str], trial_set: str = "trial_set", segment: Column | None = None) -> DataFrame:
     """`stimulus` by row: at the first row of a trial set its stimulus from trials (key, trial, stimulus), at the session's first row the
     number of distinct stimuli ("none"), else the last one."""
-    n = trials.groupBy(F.col(key).alias("_n_key")).agg(F.countDistinct("stimulus").alias("_none"))
-    w = Window.partitionBy(key).orderBy(*order)
-    first = ~F.lag(trial_set).over(w).eqNullSafe(F.col(trial_set))
-    own = trials.select(F.col(key).alias("_key"), F.col("trial").alias("_trial"), F.col("stimulus").alias("_stimulus"))
-    d = df.withColumns({"_first": first, "_row": F.row_number().over(w)})
-    d = d.join(own, d[key].eqNullSafe(own["_key"]) & (d[trial_set] == own["_trial"]), "left").join(n, F.col(key).eqNullSafe(F.col("_n_key")), "left")
-    mark = F.when(F.col("_row") == 1, F.col("_none")).when(F.col("_first"), F.col("_stimulus"))
-    return running_last(d, key, order, mark, "stimulus").drop("_first", "_row", "_key", "_trial", "_stimulus", "_n_key", "_none")
+    n = trials.groupBy(key).agg(F.countDistinct("stimulus").alias("_none"))
+    head = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_head"))
+    d = beside(beside(neighbour(df, key, order, F.col(trial_set), "_before", segment=segment), head, [key]), n, [key], "left")
+    own = trials.where("trial is not null").select(key, F.col("trial").alias(trial_set), F.col("stimulus").alias("_stimulus"))
+    d = beside(d, own, [key, trial_set], "left")
+    first = ~F.col("_before").eqNullSafe(F.col(trial_set))
+    mark = F.when(F.struct(*order) == F.col("_head"), F.col("_none")).when(first, F.col("_stimulus"))
+    return running_last(d, key, order, mark, "stimulus", segment=segment).drop("_before", "_head", "_none", "_stimulus")
 
 
 def recording_shift(timeline: DataFrame, recording: DataFrame, key: str, state: str, trial: str, signal: str, level: float = 3.3) -> DataFrame:
@@ -90,30 +90,30 @@ def recording_shift(timeline: DataFrame, recording: DataFrame, key: str, state:
     edge = rising_edges(recording, key, ["row"], signal).groupBy(key).agg(F.min(F.struct("row", signal)).alias("e"))
     edge = edge.where(F.col(f"e.{signal}") >= level).select(key, F.col("e.row").alias("edge"))
     begin = timeline.groupBy(key).agg(F.min(F.when(F.col(state) == trial, F.col("row"))).alias("begin"), F.min("t_ms").alias("began")).where("begin is not null")
-    return edge.join(begin, key).select(key, (F.col("edge") - F.col("begin")).cast("long").alias("shift"), "began")
+    return beside(edge, begin, [key]).select(key, (F.col("edge") - F.col("begin")).cast("long").alias("shift"), "began")
 
 
 def recording_aligned(timeline: DataFrame, recording: DataFrame, shifts: DataFrame, key: str, signals: list[str], rate: int = 1000) -> DataFrame:
     """The timeline with the recording's signals at its times: its row r stands at (r - shift) / rate seconds behind the first time; rows outside are dropped, times without a row are null."""
-    at = recording.join(shifts, key)
+    at = beside(recording, shifts, [key])
     t = F.col("began") + F.bround((F.col("row") - F.col("shift")) * 1000 / rate).cast("long")
     at = at.where("row >= shift").select(key, t.alias("t_ms"), *signals)
-    return timeline.join(at, [key, "t_ms"], "left")
+    return beside(timeline, at, [key, "t_ms"], "left")
 
 
-def frames_aligned(timeline: DataFrame, frames: DataFrame, recording: DataFrame, shifts: DataFrame, key: str, rate: int = 1000, name: str = "imaging_frame", how: str = "nearest") -> DataFrame:
+def frames_aligned(timeline: DataFrame, frames: DataFrame, recording: DataFrame, shifts: DataFrame, key: str, rate: int = 1000, name: str = "imaging_frame", how: str = "nearest", segment: Column | None = None) -> DataFrame:
     """The timeline with frame numbers at their times, and `filled_<name>`.
 
     frames is (key, frame, relative_time in seconds); their zero is the recording's `time_ms` in the row `shift`.  Frames before the first time are dropped.
     """
-    zero = recording.join(shifts, key).where("row = shift").select(key, "began", (F.col("time_ms") / rate).alias("zero"))
+    zero = beside(recording, shifts, [key]).where("row = shift").select(key, "began", (F.col("time_ms") / rate).alias("zero"))
     t = F.col("began") + F.bround((F.col("relative_time") - F.col("zero")) * 1000).cast("long")
-    at = frames.join(zero, key).withColumn("t_ms", t).where("t_ms >= began").groupBy(key, "t_ms").agg(F.min("frame").alias(name))
-    both = timeline.join(at, [key, "t_ms"], "left")
-    return nearest_filled(both, key, "t_ms", ["t_ms"], name, f"filled_{name}", how)
+    at = beside(frames, zero, [key]).withColumn("t_ms", t).where("t_ms >= began").groupBy(key, "t_ms").agg(F.min("frame").alias(name))
+    both = beside(timeline, at, [key, "t_ms"], "left")
+    return nearest_filled(both, key, "t_ms", ["t_ms"], name, f"filled_{name}", how, segment)
 
 
-def downsampled_aligned(timeline: DataFrame, frames: DataFrame, key: str, factor: int = 3, artifact: int = 1000, chunk: int = 7000, frame: str = "imaging_frame", name: str = "downsampled_frame") -> DataFrame:
+def downsampled_aligned(timeline: DataFrame, frames: DataFrame, key: str, factor: int = 3, artifact: int = 1000, chunk: int = 7000, frame: str = "imaging_frame", name: str = "downsampled_frame", segment: Column | None = None) -> DataFrame:
     """The timeline with numbers of down-sampled frames at the times of their middle frames, and `filled_<name>`.
 
     Of a session's frames (key, frame), every `factor`-th is one; leading ones are cropped so that the rest is whole chunks (see without_artifact).
@@ -121,32 +121,33 @@ def downsampled_aligned(timeline: DataFrame, frames: DataFrame, key: str, factor
     """
     n = F.ceil(F.count("*") / factor)
     crop = F.when(n % chunk >= artifact, n % chunk).otherwise(artifact + F.pmod(n - artifact, F.lit(chunk)))
-    first = frames.groupBy(F.col(key).alias("_key")).agg(crop.cast("long").alias("_crop"))
-    d = timeline.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
+    d = beside(timeline, frames.groupBy(key).agg(crop.cast("long").alias("_crop")), [key], "left")
     begin = F.col("_crop") * factor
     middle = (F.col(frame) >= begin) & (F.pmod(F.col(frame) - begin, F.lit(factor)) == min(1, factor - 1))
-    w = Window.partitionBy(key).orderBy("t_ms").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_hit", F.coalesce(middle, F.lit(False)))
-    d = d.withColumn(name, F.when(F.col("_hit"), F.sum(F.col("_hit").cast("long")).over(w) - 1)).drop("_hit", "_key", "_crop")
-    return nearest_filled(d, key, "t_ms", ["t_ms"], name, f"filled_{name}")
+    d = running_sum(d, key, ["t_ms"], F.col("_hit").cast("long"), "_before", segment=segment)
+    d = d.withColumn(name, F.when(F.col("_hit"), F.col("_before"))).drop("_hit", "_crop", "_before")
+    return nearest_filled(d, key, "t_ms", ["t_ms"], name, f"filled_{name}", segment=segment)
 
 
-def pose_aligned(timeline: DataFrame, pose: DataFrame, key: str, points: dict[str, str], stage: str = "stage", trial: str = "trial") -> DataFrame:
+def pose_aligned(timeline: DataFrame, pose: DataFrame, key: str, points: dict[str, str], stage: str = "stage", trial: str = "trial", segment: Column | None = None) -> DataFrame:
     """The timeline with pose columns, nearest filled within each (stage, trial).
 
     pose is (key, stage, trial, frame, columns); the n samples of a trial lie evenly between the trial's first and last time, rounded to
     milliseconds (of samples that meet on one, the later).  What stays unknown gets the session's largest value (`max`), or the number that `points` names for its column.
     """
     by = [key, stage, trial]
+    pose = pose.where(F.col(stage).isNotNull() & F.col(trial).isNotNull())
     ends = timeline.groupBy(*by).agg(F.min("t_ms").alias("_low"), F.max("t_ms").alias("_high"))
     count = pose.groupBy(*by).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*by).orderBy("frame")
-    at = pose.withColumn("_k", F.row_number().over(w) - 1).join(ends, by).join(count, by)
+    at = pose.withColumn("_k", F.row_number().over(w) - 1)
+    at = beside(beside(at, ends, by), count, by)
     t = F.col("_low") + F.bround((F.col("_high") - F.col("_low")) * F.col("_k") / F.greatest(F.col("_n") - 1, F.lit(1))).cast("long")
     at = at.groupBy(*by, t.alias("t_ms")).agg(*[F.max_by(known(c), "_k").alias(c) for c in points])
-    d = timeline.join(at, [*by, "t_ms"], "left").withColumn("_by", F.when(F.col(stage).isNotNull() & F.col(trial).isNotNull(), F.struct(*by)))
+    d = beside(timeline, at, [*by, "t_ms"], "left").withColumn("_by", F.when(F.col(stage).isNotNull() & F.col(trial).isNotNull(), F.struct(*by)))
     for c in points:
-        d = nearest_filled(d, "_by", "t_ms", ["t_ms"], c, c)
+        d = nearest_filled(d, "_by", "t_ms", ["t_ms"], c, c, segment=segment)
     most = d.groupBy(F.col(key).alias("_key")).agg(*[F.max(c).alias(f"_max_{c}") for c, fill in points.items()])
     d = d.join(most, F.col(key).eqNullSafe(F.col("_key")), "left")
     filled = {c: F.coalesce(c, F.col(f"_max_{c}") if fill == "max" else F.lit(float(fill))) for c, fill in points.items()}
@@ -165,8 +166,8 @@ def plane_times(frames: DataFrame, key: str) -> DataFrame:
     """
     w = Window.partitionBy(key).orderBy("volume")
     per = frames.groupBy(key, "volume").agg(F.count("*").alias("n")).withColumns({"before": F.lag("n").over(w), "last": F.lead("volume").over(w).isNull()})
-    torn = per.where("last and before is not null and n <> before").select(key, "volume")
-    whole = frames.join(torn, [key, "volume"], "left_anti")
+    torn = per.where("last and before is not null and n <> before").select(key, "volume", F.lit(True).alias("_torn"))
+    whole = beside(frames, torn, [key, "volume"], "left").where("_torn is null")
     return whole.groupBy(key, "plane").agg(F.transform(F.array_sort(F.collect_list(F.struct("volume", "relative_time"))), lambda x: x["relative_time"]).alias("times"))
 
 

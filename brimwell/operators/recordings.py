@@ -77,7 +77,7 @@ def stimulation_schedule(df: DataFrame, key: str, name: str, delay: str, duratio
     return df.withColumn("end", end).withColumn("onset", F.col("end") - F.col(duration))
 
 
-def stimulated(samples: DataFrame, spans: DataFrame, key: str, time: str, level: float = 5.0) -> DataFrame:
+def stimulated(samples: DataFrame, spans: DataFrame, key: str, time: str, level: float = 5.0, segment: Column | None = None) -> DataFrame:
     """`level` at samples inside any span [begin, end) of their key, else 0.
 
     Begins, ends and samples are put in one order and open spans are counted along it, so overlapping or long
@@ -87,8 +87,9 @@ def stimulated(samples: DataFrame, spans: DataFrame, key: str, time: str, level:
     marks = marks.select(key, F.col("m.at").alias("_at"), F.col("m.d").alias("_d"))
     both = samples.withColumn("_at", F.col(time)).withColumn("_d", F.lit(0)).unionByName(marks, allowMissingColumns=True)
     # at one time ends and begins come before samples: a span holds its begin and not its end
-    w = Window.partitionBy(key).orderBy("_at", F.expr("abs(_d)").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("signal", F.when(F.sum("_d").over(w) > 0, level).otherwise(0.0)).where("_d = 0").drop("_at", "_d")
+    both = both.withColumns({"_order": 1 - F.abs("_d"), time: F.col("_at")})  # segment is a column of the time
+    both = running_sum(both, key, ["_at", "_order"], F.col("_d"), "_open", segment=segment)
+    return both.where("_d = 0").withColumn("signal", F.when(F.col("_open") > 0, level).otherwise(0.0)).drop("_at", "_d", "_order", "_open")
 
 
 def sampled_at(frames: DataFrame, samples: DataFrame, key: str, time: str, signal: str, segment: Column | None = None) -> DataFrame:

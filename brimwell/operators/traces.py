@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import neighbour
+from .running import neighbour, running_sum
 
 
 def known(value: str) -> Column:
@@ -23,8 +23,10 @@ def filled(df: DataFrame, value: str) -> Column:
     return F.when(~F.isnan(F.col(value)), F.col(value)) if df.schema[value].dataType.typeName() in ("float", "double") else F.col(value)
 
 
-def numbered(df: DataFrame, key: str, order: list[str], name: str = "frame") -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str], name: str = "frame", segment: Column | None = None) -> DataFrame:
     """Frames from 0 along each trace."""
+    if segment is not None:
+        return running_sum(df, key, order, F.lit(1).cast("long"), name, segment=segment)
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
 
 
@@ -84,11 +86,11 @@ def covariance(vectors: DataFrame, values: str, width: int) -> DataFrame:
     return parts.groupBy("i", "j").agg(F.when(n > 1, whole / (n - 1)).alias("cov"))
 
 
-def step_distance(df: DataFrame, key: str, order: list[str], x: str, y: str) -> DataFrame:
+def step_distance(df: DataFrame, key: str, order: list[str], x: str, y: str, segment: Column | None = None) -> DataFrame:
     """Euclidean distance from the point before; 0 at the first and where either point is unknown."""
-    w = Window.partitionBy(key).orderBy(*order)
-    step = lambda c: known(c) - F.lag(known(c)).over(w)
-    return df.withColumn("distance", F.coalesce(F.hypot(step(x), step(y)), F.lit(0.0)))
+    d = neighbour(df, key, order, F.struct(known(x).alias("x"), known(y).alias("y")), "_before", segment=segment)
+    step = lambda c, b: known(c) - F.col(f"_before.{b}")
+    return d.withColumn("distance", F.coalesce(F.hypot(step(x, "x"), step(y, "y")), F.lit(0.0))).drop("_before")
 
 
 def rescaled(df: DataFrame, value: str, old: tuple[float, float], new: tuple[float, float] = (0.0, 140.0)) -> DataFrame:

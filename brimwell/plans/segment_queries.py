@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import coloring, decoders, images, quantiles, recordings, signals, tiles, timeline, traces
+from ..operators import alignment, coloring, decoders, images, quantiles, recordings, signals, tiles, timeline, traces
 from . import recording_queries, session_queries
 from .picture_queries import _trials
 from .queries import ORDER, _events, table
 from .recording_queries import _P, _frames, _timed
-from .session_queries import _matrix
+from .session_queries import _behaviour, _matrix, _recorder
 
 DAY = 86_400_000_000
 BY = ("label",)
@@ -58,6 +58,27 @@ def low_passed_in_segments(spark, sf_dir):
     return signals.low_passed(_matrix(spark, sf_dir), ["neuron"], "frame", "value", 10.0, 1.0, segment=F.floor(F.col("frame") / 128)).select("neuron", "frame", F.round("value", 6).alias("value"))
 
 
+def stimulated_in_segments(spark, sf_dir):
+    e = _timed(spark, sf_dir).select("event_id", "user_id", "event_type", "t")
+    spans = e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("begin"), (F.col("t") + DAY * (F.col("event_id") % 4)).alias("end"))
+    return recordings.stimulated(e, spans, "user_id", "t", segment=_day()).select("event_id", "signal")
+
+
+def downsampled_in_segments(spark, sf_dir):
+    frames = _recorder(spark, sf_dir).select("user_id", F.col("row").alias("frame"))
+    line = _behaviour(spark, sf_dir).withColumn("imaging_frame", F.when(F.col("row") % 5 != 0, F.col("row")))
+    d = alignment.downsampled_aligned(line, frames, "user_id", 3, 2, 3, segment=F.floor(F.col("t_ms") / 20))
+    return d.select("user_id", "t_ms", F.col("downsampled_frame").cast("double").alias("frame"), F.col("filled_downsampled_frame").cast("double").alias("filled"))
+
+
+def stimulus_in_segments(spark, sf_dir):
+    e = _timed(spark, sf_dir).withColumn("state", F.expr("case event_id % 11 when 0 then 'rest' when 1 then 'rest' else if(event_id % 3 = 0, 'trial', 'wait') end"))
+    e = recordings.trial_sets(e, "user_id", ORDER, "state", "trial", "rest", segment=_day())
+    trials = e.where("trial_set >= 0 and trial_set % 4 <> 3").select("user_id", F.col("trial_set").alias("trial"), ((F.col("trial_set") * 7) % 5).alias("stimulus")).distinct()
+    d = alignment.with_stimulus(e, trials, "user_id", ORDER, segment=_day())
+    return d.select("event_id", F.coalesce("stimulus", F.lit(-1)).alias("stimulus"))
+
+
 def noise_of_all(spark, sf_dir):
     return traces.standardised_noise(_events(spark, sf_dir), "user_id", ORDER, "value", 6.0, whole=True).select(F.round("noise", 6).alias("noise"))
 
@@ -122,7 +143,7 @@ def tile_origins(spark, sf_dir):
     return tiles.tile_origins(shapes, (6, 20, 20), (12, 12), 20_000, ("stack",))
 
 
-QUERIES = {f.__name__: f for f in (nearest_fill_in_segments, trial_sets_in_segments, smoothed_in_segments, mean_dff_in_segments, diffused_in_segments, low_passed_in_segments, noise_of_all, price_quantiles, frames_of_samples, gate_share_of_trials, mean_image_of_stacks, grouped_median_of_stacks, median_filtered_stacks, blended_stacks, region_traces_of_stacks, exact_split, permuted_labels, tile_origins)}
+QUERIES = {f.__name__: f for f in (nearest_fill_in_segments, trial_sets_in_segments, smoothed_in_segments, mean_dff_in_segments, diffused_in_segments, low_passed_in_segments, stimulated_in_segments, downsampled_in_segments, stimulus_in_segments, noise_of_all, price_quantiles, frames_of_samples, gate_share_of_trials, mean_image_of_stacks, grouped_median_of_stacks, median_filtered_stacks, blended_stacks, region_traces_of_stacks, exact_split, permuted_labels, tile_origins)}
 
 _S = f"""{_P}, l AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings), s AS (SELECT label, k AS frame, i, v FROM p JOIN l ON vec_id = frame)"""
 _TURNS = """r AS (SELECT vec_id AS trial, label AS type, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || vec_id), vec_id) AS rank FROM embeddings), n AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)),
@@ -133,6 +154,9 @@ ORACLE_SQL = {
     "smoothed_in_segments": session_queries.ORACLE_SQL["smoothed_rates"],
     "mean_dff_in_segments": session_queries.ORACLE_SQL["mean_dff"],
     "diffused_in_segments": session_queries.ORACLE_SQL["diffused_traces"],
+    "stimulated_in_segments": recording_queries.ORACLE_SQL["stimulated_samples"],
+    "downsampled_in_segments": session_queries.ORACLE_SQL["downsampled_aligned"],
+    "stimulus_in_segments": session_queries.ORACLE_SQL["stimulus_by_row"],
     "noise_of_all": "SELECT round(median(step) / sqrt(6.0::DOUBLE), 6) AS noise FROM (SELECT abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS step FROM events)",
     "price_quantiles": "SELECT l_returnflag, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.9), 4) AS quantile FROM lineitem GROUP BY 1",
     "frames_of_samples": """WITH e AS (SELECT user_id, epoch_us(ts) AS t, value FROM events), f AS (SELECT DISTINCT user_id, t // 86400000000 * 86400000000 + 43200000000 AS t FROM e),

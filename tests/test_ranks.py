@@ -86,3 +86,32 @@ def test_gate_share_of_trials_in_a_state(spark):
     trials = spark.createDataFrame([("s", 0, "plus"), ("s", 1, "minus"), (None, 0, "plus")], "session string, trial_set int, stimulus string")
     got = {(r.session, r.stimulus): r.percent for r in timeline.trial_gate_share(d, "stimulus", "gate", state="state", trials=trials, by=("session",)).collect()}
     assert got == {("s", "plus"): 50.0, ("s", "minus"): 100.0, (None, "plus"): 0.0}
+
+
+def test_null_sessions_stay_in_alignments(spark):
+    """Every alignment treats rows of null session as a session; with segments it gives the same."""
+    from brimwell.operators import alignment, traces
+
+    line = spark.createDataFrame([(s, t, 100 + t, "trial" if t > 2 else "wait", t // 3) for s in ("a", None) for t in range(12)], "s string, row long, t_ms long, state string, trial_set long")
+    rec = spark.createDataFrame([(s, t, 0.0 if t < 5 else 9.0, t * 2.0) for s in ("a", None) for t in range(14)], "s string, row long, signal double, time_ms double")
+    shifts = alignment.recording_shift(line, rec, "s", "state", "trial", "signal")
+    assert sorted(map(str, ((r.s, r["shift"], r.began) for r in shifts.collect()))) == sorted(map(str, [("a", 2, 100), (None, 2, 100)]))
+    frames = rec.select("s", F.col("row").alias("frame"), (F.col("row") * 0.003).alias("relative_time"))
+    trials = spark.createDataFrame([(s, k, k * 10) for s in ("a", None) for k in (1, 3)], "s string, trial long, stimulus long")
+    pose = rec.select("s", F.lit("trial").alias("state"), F.lit(1).cast("long").alias("trial_set"), F.col("row").alias("frame"), F.col("signal").alias("x"))
+    forms = {
+        "recording": lambda g: alignment.recording_aligned(line, rec, shifts, "s", ["signal"]),
+        "frames": lambda g: alignment.frames_aligned(line, frames, rec, shifts, "s", segment=g("t_ms")),
+        "sampled": lambda g: alignment.downsampled_aligned(line.withColumn("imaging_frame", F.col("row")), frames, "s", 3, 1, 2, segment=g("t_ms")),
+        "stimulus": lambda g: alignment.with_stimulus(line, trials, "s", ["t_ms"], segment=g("t_ms")),
+        "pose": lambda g: alignment.pose_aligned(line, pose, "s", {"x": "max"}, "state", "trial_set", segment=g("t_ms")),
+        "grid": lambda g: alignment.on_grid(line.select("s", "row"), {"c": rec.select("s", "row", F.col("signal").alias("value"))}, ["s", "row"]),
+        "steps": lambda g: traces.step_distance(rec, "s", ["row"], "signal", "time_ms", g("row")),
+        "numbers": lambda g: traces.numbered(rec, "s", ["row"], segment=g("row")),
+        "spans": lambda g: recordings.stimulated(rec, spark.createDataFrame([("a", 3, 6), (None, 3, 6), (None, 5, 20)], "s string, begin long, end long"), "s", "row", segment=g("row")),
+    }
+    for name, form in forms.items():
+        whole, split = ([{k: v for k, v in r.asDict().items()} for r in form(g).collect()] for g in (lambda c: None, lambda c: F.floor(F.col(c) / 4)))
+        assert sorted(map(str, whole)) == sorted(map(str, split)), name
+        mine, null = (sorted(str({k: v for k, v in r.items() if k != "s"}) for r in whole if r["s"] == s) for s in ("a", None))
+        assert len(mine) == len(null) > 10 and (mine == null or name == "spans"), name
