@@ -5,10 +5,11 @@ Events stand in for recordings (session = user_id); even events are the behaviou
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import alignment, recordings, signals, traces
+from ..operators import alignment, kernels, recordings, signals, traces
 from .queries import ORDER, _events, table
 from .recording_queries import _timed
 
@@ -208,3 +209,12 @@ f AS (SELECT neuron, quantile_cont(low, 0.05) AS f0 FROM o GROUP BY 1) SELECT ne
 s AS (SELECT a.neuron, a.frame, sum(b.value * w) / sum(w) AS v FROM m a, n, w JOIN m b ON b.neuron = a.neuron AND b.frame = CASE WHEN a.frame + k < 0 THEN -1 - a.frame - k WHEN a.frame + k > last THEN 2 * last + 1 - a.frame - k ELSE a.frame + k END GROUP BY 1, 2)
 SELECT neuron, frame, round(greatest(v / max(v) OVER (PARTITION BY frame), 0), 6) AS value FROM s""",
 }
+
+# the 30 taps run forward and backward are one symmetric filter of 59; ends are reflected at the edge sample
+_TAPS = ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in zip(range(-29, 30), np.convolve(*[kernels.windowed_sinc(30, 1.0 / 3)] * 2).tolist()))
+ORACLE_SQL["dff_by_tiff"] = f"""WITH {_MATRIX}, o AS (SELECT neuron, frame // 100 AS tiff, frame, value + 0.0001::DOUBLE AS v, row_number() OVER t - 2 AS i, count(*) OVER (PARTITION BY neuron, frame // 100) - 1 AS n FROM m WINDOW t AS (PARTITION BY neuron, frame // 100 ORDER BY frame)),
+x AS (SELECT * FROM o WHERE i >= 0), h AS (SELECT * FROM (VALUES {_TAPS}) h(k, w)), e AS (SELECT neuron, tiff, arg_min(v, i) AS first, arg_max(v, i) AS last FROM x GROUP BY 1, 2),
+q AS (SELECT x.neuron, x.tiff, x.i, w, CASE WHEN i + k < 0 THEN -i - k WHEN i + k >= n THEN 2 * (n - 1) - i - k ELSE i + k END AS j, CASE WHEN i + k < 0 THEN -1 WHEN i + k >= n THEN 1 ELSE 0 END AS side FROM x, h),
+y AS (SELECT q.neuron, q.tiff, q.i, sum(w * CASE side WHEN 0 THEN x.v WHEN 1 THEN 2 * last - x.v ELSE 2 * first - x.v END) AS y FROM q JOIN x ON x.neuron = q.neuron AND x.tiff = q.tiff AND x.i = j JOIN e ON e.neuron = q.neuron AND e.tiff = q.tiff GROUP BY 1, 2, 3),
+f AS (SELECT neuron, tiff, greatest((SELECT 0.0::DOUBLE), greatest(quantile_cont(y, 0.05), (SELECT min(v) FROM o WHERE o.neuron = y.neuron AND o.tiff = y.tiff))) AS f0 FROM y GROUP BY 1, 2)
+SELECT neuron, frame, round((v - f0) / f0, 6) AS value FROM o JOIN f USING (neuron, tiff)"""
