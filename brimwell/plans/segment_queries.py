@@ -157,6 +157,7 @@ ORACLE_SQL = {
     "stimulated_in_segments": recording_queries.ORACLE_SQL["stimulated_samples"],
     "downsampled_in_segments": session_queries.ORACLE_SQL["downsampled_aligned"],
     "stimulus_in_segments": session_queries.ORACLE_SQL["stimulus_by_row"],
+    "low_passed_in_segments": session_queries.ORACLE_SQL["low_passed"],
     "noise_of_all": "SELECT round(median(step) / sqrt(6.0::DOUBLE), 6) AS noise FROM (SELECT abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS step FROM events)",
     "price_quantiles": "SELECT l_returnflag, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.9), 4) AS quantile FROM lineitem GROUP BY 1",
     "frames_of_samples": """WITH e AS (SELECT user_id, epoch_us(ts) AS t, value FROM events), f AS (SELECT DISTINCT user_id, t // 86400000000 * 86400000000 + 43200000000 AS t FROM e),

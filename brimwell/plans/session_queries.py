@@ -218,3 +218,22 @@ q AS (SELECT x.neuron, x.tiff, x.i, w, CASE WHEN i + k < 0 THEN -i - k WHEN i +
 y AS (SELECT q.neuron, q.tiff, q.i, sum(w * CASE side WHEN 0 THEN x.v WHEN 1 THEN 2 * last - x.v ELSE 2 * first - x.v END) AS y FROM q JOIN x ON x.neuron = q.neuron AND x.tiff = q.tiff AND x.i = j JOIN e ON e.neuron = q.neuron AND e.tiff = q.tiff GROUP BY 1, 2, 3),
 f AS (SELECT neuron, tiff, greatest((SELECT 0.0::DOUBLE), greatest(quantile_cont(y, 0.05), (SELECT min(v) FROM o WHERE o.neuron = y.neuron AND o.tiff = y.tiff))) AS f0 FROM y GROUP BY 1, 2)
 SELECT neuron, frame, round((v - f0) / f0, 6) AS value FROM o JOIN f USING (neuron, tiff)"""
+
+# forward and backward recursion over a trace with nine reflected samples at each end, begun in the steady state of its first sample
+_B, _A = (c.tolist() for c in kernels.butterworth(2, 0.2))
+_Z = kernels.steady(kernels.recursion(*kernels.butterworth(2, 0.2))).tolist()
+_PASS = """{name} AS (SELECT neuron, j, n, {b0!r}::DOUBLE * v + {z0!r}::DOUBLE * v AS y, {z1!r}::DOUBLE * v + {b1!r}::DOUBLE * v - {a1!r}::DOUBLE * ({b0!r}::DOUBLE * v + {z0!r}::DOUBLE * v) AS s, {b2!r}::DOUBLE * v - {a2!r}::DOUBLE * ({b0!r}::DOUBLE * v + {z0!r}::DOUBLE * v) AS u FROM {source} WHERE {begin}
+UNION ALL SELECT q.neuron, w.j, q.n, {b0!r}::DOUBLE * v + s, u + {b1!r}::DOUBLE * v - {a1!r}::DOUBLE * ({b0!r}::DOUBLE * v + s), {b2!r}::DOUBLE * v - {a2!r}::DOUBLE * ({b0!r}::DOUBLE * v + s) FROM {name} q JOIN {source} w ON w.neuron = q.neuron AND w.j = q.j {step})"""
+_pass = lambda name, source, begin, step: _PASS.format(name=name, source=source, begin=begin, step=step, b0=_B[0], b1=_B[1], b2=_B[2], a1=_A[1], a2=_A[2], z0=_Z[0], z1=_Z[1])
+ORACLE_SQL["low_passed"] = f"""WITH RECURSIVE {_MATRIX}, x AS MATERIALIZED (SELECT neuron, value AS v, row_number() OVER (PARTITION BY neuron ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY neuron) AS n FROM m),
+e AS (SELECT neuron, n, arg_min(v, i) AS first, arg_max(v, i) AS last FROM x GROUP BY 1, 2), p AS (SELECT neuron, n, first, last, unnest(range(-9, n + 9)) AS j FROM e),
+w AS MATERIALIZED (SELECT p.neuron, p.j, p.n, CASE WHEN j < 0 THEN 2 * first - v WHEN j >= p.n THEN 2 * last - v ELSE v END AS v FROM p JOIN x ON x.neuron = p.neuron AND x.i = CASE WHEN j < 0 THEN -j WHEN j >= p.n THEN 2 * (p.n - 1) - j ELSE j END),
+{_pass('f', 'w', 'j = -9', '+ 1')}, g AS MATERIALIZED (SELECT neuron, j, n, y AS v FROM f), {_pass('b', 'g', 'j = n + 8', '- 1')}
+SELECT m.neuron, m.frame, round(y, 6) AS value FROM b JOIN x ON x.neuron = b.neuron AND x.i = j JOIN (SELECT neuron, frame, row_number() OVER (PARTITION BY neuron ORDER BY frame) - 1 AS i FROM m) m ON m.neuron = x.neuron AND m.i = x.i"""
+
+# polynomials that are orthogonal over the frames, each from the two before
+_NEXT = """c{k} AS (SELECT a.frame, a.t, (a.t - s.alpha) * a.p - coalesce(s.beta, 0) * b.p AS p FROM c{h} a JOIN {g} b ON b.frame = a.frame, (SELECT sum(a.t * a.p * a.p) / sum(a.p * a.p) AS alpha, sum(a.p * a.p) / nullif(sum(b.p * b.p), 0) AS beta FROM c{h} a JOIN {g} b ON b.frame = a.frame) s)"""
+_POLYNOMIALS = ", ".join(_NEXT.format(k=k, h=k - 1, g="z" if k == 1 else f"c{k - 2}") for k in range(1, 5))
+ORACLE_SQL["detrended_order_4"] = f"""WITH {_MATRIX}, c0 AS (SELECT frame, 2 * frame::DOUBLE / max(frame) OVER () - 1 AS t, 1.0::DOUBLE AS p FROM (SELECT DISTINCT frame FROM m)), z AS (SELECT frame, 0.0::DOUBLE AS p FROM c0), {_POLYNOMIALS},
+c AS ({' UNION ALL '.join(f'SELECT {k} AS k, frame, p FROM c{k}' for k in range(5))}), f AS (SELECT neuron, k, sum(value * p) / sum(p * p) AS c FROM m JOIN c USING (frame) GROUP BY 1, 2),
+r AS (SELECT neuron, frame, sum(c * p) AS fit FROM f JOIN c USING (k) GROUP BY 1, 2) SELECT neuron, frame, round(value - fit, 6) AS value FROM m JOIN r USING (neuron, frame)"""
