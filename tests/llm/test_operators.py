@@ -587,3 +587,56 @@ def test_labels_without_categories(spark):
         out = toxicity.toxicity(d, toxicity.train_chain(d, labels.select(*kept)))
         assert out.columns == ["doc_id", "text", *p, "is_toxic"] and out.where("is_toxic").count() == 0 and out.count() == 50
     assert toxicity.toxicity(d, toxicity.train_chain(d, labels)).where("is_toxic").count() > 0
+
+
+def test_toxicity_query_by_plain_recomputation(spark):
+    """The whole of op5 on sf0.001: words by their G statistic, folds, both links of the chain, every document's probabilities."""
+    from pyspark.sql import functions as F
+
+    from brimwell.llm.text import hash_words
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").withColumn("fold", F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))), F.lit(5))).collect()}
+    labels = {(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in docs and r.toxic is not None}
+    taught = [(set(words(docs[i].text)), float(q or 0), float(t), docs[i].fold) for i, q, t in labels]
+    n, bad = len(taught), sum(t for _, _, t, _ in taught)
+    counts = {}
+    for own, _, t, _ in taught:
+        for w in own:
+            a, b = counts.get(w, (0, 0))
+            counts[w] = (a + 1, b + t)
+
+    def g(a, b):
+        cells = [(b, a * bad / n), (a - b, a * (n - bad) / n), (bad - b, (n - a) * bad / n), (n - bad - a + b, (n - a) * (n - bad) / n)]
+        return sum(x * math.log(x / e) for x, e in cells if x > 0)
+
+    signed = lambda w: int(hash_words([w.encode()]).view(np.int64)[0])
+    chosen = sorted((w for w, (a, b) in counts.items() if a < n or b < bad), key=lambda w: (-round(g(*counts[w]), 9), signed(w)))[: toxicity.WORDS]
+    row = lambda own: [float(w in own) for w in chosen]
+
+    def fitted(x, y):
+        x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(len(x[0]) + 1)
+        ridge = np.append(np.full(len(w) - 1, 0.1), 1e-6)
+        loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + (ridge * w * w).sum() / 2
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-(x @ w)))
+            step, size = np.linalg.lstsq(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge), x.T @ (y - p) - ridge * w, rcond=None)[0], 1.0
+            while loss(w + size * step) > loss(w) and size > 1e-9:
+                size /= 2
+            w = w + size * step
+        return w
+
+    use = lambda w, x: 1 / (1 + np.exp(-(np.column_stack([x, np.ones(len(x))]) @ w)))
+    x, quality, toxic, fold = np.array([row(own) for own, *_ in taught]), *(np.array([r[k] for r in taught]) for k in (1, 2, 3))
+    out = np.zeros(n)
+    for f in set(fold.tolist()):
+        out[fold == f] = use(fitted(x[fold != f], quality[fold != f]), x[fold == f])
+    first, second = fitted(x, quality), fitted(np.column_stack([x, out]), toxic)
+    all_ = np.array([row(set(words(d.text))) for d in docs.values()])
+    p = use(first, all_)
+    q = use(second, np.column_stack([all_, p]))
+    got = {r.doc_id: r for r in registry.op5_toxicity(spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    for i, a, b in zip(docs, p, q):
+        assert got[i].p_quality == pytest.approx(a, abs=2e-3) and got[i].p_toxic == pytest.approx(b, abs=2e-3)
+        assert abs(b - toxicity.CUT) < 5e-3 or got[i].is_toxic == (b >= toxicity.CUT)
