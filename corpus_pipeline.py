@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brimwell.llm import contamination, near_duplicates, pieces, registry, secret_scan, toxicity
-from brimwell.llm.text import unused, written
+from brimwell.llm.text import discarded, unused, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = registry.table(spark, sf_dir, "documents")
+    docs, before = registry.table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs)
+            discarded(*[before] if before is not None else [])  # nothing reads a stage's table once the next one is written
+            before = docs
     return docs
