@@ -6,6 +6,8 @@ curves are found range by range (operators/ranks), so no group has to fit in a t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from .running import beside
 from .traces import known
 
 FEATURES = ("plus_cs", "minus_cs", "plus_trace", "minus_trace", "plus_trial", "minus_trial", "ucs")
+ROWS = 1 << 19  # rows of features that a task makes
+SESSIONS = 100_000  # lengths, one row for each session, that are broadcast
 
 
 def _rank_key(seed: str, *columns: str) -> Column:
@@ -34,8 +38,10 @@ def trial_features(trials: DataFrame, frames: int, keys: tuple[str, ...] = ()) -
     """(keys, trial, feature, frame, value): seven 0/1 rows for each trial, in the order of FEATURES counted from 0.
 
     trials is (keys, trial, stimulus, cs_start, cs_end, ucs_start, ucs_end, trial_start, trial_end); stimulus 0 is plus.  Lengths come from the first
-    trial, those of the unconditioned stimulus from the first plus trial.
+    trial, those of the unconditioned stimulus from the first plus trial.  Trials are counted and dealt over tasks by (keys, trial) before their rows
+    are made: a small file of trials is not one task's work, and what is grouped by trial afterwards needs no other shuffle.
     """
+    n, sessions = trials.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*keys)) if keys else F.lit(1)).first()
     at = lambda c, of: F.min_by(c, F.when(of, F.col("trial")))
     plus, all_ = F.col("stimulus") == 0, F.lit(True)
     length = trials.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
@@ -45,7 +51,8 @@ def trial_features(trials: DataFrame, frames: int, keys: tuple[str, ...] = ()) -
     same = F.lit(True)
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    d = trials.join(length, same) if keys else trials.crossJoin(F.broadcast(length))  # one row
+    d = trials.join(F.broadcast(length) if sessions <= SESSIONS else length, same) if keys else trials.crossJoin(F.broadcast(length))  # one row
+    d = d.repartition(max(1, math.ceil(n * frames * len(FEATURES) / ROWS)), *keys, "trial")
     d = d.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frames - 1).cast("long")))).withColumn("t", F.col("frame") * F.col("_time") / frames)
     t, cs, trace, ucs = (F.col(c) for c in ("t", "_cs", "_trace", "_ucs"))
     in_cs, in_trace, in_ucs = t <= cs, (t > cs) & (t <= cs + trace), (t > cs + trace) & (t <= cs + trace + ucs)
