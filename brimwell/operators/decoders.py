@@ -62,7 +62,10 @@ def trial_features(trials: DataFrame, frames: int, keys: tuple[str, ...] = ()) -
 
 
 def collapsed_features(features: DataFrame, subset: list[int] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, trial, frame, label): the sum of (position + 1) * value, positions counted within the subset."""
+    """(keys, trial, frame, label): the sum of (position + 1) * value, positions counted within the subset.
+
+    Features as trial_features deals them are added up in the tasks that make them, without a shuffle, so a task holds the frames of its own trials only.
+    """
     place = F.col("feature") + 1
     if subset is not None:
         features = features.where(F.col("feature").isin(subset))

@@ -30,3 +30,17 @@ def test_trials_without_sessions_and_none_at_all(spark):
     d = trials_of(spark, 6).drop("session")
     assert decoders.trial_features(d, 24).count() == 6 * 24 * 7
     assert decoders.trial_features(d.limit(0), 24).count() == 0 == decoders.trial_features(trials_of(spark, 0), 24, ("session",)).count()
+
+
+def test_labels_are_added_up_where_the_features_are_made(spark, monkeypatch):
+    monkeypatch.setattr(decoders, "ROWS", 24 * 7 * 50, raising=False)
+    d = trials_of(spark, 1000)
+    out = decoders.collapsed_features(decoders.trial_features(d, 24, ("session",)), [0, 2, 6], ("session",))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("Generate")]
+    assert "HashAggregate" in top and "Exchange" not in top
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 * 24 and max(sizes) <= 3 * 24 * 50
+    for r in out.where("trial % 97 = 0").collect():
+        t = r.frame * 12 / 24
+        assert r.label == (0 if r.trial % 3 else 1 if t <= 3 else 2 if t <= 5 else 3 if t <= 6 else 0)
