@@ -1,34 +1,48 @@
-"""Filters of traces that are too long for a task: a trace is dealt by segments, and each segment is filtered alone.
+"""Filters of traces that are too long for a task: a trace is dealt by segments, and no task has to hold one.
 
-A segment is a column that never falls along the order (say, a range of frame numbers), so its size bounds what a task holds.  Each
-segment tells one row: its number of samples, its edge samples, and for recursive filters how it changes the filter's
-state.  These rows are joined up trace by trace, and each segment gets back what it needs from its neighbours:
+A segment is a column that never falls along the order (say, a range of frame numbers).  Rows are numbered along their trace segment by
+segment: windows run within segments, and each segment tells one row, its number of samples.  By these numbers a trace is cut into
+blocks of BLOCK samples, however short or uneven its segments are, and each block is filtered alone:
 
-* `haloed`: the samples beside it, over as many segments as that takes, continued at the ends of the trace;
-* `recursive`: the states in which the filter enters it forward and backward.  A filter is linear, so a segment turns a state s into
-  A^n s + f; these maps are composed along the trace, and the backward pass over the forward output is linear in the same s.
+* `haloed`: with copies of the samples beside it, continued at the ends of the trace.  Blocks pass through a task one after the other, many
+  short ones in a batch, so neither a long trace nor many short ones cost more than their rows;
+* `recursive`: with the states in which the filter enters it forward and backward.  A filter is linear, so a block turns a state s into
+  A^n s + f; these maps, a row for each block, are composed along the trace, and the backward pass over the forward output is linear in the same s.
 
 Samples are the known values (null and NaN are passed over and stay unknown).  Null keys are a trace of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import kernels
+from .running import beside
 from .traces import known
 
+BLOCK = 1 << 14  # samples of a trace that are filtered at once
+
 _LISTS = pa.list_(pa.float64())
 
 
-def _own(df: DataFrame, value: str, segment: Column) -> DataFrame:
-    d = df.withColumn("_segment", segment)
-    return d.select(*[c for c in df.columns if c != value], known(value).alias(value), "_segment")
+def _numbered(df: DataFrame, keys: list[str], frame: str, value: str, segment: Column, compact: bool) -> DataFrame:
+    """df with known values (others null), `_row`, the samples of the trace before each row, `_n`, those of the trace, and `_spread`, its range.  Samples
+    are the known values if compact, else all rows."""
+    own = df.select(*[c for c in df.columns if c != value], known(value).alias(value), segment.alias("_segment"))
+    one = (F.when(F.col(value).isNotNull(), 1).otherwise(0) if compact else F.lit(1)).cast("long")
+    before = lambda w, o: w.orderBy(F.col(o).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    each = own.groupBy(*keys, "_segment").agg(F.sum(one).alias("_of"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    trace = Window.partitionBy(*keys)  # a row for each segment
+    told = each.select(*keys, "_segment", F.coalesce(F.sum("_of").over(before(trace, "_segment")), F.lit(0)).alias("_before"), F.sum("_of").over(trace).alias("_n"), (F.max("_high").over(trace) - F.min("_low").over(trace)).alias("_spread"))
+    here = own.withColumn("_at", F.coalesce(F.sum(one).over(before(Window.partitionBy(*keys, "_segment"), frame)), F.lit(0)))
+    return beside(here, told, [*keys, "_segment"]).withColumn("_row", F.col("_before") + F.col("_at")).drop("_segment", "_before", "_at")
 
 
 def _samples(table: pa.Table, frame: str, value: str) -> tuple[pa.Table, np.ndarray]:
@@ -65,58 +79,56 @@ def haloed(df: DataFrame, keys: list[str], frame: str, value: str, segment: Colu
     `small` samples come whole.  compact=False: unknown values are samples too, NaN.
     """
     small = max(small, halo + 1) if extend is not None else small
-    size = max(halo + 1, small)
-    own = _own(df, value, segment)
-
-    def tell(table: pa.Table) -> pa.Table:
-        table, x = _samples(table, frame, value)
-        x = x[~np.isnan(x)] if compact else x
-        some = x[~np.isnan(x)]
-        return _row(table, keys, n=len(x), head=x[:size], tail=x[max(0, len(x) - size) :], low=float(some.min()) if len(some) else None, high=float(some.max()) if len(some) else None)
-
-    def side(parts: list[np.ndarray], k: int, ends: list[np.ndarray]) -> np.ndarray:
-        """The last `halo` samples of parts[:k], continued beyond the first by the trace's own first samples."""
-        held, n = [], 0
-        while k and n < halo:
-            k -= 1
-            held.insert(0, parts[k])
-            n += len(parts[k])
-        if n < halo and extend is not None:
-            first, m = [], 0
-            while m <= halo:
-                first.append(ends[len(first)])
-                m += len(first[-1])
-            held.insert(0, extend(np.concatenate(first), halo))
-        x = np.concatenate([np.zeros(0), *held])
-        return x[max(0, len(x) - halo) :]
-
-    def carry(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_segment")
-        n, heads, tails = table.column("n").to_pylist(), _lists(table, "head"), _lists(table, "tail")
-        lows, highs = ([v for v in table.column(c).to_pylist() if v is not None] for c in ("low", "high"))
-        before, after, all_ = [], [], sum(n)
-        back_heads, back_tails = [h[::-1] for h in heads[::-1]], [t[::-1] for t in tails[::-1]]
-        for k in range(len(n)):
-            if all_ <= small:
-                before.append(np.concatenate([np.zeros(0), *heads[:k]]))
-                after.append(np.concatenate([np.zeros(0), *heads[k + 1 :]]))
-            else:
-                before.append(side(tails, k, heads))
-                after.append(side(back_heads, len(n) - 1 - k, back_tails)[::-1])
-        out = {c: table.column(c) for c in [*keys, "_segment"]}
-        return pa.table(out | {"before": pa.array(before, _LISTS), "after": pa.array(after, _LISTS), "whole": pa.array([all_ <= small] * len(n)), "spread": pa.array([max(highs) - min(lows) if lows else None] * len(n), pa.float64())})
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, x = _samples(left, frame, value)
-        there = ~np.isnan(x) if compact else np.ones(len(x), bool)
-        before, after = _lists(right, "before")[0], _lists(right, "after")[0]
+    size = max(BLOCK, halo, small)
+    rows = _numbered(df, keys, frame, value, segment, compact)
+    names = [c for c in rows.columns if c not in ("_n", "_spread", "_row")]
+    block, place, sample = F.floor(F.col("_row") / size), F.col("_row") % size, F.col(value).isNotNull() if compact else F.lit(True)
+    left, right = sample & (place < halo) & (block > 0), sample & (place >= size - halo) & ((block + 1) * size < F.col("_n"))
+    to = F.array(F.when(sample, block).otherwise(-1 - block), F.when(left, block - 1), F.when(right, block + 1))  # no sample: a block without any
+    dealt = rows.select(*names, "_row", "_spread", (F.col("_n") <= small).alias("_whole"), block.alias("_block"), F.explode(F.array_compact(to)).alias("_to"))
+    first = F.row_number().over(Window.partitionBy(*keys, "_to").orderBy("_row")) == 1  # leaves a block's rows in order, side by side
+    blocks = dealt.select(*names, "_spread", "_whole", ((F.col("_to") == F.col("_block")) | (F.col("_to") < 0)).alias("_mine"), first.alias("_first"))
+
+    def wide(x: np.ndarray, before: int, n: int) -> tuple[np.ndarray, int]:
+        """A block's samples, continued where less than a halo is beside its own: there the trace ends."""
+        after = len(x) - before - n
+        parts = [x]
+        if before < halo:
+            parts.insert(0, extend(x, halo)[before:])
+        if after < halo:
+            parts.append(extend(x[::-1], halo)[::-1][: halo - after])
+        return np.concatenate(parts), max(before, halo)
+
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        x, mine, whole, spread = (table.column(c).to_numpy() for c in (value, "_mine", "_whole", "_spread"))
+        begins = np.flatnonzero(table.column("_first").to_numpy())
         out = np.full(len(x), np.nan)
-        if there.any():
-            out[there] = kernel(np.concatenate([before, x[there], after]), len(before), int(there.sum()), right.column("whole")[0].as_py(), right.column("spread")[0].as_py())
-        return left.set_column(left.schema.get_field_index(value), value, pa.array(out, mask=np.isnan(out)))
-
-    told = own.groupBy(*keys, "_segment").applyInArrow(tell, _schema(own, keys, "n long,head array<double>,tail array<double>,low double,high double"))
-    return _joined_up(own, keys, told, (carry, _schema(own, keys, "before array<double>,after array<double>,whole boolean,spread double")), finish)
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(x)]):
+            before, n = int(mine[a:b].argmax()), int(mine[a:b].sum())
+            held_, ahead = (x[a:b], before) if whole[a] or extend is None else wide(x[a:b], before, n)
+            out[a + before : a + before + n] = kernel(held_, ahead, n, bool(whole[a]), None if np.isnan(spread[a]) else float(spread[a]))
+        table = table.select(names).set_column(names.index(value), value, pa.array(out, mask=np.isnan(out)))
+        yield from table.filter(pa.array(mine)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if compact:
+                there = pc.is_valid(batch.column(value))
+                yield batch.filter(pc.invert(there)).select(names)
+                batch = batch.filter(there)
+            begins = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+            if len(begins):
+                last = int(begins[-1])
+                yield from done([*held, batch.slice(0, last)])
+                held = [batch.slice(last)]
+            elif batch.num_rows:
+                held.append(batch)
+        if held:
+            yield from done(held)
+
+    return blocks.mapInArrow(run, rows.select(names).schema)
 
 
 def mirrored_ends(first: np.ndarray, n: int) -> np.ndarray:
@@ -133,7 +145,8 @@ def recursive(df: DataFrame, keys: list[str], frame: str, value: str, segment: C
     """value replaced by what kernels.zero_phase(b, a, the whole trace) gives."""
     system = kernels.recursion(b, a)
     order, edge = len(system[1]), 3 * max(len(a), len(b))
-    own = _own(df, value, segment)
+    rows = _numbered(df, keys, frame, value, segment, False)
+    own = rows.withColumn("_segment", F.floor(F.col("_row") / BLOCK)).drop("_n", "_spread", "_row")
 
     def tell(table: pa.Table) -> pa.Table:
         table, x = _samples(table, frame, value)

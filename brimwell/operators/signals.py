@@ -1,7 +1,7 @@
 """Filters, baselines and smoothing of traces: tables (key columns, frame, value).
 
 What built-in windows can say is said by them.  Other filters take a `segment`, a column that never falls along the frames:
-then a trace is dealt by segments (operators/segments) and no task holds more than one.  Without it they run trace by trace in
+then a trace is dealt by segments (operators/segments) and filtered in blocks.  Without it they run trace by trace in
 `applyInArrow`, so that a trace has to fit in a task.  NaN counts as null; unknown values stay unknown and a filter sees the
 known ones only.  Null keys are a trace of their own.  Empty tables give empty ones.
 """
@@ -127,7 +127,7 @@ def diffused(df: DataFrame, keys: list[str], frame: str, value: str, *, times: i
     """Edge-preserving diffusion along time: x += gamma * (m - m before), with m = g(d) * d of the step d to the next sample (0 at the end).
 
     g: 1, exp(-(d/k)^2); 2, 1 / (1 + (d/k)^2); 3, ((1 - (d/(k sqrt 2))^2)^2) / 2, or 0 beyond k sqrt 2.  scaled: kappa times the trace's range.
-    Without a segment a window for each time over one partitioning, fit for a few times; with it one pass in which each segment
+    Without a segment a window for each time over one partitioning, fit for a few times; with it one pass in which each block
     takes `times` samples of its neighbours along.
     """
     if segment is not None:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from brimwell.operators import kernels, quantiles, signals, traces
+from brimwell.operators import kernels, quantiles, segments, signals, traces
 
 NAN = math.nan
 
@@ -40,6 +40,40 @@ def test_segments_give_what_whole_traces_give(spark, size):
             assert v is None or split[k][0] == pytest.approx(v, abs=1e-9), (name, k)
 
 
+@pytest.mark.parametrize("block, size", [(1, 5000), (2, 1), (9, 7), (64, 5), (93, 5000)])
+def test_blocks_of_any_size_give_what_whole_traces_give(spark, monkeypatch, block, size):
+    monkeypatch.setattr(segments, "BLOCK", block)
+    test_segments_give_what_whole_traces_give(spark, size)
+
+
+def test_unknown_values_and_places(spark, monkeypatch):
+    """Traces without a known value, unknown ends, null places (last), batches smaller than a block."""
+    rows = [("none", t, None if t % 2 else NAN) for t in range(50)] + [("ends", t, float(t * t) if 20 <= t < 60 else None) for t in range(90)] + [("place", t, float(t % 7)) for t in range(60)] + [("place", None, 3.0)]
+    d = spark.createDataFrame(rows, "s string, t long, v double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for block in (4, 20, 1000):
+            monkeypatch.setattr(segments, "BLOCK", block)
+            for form in (lambda s: signals.smoothed(d, ["s"], "t", "v", 1.0, s), lambda s: signals.diffused(d, ["s"], "t", "v", times=3, kappa=2.0, segment=s)):
+                got = {(r.s, r.t): r.v for r in form(F.floor(F.col("t") / 8)).collect()}
+                whole = {(r.s, r.t): r.v for r in form(None).where("t is not null").collect()}
+                assert len(got) == 201 and all(r.v is None for r in form(F.floor(F.col("t") / 8)).where("s = 'none'").collect())
+                for k, v in whole.items():
+                    assert (k[0] == "place" and (k[1] < 4 or k[1] > 55)) or got[k] == (v if v is None else pytest.approx(v, abs=1e-9)), k
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_short_segments_are_few_calls(spark):
+    """10,000 segments of 2,500 short traces: tasks take them by batches, not by a call for each."""
+    d = spark.range(20_000, numPartitions=2).select((F.col("id") % 2500).alias("s"), F.col("id").alias("t"), (F.col("id") % 17).cast("double").alias("v"))
+    out = signals.diffused(d, ["s"], "t", "v", times=2, kappa=8.0, option=2, segment=F.floor(F.col("t") / 5000))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan and "FlatMapCoGroupsInArrow" not in plan
+    whole = {(r.s, r.t): r.v for r in signals.diffused(d, ["s"], "t", "v", times=2, kappa=8.0, option=2).collect()}
+    assert {(r.s, r.t): pytest.approx(r.v, abs=1e-9) for r in out.collect()} == whole
+
+
 def test_f0_and_dff_in_segments(spark):
     rng = np.random.default_rng(1)
     d = traces_of(spark, rng, {"a": 300, "b": 95, None: 200}).withColumn("component", (F.col("t") % 7 == 0).cast("int"))
